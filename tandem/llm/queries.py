@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, near_dedup, packing, sharding
+from . import bpe, html_text, line_dedup, near_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,22 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.in_fold(F.col("doc_id"), 0)))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", toxicity.in_fold(F.col("doc_id"), 0).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op7_packing": op7_packing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing}
 
 
 def queries() -> dict:
