@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, html_text, line_dedup, near_dedup, packing, sharding, toxicity
+from . import bpe, exact_search, html_text, line_dedup, near_dedup, near_search, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing}
+def _hundredth(vec_id):
+    return vec_id % 100 == 0
+
+
+def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
+OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op10_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_search.search(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op9_exact_search": op9_exact_search, "op10_near_search": op10_near_search}
 
 
 def queries() -> dict:
@@ -82,4 +106,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by query name."""
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op9_exact_search": OP9_SQL}
