@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_search, html_text, line_dedup, near_dedup, near_search, packing, sharding, toxicity
+from . import bpe, exact_search, html_text, line_dedup, lm, near_dedup, near_search, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), toxicity.in_fold(F.col("doc_id"), 1))
+
+
 def _hundredth(vec_id):
     return vec_id % 100 == 0
 
@@ -96,7 +100,7 @@ def op10_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_search.search(table(spark, sf_dir, "embeddings"), _hundredth)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op9_exact_search": op9_exact_search, "op10_near_search": op10_near_search}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_exact_search": op9_exact_search, "op10_near_search": op10_near_search}
 
 
 def queries() -> dict:
