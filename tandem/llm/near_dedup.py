@@ -9,8 +9,9 @@ registers tell of similar sets. Documents with equal sets are one vertex, named
 2. Pairs are estimated jointly by likelihood from how many registers are larger, smaller and equal, and from the exact
    set sizes; what is far below the threshold goes, the rest is verified on full sets. Links give components.
 3. Buckets that still hold several components may hide links between vertices that were not paired. All their vertices
-   go through an exact prefix-filter join: two sets of similarity t share one of their (1 - t) rarest shingles. Pairs
-   between components are verified, and components taken again.
+   go through an exact prefix-filter join: two sets of similarity t share one of their (1 - t) rarest shingles, and the
+   first that they share leaves enough behind it in both. Pairs between components are verified, and components
+   taken again.
 
 With 4 registers in each of 32 bands, two sets of similarity 0.8 meet in no bucket with a chance of 4 in 10**8.
 
@@ -160,12 +161,15 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
     counted = rows.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "s")))
     shared = rows.groupBy("id").agg(F.count("*").alias("all")).join(counted.groupBy("id").agg(F.count("*").alias("known")), "id").select("id", (F.col("all") - F.col("known")).alias("alone"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = counted.join(shared, "id").where(F.col("place") + F.col("alone") <= prefix).select("id", "component", "n", "s")
+    kept = counted.join(shared, "id").withColumn("at", F.col("place") + F.col("alone")).where(F.col("at") <= prefix).select("id", "component", "n", "s", "at")
     mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
     kept = save(kept.join(mixed, "s"), "rare-prefixes")
-    one, two = kept.toDF("a", "ca", "na", "s"), kept.toDF("b", "cb", "nb", "s")
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return one.join(two, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    one, two = kept.select("s", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "at"))), kept.select("s", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "at")))
+    # If s is the first that two sets share, no more can be shared than it and what follows it in either set.
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    near = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    return one.join(two, "s").where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
