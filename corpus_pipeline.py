@@ -21,14 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; training leaves out the fold that op5 holds out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.in_fold(F.col("doc_id"), 0)))
-    return toxicity.score(docs, model).where("_predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return toxicity.score(rows, model).where("_predicted = 0").select("_row.*")
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines."""
-    found = line_dedup.dedup_lines(docs).where((F.col("_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
-    length = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return found.withColumn("n_chars", length).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    found = line_dedup.dedup_lines(rows).where((F.col("_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
+    length = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("_row.n_chars")).cast("long")
+    new = {"text": F.col("text"), "n_chars": length}
+    return found.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,4 +292,5 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [main_text(h or "") for h in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return pages.select(*kept, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, kinds)
+    own = "_".join(["html", *kept])  # differs from every other name
+    return pages.select(*kept, F.col(html_col).cast("string").alias(own)).mapInArrow(run, kinds)

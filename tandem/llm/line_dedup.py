@@ -13,7 +13,8 @@ is the original; at all the others the run's lines are deleted. Overlapping runs
 
 Defined results: null and blank texts, and lines without words, are kept as they are; a text all of whose lines go
 becomes empty. Null ids count as the lowest id. Rows with the same id and the same text are one document: both are kept
-with the same new text. Other columns pass through unchanged.
+with the same new text. Other columns pass through unchanged, but for _lines and _removed, which are replaced.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,11 +98,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     """docs with later copies of repeated runs of lines deleted from the text; adds _lines and _removed, counts of lines."""
     _, gone = repeats(docs, min_words, id_col, text_col)
     by_doc = gone.groupBy(*DOC).agg(F.collect_set("p").alias("_gone"))
-    keyed = docs.withColumn("_id", filled_id(docs, id_col)).withColumn("_h", F.xxhash64(text_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_lines", "_removed")])  # names that clash with ours stay apart
+    keyed = docs.select(row.alias("_row"), filled_id(docs, id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
     joined = keyed.join(by_doc, DOC, "left")
-    parts = F.split(F.col(text_col), "\n", -1)
+    old = F.col("_row")[text_col]
+    parts = F.split(old, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda p: F.get(parts, p)), "\n"))
+    text = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda p: F.get(parts, p)), "\n"))
     cut = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.when(F.col(text_col).isNull(), 0).otherwise(lines).alias("_lines"), cut.alias("_removed"))
+    lines = F.when(old.isNull(), 0).otherwise(F.size(parts)).cast("long")
+    columns = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
+    return joined.select(*columns, lines.alias("_lines"), cut.alias("_removed"))

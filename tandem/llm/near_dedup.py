@@ -16,7 +16,7 @@ registers tell of similar sets. Documents with equal sets are one vertex, named
 With 4 registers in each of 32 bands, two sets of similarity 0.8 meet in no bucket with a chance of 4 in 10**8.
 
 Null and blank texts have an empty set and stay alone. Null ids count as the lowest id. Repeated rows are copies. Other
-columns pass through unchanged where documents are returned.
+columns pass through unchanged where documents are returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,4 +199,5 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """docs without those that are not the first of their component; of rows with the same id all stay or go."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
     kept = found.where("_id = component_id").select("_id").distinct()
-    return docs.withColumn("_id", filled_id(docs, id_col)).join(kept, "_id", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), filled_id(docs, id_col).alias("_id"))
+    return rows.join(kept, "_id", "left_semi").select("_row.*")

@@ -139,7 +139,7 @@ def _initial(texts: list[bytes], labels: np.ndarray, rng: np.random.Generator) -
     return Model(embedding, filters, bias, np.full(FILTERS * len(WIDTHS), 0.1, np.float32), np.zeros(1, np.float32))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
     """Fits a model to labelled texts (label 1: toxic)."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -235,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with _score, and _predicted (1 from a score of 0.5)."""
+    """docs with _score, and _predicted (1 from a score of 0.5); columns of these names are replaced."""
+    docs = docs.drop("_score", "_predicted")
     names = [*docs.columns, "_score"]
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
