@@ -148,14 +148,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int =
     fit = order[half:]
     parts = [model.weights, model.intercept, *model.filters, *model.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
-    made = {i: features([texts[i]]) for i in fit}
+    made = {i: features([texts[i]])[0].astype(np.int32) for i in fit}
     step = 0
     for _ in range(epochs):
         rng.shuffle(fit)
         for a in range(0, len(fit), batch):
             mine = fit[a : a + batch]
-            rows = np.concatenate([made[i][0] for i in mine])
-            at = np.cumsum([0, *(len(made[i][0]) for i in mine)])
+            rows = np.concatenate([made[i] for i in mine])
+            at = np.cumsum([0, *(len(made[i]) for i in mine)])
             x, begins, place = model.padded(rows, at)
             word = np.full(len(x), -1)
             word[place] = np.arange(len(place))
