@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: One place in 2**CUT_BITS is a cut. Chunks that a task keeps. Bytes beyond which a stretch goes to the tokenizers library.
-CUT_BITS, KEPT, LONG = 6, 150_000, 4096
+CUT_BITS, KEPT, LONG = 6, 60_000, 4096
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,7 +48,6 @@ class Codec:
 
     def __init__(self, path: str | None = None):
         import tiktoken
-        from tokenizers import Tokenizer
 
         path = path or default_path()
         with open(path, encoding="utf-8") as f:
@@ -57,7 +56,7 @@ class Codec:
         words = {bytes(alphabet[c] for c in w): i for w, i in file["model"]["vocab"].items() if all(c in alphabet for c in w)}
         self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
         ranks = {w: i for w, i in words.items() if w not in self.special}
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.table = [b""] * (1 + max(*words.values(), *self.special.values()))
         for w, i in [*words.items(), *self.special.items()]:
@@ -69,6 +68,13 @@ class Codec:
         shown[0x21:0x7F] = True
         self.shown = shown
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own, loaded when a stretch needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, piece: bytes) -> bytes:
         text = piece.decode()
         ids = self.fast.encode_ordinary(text) if len(piece) <= LONG else self.library.encode(text, add_special_tokens=False).ids

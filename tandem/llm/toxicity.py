@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .words import SPACE, VALUE, _powers, mix
+from .words import SPACE, VALUE, _powers, mix, runs
 
 #: Function words that tell a language.
 FUNCTION_WORDS = {
@@ -119,6 +119,9 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Scores from 0 to 1 of whole texts."""
+        return np.concatenate([np.zeros(0), *(self._scores(texts[a:b]) for a, b in runs(texts))])
+
+    def _scores(self, texts: list[bytes]) -> np.ndarray:
         rows, own, at = features(texts)
         z = self.logits(rows, at).astype(float) - self.thresholds[languages(own, at)]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def runs(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of at most so many bytes, or of one text, so that arrays over them stay small."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > most:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and where each text's words begin (one more at the end)."""
+    found = [_hashed(texts[a:b]) for a, b in runs(texts)]
+    counts = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in found)])
+    return np.concatenate([*(h for h, _ in found), np.zeros(0, np.uint64)]), np.cumsum(counts)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)
     size = 1 << 16
     while size <= len(data):
