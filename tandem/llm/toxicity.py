@@ -229,12 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
     order = F.xxhash64("_id")
     chosen = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(max_rows) for y in (0, 1)]
     rows = F.broadcast(chosen[0].union(chosen[1]))  # 2 x max_rows rows
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(rows, "_id").select("_id", "_text", "_y")
-    got = sorted({(r[0], r[2], r[1] or "") for r in found.toLocalIterator()})
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(rows, "_id").select("_id", "_text", "_y")
+    got = sorted({(r[0], r[2], bytes(r[1] or b"")) for r in found.toLocalIterator()})
     y = np.array([g[1] for g in got], np.int64)
     if len(got) < 4 or y.min() == y.max():
         return None
-    return train([g[2].encode() for g in got], y)
+    return train([g[2] for g in got], y)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
