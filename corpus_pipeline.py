@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; training leaves out the fold that op5 holds out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.in_fold(F.col("doc_id"), 0)))
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    return toxicity.score(rows, model).where("_predicted = 0").select("_row.*")
+    names = [tables.unused(docs, "_score"), tables.unused(docs, "_predicted")]
+    return toxicity.score(docs, model, "text", *names).where(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

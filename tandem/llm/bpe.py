@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .tables import map_arrow
+
 #: The pre-tokenizer's pattern, and the library's display alphabet for bytes (printable ones stand for themselves).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -146,7 +148,7 @@ def over_texts(docs: DataFrame, columns: list[str], text_col: str, extra: str, p
                 own = [part.column(i).take(pa.array(rows)) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], names=[str(i) for i in range(len(own) + len(arrays))])
 
-    return docs.select(*kept, docs[text_col].cast("string").alias("_text")).mapInArrow(_named(run, fields), fields)
+    return map_arrow(docs.select(*kept, docs[text_col].cast("string").alias("_text")), _named(run, fields), fields)
 
 
 def _named(run: Callable, fields: str) -> Callable:
@@ -187,4 +189,4 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
                 texts = [codec(path).decode(values[a:b]).decode() for a, b in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)

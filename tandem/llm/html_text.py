@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
+
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
     r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
@@ -293,4 +295,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
     own = "_".join(["html", *kept])  # differs from every other name
-    return pages.select(*kept, F.col(html_col).cast("string").alias(own)).mapInArrow(run, kinds)
+    return map_arrow(pages.select(*kept, F.col(html_col).cast("string").alias(own)), run, kinds)

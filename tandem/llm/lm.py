@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import map_arrow, save
 from .words import MULT, hashed_words, mix
 
 #: Ids of the token that ends a text and of the context that starts one.
@@ -209,7 +209,7 @@ def blocks(docs: DataFrame, held, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(row(parts), names=names)
 
     schema = f"block long, ids array<{kind}>, held array<boolean>, sizes array<long>, n long, words binary, counts binary, tokens binary"
-    return docs.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("_held"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("_held"), F.col(text_col).cast("string").alias("_text")), run, schema)
 
 
 def split_contexts(found: DataFrame, total: int) -> dict[int, int]:

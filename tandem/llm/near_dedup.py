@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import filled_id, save
+from .tables import filled_id, map_arrow, save
 from .words import MULT, mix, shingle_sets
 
 #: Fixed values of the sketch: base, rate and limit of the registers as published, registers in a band, bands.
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, k: int, text_col: str) -> DataFrame:
                 )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, n long, key binary, regs binary, bands array<long>")
+    return map_arrow(docs.select("_id", F.col(text_col).cast("string").alias("_text")), run, f"_id {kind}, n long, key binary, regs binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +121,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"])
 
     kind = nodes.schema["id"].dataType.simpleString()
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "na", "nb", "ra", "rb"), run, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, f"a {kind}, b {kind}")
 
 
 def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
                 take = lambda i: part.column(i).take(pa.array(rows))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([take(0), take(2), pa.array(np.array([len(s) for s in sets])[rows], pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["id", "component", "n", "s"])
 
-    rows = texts.join(labels, "id").select("id", "text", "component").mapInArrow(run, f"id {kind}, component {kind}, n long, s long")
+    rows = map_arrow(texts.join(labels, "id").select("id", "text", "component"), run, f"id {kind}, component {kind}, n long, s long")
     rows = save(rows, "rare-shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
     # A set's prefix is its n - ceil(t n) + 1 rarest shingles; those that no other set has stand first and need no row.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch handed to Python; Spark's own limit of 64 MB is held several times over by each task.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with small batches, so that whole texts need little memory outside the heap. A limit that the session sets itself stays."""
+    spark = df.sparkSession
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH)
+    return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def filled_id(df: DataFrame, column: str):
     """The id with nulls replaced by a lowest value, so that it can be a join key."""
     kind = df.schema[column].dataType.simpleString()

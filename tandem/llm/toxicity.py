@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .tables import map_arrow
 from .words import SPACE, VALUE, _powers, mix, runs
 
 #: Function words that tell a language.
@@ -237,12 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
     return train([g[2] for g in got], y)
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with _score, and _predicted (1 from a score of 0.5); columns of these names are replaced."""
-    docs = docs.drop("_score", "_predicted")
-    names = [*docs.columns, "_score"]
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:
+    """docs with a score, and a prediction (1 from a score of 0.5); columns of these names are replaced."""
+    docs = docs.drop(score_col, predicted_col)
+    names = [*docs.columns, score_col]
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +253,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 scores = np.zeros(len(texts)) if model is None else model.score(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema).withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
+    return map_arrow(docs, run, schema).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 
 def in_fold(id_column, remainder: int):

@@ -70,18 +70,19 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of k-word shingles of each text; the whole sequence is one where there are fewer words, none without words."""
-    hashes, at = hashed_words(texts)
+    return [s for a, b in runs(texts) for s in _shingles(*_hashed(texts[a:b]), k)]
+
+
+def _shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
     n = max(len(hashes) - k + 1, 0)
     rows = np.zeros(n, np.uint64)
     for j in range(k):
         rows = mix(rows * np.uint64(MULT) + hashes[j : j + n])
-    out = []
     for a, b in zip(at[:-1], at[1:]):
         if b - a >= k:
-            out.append(np.unique(rows[a : b - k + 1]))
+            yield np.unique(rows[a : b - k + 1])
         else:
             whole = np.uint64([b - a])
             for h in hashes[a:b]:
                 whole = mix(whole * np.uint64(MULT) + h)
-            out.append(whole[: int(b > a)])
-    return out
+            yield whole[: int(b > a)]
