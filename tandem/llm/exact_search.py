@@ -2,8 +2,8 @@
 
 Rows are grouped by the nearest of a bounded set of pivots. Per group, the number of rows, the radius and the smallest
 distances to the pivot are kept. The inner product of a query q with a row x of the group of pivot p lies within
-|q| d(x, p) of that of q and p. So the smallest distances of all groups bound the k-th best score of a query from below,
-and a group whose pivot score plus |q| times its radius stays under that bound cannot matter. A query goes to the blocks
+|q| d(x, p) of that of q and p. So the smallest distances of all groups, without those of rows of the query's own id, bound
+the k-th best score of a query from below, and a group whose pivot score plus |q| times its radius stays under that bound cannot matter. A query goes to the blocks
 of the other groups only; a group is as many blocks of bounded size as its rows need, so a pivot that holds a third of
 all rows is no trouble. Blocks are solved on their own, and the best of all blocks are merged.
 
@@ -45,26 +45,30 @@ def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vecto
     pivots = _pivots(padded, n) if n else np.zeros((1, dim))
     norms = (pivots**2).sum(1)
 
-    def nearest(x: np.ndarray):
+    def nearest(x: np.ndarray, _):
         d = (x**2).sum(1)[:, None] + norms - 2 * x @ pivots.T
         cell = d.argmin(1)
         return None, [pa.array(cell, pa.int64()), pa.array(np.sqrt(np.maximum(d[np.arange(len(x)), cell], 0))), packed(x)]
 
     placed = save(over_vectors(padded, ["_id"], dim, "cell long, far double, _x binary", nearest), "search-cells")
     cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
-    close = placed.select("cell", "far").withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("_r") <= k + 1).collect()
+    close = placed.select("_id", "cell", "far").withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("_r") <= k + 1).collect()
     parts = {c: -(-r.n // BLOCK) for c, r in cells.items()}  # blocks of each cell; there are at most 1,024 cells
     first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist()))
     radius = np.array([cells[c].radius if c in cells else -math.inf for c in range(len(pivots))])
+    close.sort(key=lambda r: r["_id"])
+    near_id = np.array([r["_id"] for r in close], np.int64)
     near_cell = np.array([r.cell for r in close], int)
     near_far = np.array([r.far for r in close], float)
 
-    def needed(q: np.ndarray):
+    def needed(q: np.ndarray, ids: np.ndarray):
         s, size = q @ pivots.T, np.sqrt((q**2).sum(1))
         slack = 1e-9 * (1 + np.abs(s).max(initial=0)) + 1
         lower = s[:, near_cell] - size[:, None] * near_far
-        at = min(k, lower.shape[1] - 1)
-        bound = -np.partition(-lower, at, axis=1)[:, at] if lower.shape[1] > k else np.full(len(q), -math.inf)
+        own = np.searchsorted(near_id, ids), np.searchsorted(near_id, ids, "right")
+        for i in np.flatnonzero(own[0] < own[1]):
+            lower[i, own[0][i] : own[1][i]] = -math.inf  # all rows of the query's id: none is a candidate
+        bound = -np.partition(-lower, k - 1, axis=1)[:, k - 1] if lower.shape[1] >= k else np.full(len(q), -math.inf)
         row, cell = np.nonzero((s + size[:, None] * radius >= (bound - slack)[:, None]) & np.isfinite(radius))
         pairs = [(i, b) for i, c in zip(row.tolist(), cell.tolist()) for b in range(first[c], first[c] + parts[c])]
         i, block = zip(*pairs) if pairs else ((), ())

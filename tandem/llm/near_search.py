@@ -63,11 +63,11 @@ def search(rows: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes:
     axes = 2 << max(1, (dim - 1).bit_length())
     probes = min(axes, max(probes, -(-axes * WIDE // max(n, 1))))
 
-    def index(x: np.ndarray):
+    def index(x: np.ndarray, _):
         all_ = np.concatenate([buckets(x, t) for t in range(tables)], 1)
         return None, [pa.array(all_.tolist(), pa.list_(pa.int64())), packed(x)]
 
-    def look_up(q: np.ndarray):
+    def look_up(q: np.ndarray, _):
         all_ = np.concatenate([buckets(q, t, probes) for t in range(tables)], 1)
         return None, [pa.array(all_.tolist(), pa.list_(pa.int64())), packed(q)]
 

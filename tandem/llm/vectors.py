@@ -41,7 +41,7 @@ def unpacked(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def over_vectors(df: DataFrame, columns: list[str], dim: int, extra: str, per_batch: Callable) -> DataFrame:
-    """Runs per_batch(matrix) over rows with a list column _v: it returns (row numbers, arrays of the extra columns)."""
+    """Runs per_batch(matrix, ids) over rows with a list column _v, ids from the first column: it returns (row numbers, arrays of the extra columns)."""
     fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), extra])
     names = [*columns, *(x.split()[0] for x in extra.split(", "))]
 
@@ -49,7 +49,7 @@ def over_vectors(df: DataFrame, columns: list[str], dim: int, extra: str, per_ba
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                rows, arrays = per_batch(matrix(part.column(len(columns)), dim))
+                rows, arrays = per_batch(matrix(part.column(len(columns)), dim), part.column(0).to_numpy())
                 own = [part.column(i) if rows is None else part.column(i).take(pa.array(rows)) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], names=names)
 

@@ -378,6 +378,19 @@ def test_exact_search_of_odd_vectors(spark):
     assert exact_search.search(odd_vectors(spark).limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_exact_search_with_a_query_row_repeated(spark):
+    # The fourth id by hash is a pivot; 12 rows of it lie at distance 0 from that pivot, more than the k + 1 that are kept of a cell.
+    query = [r.id for r in spark.range(60).orderBy(F.xxhash64("id")).limit(4).collect()][-1]
+    rng = np.random.default_rng(6)
+    x = {i: rng.normal(0, 1, 8) for i in range(60)}
+    x[query] = np.full(8, 20.0)
+    rows = [(i, x[i].tolist()) for i in x for _ in range(12 if i == query else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id, r.score) for r in exact_search.search(df, lambda i: i == query).collect())
+    scores = sorted((-int(np.floor(1024 * x[query]) @ np.floor(1024 * y)), i) for i, y in x.items() if i != query)[:10]
+    assert found == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
 def test_near_search_recall(spark):
     for sf in (SF, "/root/testdata/sf0.1"):
         vectors = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
