@@ -3,8 +3,7 @@
 A table rotates unit vectors by a pseudo-rotation, three rounds of random signs and a fast Hadamard transform, and assigns each
 to the nearest signed axis. A query is sent to the buckets of the axes that are nearest to it, several in each table, and
 the rows there are ranked by their exact distance. Every row is indexed in every table. A bucket is as many blocks of
-bounded size as its rows need. Small inputs are looked through more widely: a query meets at least about WIDE rows in
-each table, up to all of them.
+bounded size as its rows need. Tables and probes are the same for inputs of every size.
 
 Nearness is the Euclidean distance of the original vectors in double precision. Vectors that are null, zero or hold null
 or non-finite components take no part; shorter vectors count as filled up with zeros. Rows of one id are each candidates,
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from .tables import save
 from .vectors import BLOCK, QUERIES, over_vectors, packed, solved, valid
 
-#: Tables, buckets that a query looks up in each, and rows that it meets at least in each table.
-TABLES, PROBES, WIDE = 12, 6, 1500
+#: Tables, and buckets that a query looks up in each.
+TABLES, PROBES = 12, 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,10 +57,7 @@ def search(rows: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query row; is_query: a condition on the id."""
     found = valid(rows, vector_col).where(F.col(id_col).isNotNull() & F.exists("_v", lambda x: x != 0)).select(F.col(id_col).cast("long").alias("_id"), "_v")
     found = save(found, "near-rows")
-    n, dim = found.agg(F.count("*"), F.max(F.size("_v"))).first()
-    dim = max(dim or 0, 1)
-    axes = 2 << max(1, (dim - 1).bit_length())
-    probes = min(axes, max(probes, -(-axes * WIDE // max(n, 1))))
+    dim = max(found.agg(F.max(F.size("_v"))).first()[0] or 0, 1)
 
     def index(x: np.ndarray, _):
         all_ = np.concatenate([buckets(x, t) for t in range(tables)], 1)

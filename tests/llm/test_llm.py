@@ -409,6 +409,29 @@ def test_near_search_recall(spark):
         assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1", "no clusters"])
+def test_near_search_visits_its_probes_only(spark, table):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 64).tolist()) for i in range(5000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>") if table == "no clusters" else spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    vectors = [r for r in df.select("vec_id", "embedding").collect() if r.embedding]
+    ids, x = np.array([r.vec_id for r in vectors]), np.array([r.embedding for r in vectors], float)
+    found = defaultdict(set)
+    for r in near_search.search(df, lambda i: i % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    placed = np.concatenate([near_search.buckets(x, t) for t in range(near_search.TABLES)], 1)
+    looked = np.concatenate([near_search.buckets(x, t, near_search.PROBES) for t in range(near_search.TABLES)], 1)
+    hits, share = [], []
+    for i in np.flatnonzero(ids % 100 == 0):
+        met = np.isin(placed, looked[i]).any(1)
+        far = np.where(ids == ids[i], np.inf, ((x - x[i]) ** 2).sum(1))
+        best = set(ids[np.lexsort((ids, far))[:10]].tolist())
+        assert found[int(ids[i])] == set(ids[np.lexsort((ids, np.where(met, far, np.inf)))[:10]].tolist())
+        hits.append(len(best & found[int(ids[i])]) / 10)
+        share.append(met.mean())
+    assert np.mean(hits) >= 0.9 and np.mean(share) < 0.5
+
+
 def test_near_search_of_odd_vectors(spark):
     rows = near_search.search(odd_vectors(spark), lambda i: i % 100 == 0).collect()
     assert {r.query_id for r in rows} == {0, 600, 700} and all(r.vec_id not in (100, 200, 300, 400, 500) for r in rows)
