@@ -2,7 +2,8 @@
 
 A document is the set of its distinct word shingles. A register is the truncated, exponentially spaced minimum of an
 exponential hash over the set: floor(1 - log_b(min)), clipped. Registers of a union are the larger ones, and equal
-registers tell of similar sets. Documents with equal sets are one vertex, named by the smallest id.
+registers tell of similar sets. Rows with equal sets are one vertex, which has a number and the text of one of these rows; ids
+only name components, so rows that share an id but not a set are apart.
 
 1. Bands of registers put vertices into buckets. In each bucket, every vertex is paired with the smallest one only, so a
    bucket of any size gives as many pairs as it has vertices.
@@ -87,22 +88,23 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, sizes_a: np.ndarray, sizes
 
 
 def sketches(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(_id, n, set key, registers, bands) of documents that have _id."""
+    """(_id, digest of the text, n, set key, registers, bands) of documents that have _id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = shingle_sets([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], k)
+                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = shingle_sets(texts, k)
                 regs = [registers(s) if len(s) else None for s in sets]
                 digest = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r if r is None else r.tobytes() for r in regs], pa.binary()), pa.array([r if r is None else bands(r).tolist() for r in regs], pa.list_(pa.int64()))],
-                    names=["_id", "n", "key", "regs", "bands"],
+                    [part.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r if r is None else r.tobytes() for r in regs], pa.binary()), pa.array([r if r is None else bands(r).tolist() for r in regs], pa.list_(pa.int64()))],
+                    names=["_id", "digest", "n", "key", "regs", "bands"],
                 )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return map_arrow(docs.select("_id", F.col(text_col).cast("string").alias("_text")), run, f"_id {kind}, n long, key binary, regs binary, bands array<long>")
+    return map_arrow(docs.select("_id", F.col(text_col).cast("string").alias("_text")), run, f"_id {kind}, digest binary, n long, key binary, regs binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -176,14 +178,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """Per document: (_id, n_shingles, component_id), linked at 100 x intersection >= percent x union; component_id is the smallest id reachable."""
     docs = docs.select(filled_id(docs, id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     found = save(sketches(docs, k, "text"), "near-sketches")
-    nodes = save(found.where("n > 0").groupBy("key").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "near-nodes")
-    kind = nodes.schema["id"].dataType.simpleString()
+    kind = docs.schema["_id"].dataType.simpleString()
+    nodes = found.where("n > 0").groupBy("key").agg(F.min(F.struct("_id", "digest")).alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    nodes = save(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "row.*", "n", "regs", "bands"), "near-nodes")
     placed = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     buckets = save(placed.join(shared, "bucket").select("bucket", "a", F.col("id").alias("b")), "near-buckets")
     pairs = buckets.where("a <> b").select("a", "b").distinct()
-    members = buckets.select(F.col("b").alias("_id")).distinct()
-    texts = save(docs.join(members, "_id", "left_semi").groupBy("_id").agg(F.first("text").alias("text")).select(F.col("_id").alias("id"), "text"), "near-texts")
+    members = nodes.join(buckets.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select("id", "_id", "digest")
+    rows = docs.select("_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").join(members, ["_id", "digest"])
+    texts = save(rows.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
     links = save(verified(likely(pairs, nodes, percent / 100), texts, k, percent), "near-links")
     labels = save(components(links), "near-labels")
     named = buckets.select("bucket", F.col("b").alias("id")).join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
@@ -191,8 +195,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_ = save(named.join(mixed, "bucket").select("id", "component").distinct(), "near-open")
     more = verified(likely(rare_pairs(texts, open_, k, percent), nodes, percent / 100), texts, k, percent)
     labels = save(components(links.union(more)), "near-labels")
-    rows = found.select("_id", "n", "key").join(nodes.select("key", "id"), "key", "left").join(labels, "id", "left")
-    return rows.select("_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "_id").cast(kind).alias("component_id"))
+    linked = labels.join(nodes.select("id", "_id"), "id")
+    names = linked.groupBy("component").agg(F.min("_id").alias("name"))
+    named = linked.join(names, "component").select("id", "name")
+    named = save(nodes.select("id", "key", F.col("_id").alias("least")).join(named, "id", "left").select("key", F.coalesce("name", "least").alias("name")), "near-names")
+    rows = found.select("_id", "n", "key").join(named, "key", "left")
+    return rows.select("_id", F.col("n").alias("n_shingles"), F.coalesce("name", "_id").cast(kind).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

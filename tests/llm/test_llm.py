@@ -170,6 +170,21 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dedup.keep_first(empty).count() == 0
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    texts = [[f"t{i}w{j}" for j in range(100)] for i in range(6)]
+    near = lambda t: " ".join([*t[:-1], f"other{rng.integers(1000)}"])
+    whole = [" ".join(t) for t in texts]
+    # Null ids with two texts and without one, and a repeated id with two texts; each text has a near copy.
+    rows = [(None, None), (None, ""), (None, whole[0]), (None, whole[1]), (50, whole[2]), (50, whole[3]), (60, whole[4])]
+    rows += [(101, near(texts[0])), (102, near(texts[1])), (103, near(texts[2])), (104, near(texts[3])), (4, near(texts[3])), (105, whole[5])]
+    low = -(2**63)
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        found = sorted((r["_id"], r.n_shingles > 0, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+        assert found == sorted([(low, False, low)] * 2 + [(low, True, low)] * 2 + [(50, True, 50), (50, True, 4), (60, True, 60), (101, True, low), (102, True, low), (103, True, 50), (104, True, 4), (4, True, 4), (105, True, 105)])
+
+
 # 4
 
 
