@@ -7,7 +7,8 @@ on one half of the training rows; then all layers are trained by gradient descen
 word seen once does not pass for evidence. A threshold for each language, which is told from function words of the text
 itself, is calibrated on training rows, and scores are shifted so that 0.5 is that threshold.
 
-Training rows are at most max_rows of each class, those whose id has the smallest hash; scoring covers all rows. The id,
+Training rows are at most max_rows of each class, those whose id has the smallest hash; scoring covers all rows. In the
+loss and in the errors of the calibration each class weighs as much as it has labelled rows, fitted on or not. The id,
 the source and the language column are never inputs of a score.
 
 Null and blank texts get a score too, from empty pools. Rows without a label are not trained on. Without rows of both
@@ -143,8 +144,8 @@ def _initial(texts: list[bytes], labels: np.ndarray, rng: np.random.Generator) -
     return Model(embedding, filters, bias, np.full(FILTERS * len(WIDTHS), 0.1, np.float32), np.zeros(1, np.float32))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
-    """Fits a model to labelled texts (label 1: toxic)."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Model:
+    """Fits a model to labelled texts (label 1: toxic), each with the weight of its class."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     half = len(texts) // 2
@@ -169,7 +170,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int =
             best = [np.take_along_axis(r, s, 0) for r, s in zip(responses, spots)]
             hidden = np.concatenate(best, 1)
             z = np.maximum(hidden, 0) @ model.weights + model.intercept
-            error = ((1 / (1 + np.exp(-z)) - labels[mine]) / len(mine)).astype(np.float32)
+            error = (weights[labels[mine]] * (1 / (1 + np.exp(-z)) - labels[mine]) / len(mine)).astype(np.float32)
             back = error[:, None] * model.weights * (hidden > 0)
             grads = [np.maximum(hidden, 0).T @ error, error.sum(keepdims=True)]
             to_filters, to_bias = [], []
@@ -192,12 +193,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int =
             touched = np.flatnonzero(np.abs(to_word).sum(1))
             for c in range(rows.shape[1]):
                 np.subtract.at(model.embedding, rows[touched, c], rate * 5 * to_word[touched])
-    model.thresholds = _calibrated(model, [texts[i] for i in fit], labels[fit])
+    model.thresholds = _calibrated(model, [texts[i] for i in fit], labels[fit], weights)
     return model
 
 
-def _calibrated(model: Model, texts: list[bytes], labels: np.ndarray) -> np.ndarray:
-    """For each language the logit that makes the fewest errors, halfway between its neighbours; that of all languages where rows are few."""
+def _calibrated(model: Model, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each language the logit that makes the fewest weighted errors, halfway between its neighbours; that of all languages where rows are few."""
     z, g = [], []
     for a in range(0, len(texts), 256):
         rows, own, at = features(texts[a : a + 256])
@@ -208,9 +209,9 @@ def _calibrated(model: Model, texts: list[bytes], labels: np.ndarray) -> np.ndar
     def best(z: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(z)
         z, y = z[order], y[order]
-        missed, passed = np.concatenate(([0], np.cumsum(y))), np.concatenate(([0], np.cumsum(1 - y)))
+        missed, passed = np.concatenate(([0], np.cumsum(weights[1] * y))), np.concatenate(([0], np.cumsum(weights[0] * (1 - y))))
         wrong = missed + passed[-1] - passed
-        least = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+        least = np.flatnonzero(wrong <= wrong.min() + 1e-6)
         low, high = least[0], least[-1]
         edges = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
         return float((edges[low] + edges[high + 1]) / 2)
@@ -227,6 +228,7 @@ def _calibrated(model: Model, texts: list[bytes], labels: np.ndarray) -> np.ndar
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Trains on at most max_rows labelled documents of each class; None without both classes."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null").dropDuplicates(["_id"])
+    counted = {r["_y"]: r["n"] for r in docs.select(F.col(id_col).alias("_id")).join(known, "_id").groupBy("_y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("_id")
     chosen = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(max_rows) for y in (0, 1)]
     rows = F.broadcast(chosen[0].union(chosen[1]))  # 2 x max_rows rows
@@ -235,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str =
     y = np.array([g[1] for g in got], np.int64)
     if len(got) < 4 or y.min() == y.max():
         return None
-    return train([g[2] for g in got], y)
+    weights = np.array([counted[0], counted[1]]) / np.bincount(y, minlength=2)
+    return train([g[2] for g in got], y, weights * len(y) / weights[y].sum())
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:

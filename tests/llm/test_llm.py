@@ -219,6 +219,17 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_classes_keep_their_share_when_one_is_capped(spark):
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join(f"w{i}" for i in rng.integers(0, 300, 12))
+    # "edge" stands in all 200 toxic texts and in 800 of 4,000 clean ones: calling it toxic makes four times as many errors.
+    rows = [(i, filler() + (" edge" if i < 1000 else ""), int(i < 200)) for i in range(4200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"), max_rows=150)
+    scored = toxicity.score(df, model).agg(F.sum("_predicted"), F.sum(F.abs(F.col("_predicted") - F.col("toxic")))).first()
+    assert scored[1] <= 210
+
+
 # 6
 
 
