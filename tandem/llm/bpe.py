@@ -1,14 +1,14 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the bytes of a text proposes cuts, so that equal passages are cut alike wherever they stand. Between
-two cuts lies a chunk that is encoded once per task and reused by all documents there. A cut may fall inside a word,
-so the join around it is repaired: it is widened to the nearest places on both sides at which the tokenizer must split
-whatever surrounds them (a space between two visible characters), and that stretch is encoded anew. At such places the
-encoding of the parts and of the whole agree exactly, so the result is that of encoding whole texts. Where a text has
-no such place near, the stretch grows until it has one, up to the whole text.
+A rolling hash over the bytes of a text cuts it into chunks, so that equal passages are cut alike wherever they stand. A
+chunk is encoded once per task, and its ids are reused by all documents there. A cut may fall inside a word, so every join of
+two chunks is repaired: the last tokens of what stands before it and the first of what follows are decoded, and their
+text is encoded anew. When this begins with the first and ends with the last of the tokens that it replaces, both sides
+agree; until then the window grows to twice as many tokens. Two neighbouring tokens are right wherever they are what
+their joint text is encoded as, so ids that agree at both ends of a window are those of the whole text, in every script.
 
-Encoding uses the tokenizer's merge ranks; ids are those of the tokenizers library, whose own code encodes stretches that
-are very long. Special tokens written in a text are taken as such, as that library does.
+Encoding uses the tokenizer's merge ranks; ids are those of the tokenizers library. Special tokens written in a text are taken as
+such, as that library does. A task keeps at most 2 * KEPT chunks, those met last; one that is not kept is encoded again.
 
 Null texts count as empty. Repeated rows, ties and other columns need no care: rows are independent.
 """
@@ -16,8 +16,9 @@ Null texts count as empty. Repeated rows, ties and other columns need no care: r
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .tables import map_arrow
 
 #: The pre-tokenizer's pattern, and the library's display alphabet for bytes (printable ones stand for themselves).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-#: One place in 2**CUT_BITS is a cut. Chunks that a task keeps. Bytes beyond which a stretch goes to the tokenizers library.
-CUT_BITS, KEPT, LONG = 6, 60_000, 4096
+#: One place in 2**CUT_BITS is a cut; least and most bytes of a chunk; chunks in each of the two generations that a task keeps;
+#: tokens on each side of a join that are encoded anew at first.
+CUT_BITS, LEAST, MOST, KEPT, WINDOW = 9, 32, 4096, 20_000, 4
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -58,48 +60,70 @@ class Codec:
         words = {bytes(alphabet[c] for c in w): i for w, i in file["model"]["vocab"].items() if all(c in alphabet for c in w)}
         self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
         ranks = {w: i for w, i in words.items() if w not in self.special}
-        self.path = path
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.table = [b""] * (1 + max(*words.values(), *self.special.values()))
         for w, i in [*words.items(), *self.special.items()]:
             self.table[i] = w
-        self.kept: dict[bytes, bytes] = {}
-        values = np.random.default_rng(1).integers(1, 2**32, 256, dtype=np.uint32)
-        self.gear = values
-        shown = np.zeros(256, bool)
-        shown[0x21:0x7F] = True
-        self.shown = shown
-
-    @cached_property
-    def library(self):
-        """The tokenizers library's own, loaded when a stretch needs it."""
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.path)
-
-    def _plain(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        ids = self.fast.encode_ordinary(text) if len(piece) <= LONG else self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def edges(self, data: bytes) -> list[int]:
-        """Where the stretches begin and end: for each proposed cut the agreed places before and after it."""
+        self.inner = [0x80 <= w[0] < 0xC0 if w else False for w in self.table]  # tokens that begin inside a character
+        self.kept: dict[bytes, array] = {}
+        self.older: dict[bytes, array] = {}
+        self.gear = np.random.default_rng(1).integers(1, 2**32, 256, dtype=np.uint32)
+
+    def cuts(self, data: bytes) -> list[int]:
+        """Where the chunks begin and end: places told by the 16 bytes before them, moved to the next character."""
         n = len(data)
-        if n < 64:
+        if n <= LEAST:
             return [0, n]
-        b = np.frombuffer(data, np.uint8)
-        h = self.gear[b]
+        h = self.gear[np.frombuffer(data, np.uint8)]
         for step, mult in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (4, 0xC2B2AE35), (8, 0x27D4EB2F)):
             h = h[:-step] * np.uint32(mult) + h[step:]  # h[i]: of the bytes i to i + 2 * step - 1
-        cuts = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 15
-        left = self.shown[b]
-        left[1:] |= b[:-1] == 0xC3  # an accented Latin letter's second byte
-        agreed = np.flatnonzero((b[1:-1] == 0x20) & left[:-2] & (self.shown[b[2:]] | (b[2:] == 0xC3))) + 1
-        if not len(agreed) or not len(cuts):
-            return [0, n]
-        at = np.searchsorted(agreed, cuts, "right")
-        places = np.concatenate(([0], agreed[np.maximum(at - 1, 0)], agreed[np.minimum(at, len(agreed) - 1)], [n]))
-        return np.unique(places).tolist()
+        out, a = [0], 0
+        for x in [*(np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + 16).tolist(), n]:
+            while x - a > MOST:
+                a = self._character(data, a + MOST)
+                out.append(a)
+            if x - a >= LEAST and x < n:
+                a = self._character(data, x)
+                out.append(a)
+        return [*out, n] if out[-1] < n else out
+
+    @staticmethod
+    def _character(data: bytes, at: int) -> int:
+        while at < len(data) and 0x80 <= data[at] < 0xC0:
+            at += 1
+        return at
+
+    def chunk(self, piece: bytes) -> array:
+        """Ids of a chunk, from what is kept if it is."""
+        got = self.kept.get(piece)
+        if got is None:
+            got = self.older.get(piece)
+            if got is None:
+                got = array("I", self.fast.encode_ordinary(piece.decode()))
+            if len(self.kept) >= KEPT:
+                self.kept, self.older = {}, self.kept
+            self.kept[piece] = got
+        return got
+
+    def join(self, done: array, more: array) -> None:
+        """Appends the ids of a chunk to those of the text before it, with the join repaired."""
+        table, inner, width = self.table, self.inner, WINDOW
+        while True:
+            i, j = max(len(done) - width, 0), min(width, len(more))
+            while i and inner[done[i]]:
+                i -= 1
+            while j < len(more) and inner[more[j]]:
+                j += 1
+            old = [*done[i:], *more[:j]]
+            new = self.fast.encode_ordinary(b"".join([table[t] for t in old]).decode())
+            if (not i or new[0] == old[0]) and (j == len(more) or new[-1] == old[-1]):
+                break
+            width *= 2
+        if new != old:
+            done[i:] = array("I", new)
+            done += more[j:]
+        else:
+            done += more
 
     def encode(self, data: bytes) -> np.ndarray:
         """Ids of a whole text given in UTF-8, as little-endian unsigned 32-bit integers."""
@@ -108,19 +132,15 @@ class Codec:
                 parts = [self.encode(p) for p in data.split(mark)]
                 own = np.array([number], "<u4")
                 return np.concatenate([x for p in parts for x in (p, own)][:-1])
-        kept, out, a = self.kept, [], 0
-        if len(kept) > KEPT:
-            kept.clear()
-        for e in self.edges(data)[1:]:
-            piece = data[a:e]
-            a = e
-            got = kept.get(piece)
-            if got is None:
-                got = self._plain(piece) if piece else b""
-                if len(piece) <= 256:
-                    kept[piece] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), "<u4")
+        edges = self.cuts(data)
+        done = array("I")
+        for a, e in zip(edges, edges[1:]):
+            more = self.chunk(data[a:e])
+            if done:
+                self.join(done, more)
+            else:
+                done += more
+        return np.frombuffer(done, np.uint32).astype("<u4", copy=False)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8; bytes that are no text become the replacement character."""

@@ -198,6 +198,45 @@ def test_ids_are_those_of_the_library(odd, docs, empty):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(bpe.default_path())
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_joins_agree_in_every_script(library, monkeypatch, bits):
+    monkeypatch.setattr(bpe, "CUT_BITS", bits)
+    monkeypatch.setattr(bpe, "LEAST", 1)
+    rng, own = np.random.default_rng(bits), bpe.Codec()
+    parts = ["a", "b", "the", " ", "  ", "\n", "'", "'s", "'ll", "ll", "re", "5", "12", "é", "中", "日本", "🙂", "\u200d", "ا", "ل", "ب", "ж", "...", "-", "\t", "\u3000", "\x00"]
+    for _ in range(1500):
+        some = rng.choice(parts, rng.integers(2, 9), replace=False)
+        text = "".join(rng.choice(some, rng.integers(1, 120)))
+        assert own.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["x", " ", "\n", "中文日本語", "жук ", "العربية", "🙂", "abc'll 12\n\n "])
+def test_ids_of_very_long_texts(library, unit):
+    text = unit * (1_000_000 // len(unit.encode())) + "end"
+    assert bpe.Codec().encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_are_encoded_once_and_again_when_dropped(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    rng, own = np.random.default_rng(2), bpe.Codec()
+    words = [" ".join(rng.choice(["tree", "house", "über", "so", "q"], 400)) for _ in range(4)]
+    for text in (words[0], words[1] + words[0], words[2] + words[0] + words[3], words[0]):
+        assert own.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.kept) <= 3 and len(own.older) <= 3
+    monkeypatch.setattr(bpe, "KEPT", 1000)
+    own = bpe.Codec()
+    own.encode((words[0] + words[1]).encode())
+    before = len(own.kept)
+    own.encode((words[2] + words[0] + words[1]).encode())
+    asked = len(own.cuts(words[2].encode()))
+    assert len(own.kept) - before <= asked + 2
+
+
 # 5
 
 
