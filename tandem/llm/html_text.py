@@ -1,14 +1,16 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes its blocks of text, in page order. A linear classifier gives each block a cost of being called content and
-of being called boilerplate, which are the capacities to the two terminals. Blocks that follow each other, and blocks of
-the same container, are joined by smoothness edges that grow with their proximity in the document tree. The minimum cut
-that separates the terminals, found by maximum flow, is the cheapest labelling. Blocks whose own cost outweighs all
-their edges are labelled at once, since no cut can be cheaper otherwise; what is left is solved exactly.
+A page becomes its blocks of text, in page order. A logistic classifier, trained in numpy on a bounded sample of labelled pages
+(html_sample), gives each block a logit from its length, links, tags, place, containers and neighbours; it is the
+capacity to the terminal of content or of boilerplate. Blocks that follow each other, and blocks of the same container, are joined
+by smoothness edges that grow with their proximity in the document tree and shrink where a container with a meaning of its
+own (navigation, article, advert) stands between them. The minimum cut that separates the terminals, found by maximum
+flow, is the cheapest labelling. Costs are tempered, so that a short or odd block follows its neighbours; the strength of
+the edges is the one that labels most blocks of a second sample rightly.
 
 The text is whole: nothing but boilerplate is dropped, nothing is capped. Character references are decoded, white space
 in a block becomes one space, and blocks are joined by a line feed. Line breaks and inline markup are white space or
-nothing inside a block. Markup that is broken or cut off is read as far as it goes.
+nothing inside a block. What is marked as hidden is not shown and so no text. Markup that is broken or cut off is read as far as it goes.
 
 Null, empty and text-free pages give an empty text. Repeated rows are extracted each.
 """
@@ -19,12 +21,15 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_sample import labelled_pages
 from .tables import map_arrow
 
 TOKEN = re.compile(
@@ -45,9 +50,15 @@ BAD_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comme
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 GOOD_NAMES = re.compile(r"(?:^|[-_\s])(?:article|articlebody|content|entry|post|story)(?:$|[-_\s])", re.I)
 
-#: Weights of the classifier, in logits; smoothness of neighbours by how many containers up they meet.
-CONTAINER, BOILERPLATE, OUTER, HIDDEN, LINKS, HEADING, PARAGRAPH, ITEM, PLAIN = 4.0, -8.0, -1.0, -12.0, -3.0, 1.5, 1.0, -0.5, -1.0
-PROXIMITY = (1.0, 0.5, 0.2)
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|replies|reply|respond)(?:$|[-_\s])", re.I)
+#: Class names that tell what a page has, not what an element is.
+ABOUT = re.compile(r"(?:^|\s)(?:has|with|no|without|is)-\S*", re.I)
+CELLS = set("td th pre blockquote figcaption dd dt code".split())
+
+#: Smoothness of neighbours by how many containers up they meet; the share left where a wall stands between; that of blocks of one container.
+PROXIMITY, WALL, SIBLING = (1.0, 0.6, 0.3), 0.1, 0.3
+#: Pages of the training sample, and of the one that chooses the strength of edges; the strengths; the largest logit.
+SAMPLE, STRENGTHS, CLIP = 140, (0.25, 0.5, 1.0, 1.5, 2.0, 3.0), 8.0
 
 
 @dataclass
@@ -67,10 +78,7 @@ class Block:
     path: tuple[Element, ...]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    text: str = ""
 
 
 def _element(tag: str, attributes: str, number: int) -> Element:
@@ -78,12 +86,13 @@ def _element(tag: str, attributes: str, number: int) -> Element:
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             named.setdefault(name.lower(), a or b or c)
-    label = f"{named.get('class', '')} {named.get('id', '')}"
+    label = ABOUT.sub(" ", f"{named.get('class', '')} {named.get('id', '')}")
     role = named.get("role", "").lower()
     style = named.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    if tag in BAD_TAGS or role in BAD_ROLES or BAD_NAMES.search(label) and tag not in ("html", "body"):
-        kind = -1
+    bad_names = COMMENT_NAMES if tag in GOOD_TAGS or role in ("main", "article") else BAD_NAMES
+    if tag in BAD_TAGS or role in BAD_ROLES or bad_names.search(label) and tag not in ("html", "body"):
+        kind = -1 if tag in BAD_TAGS or role in BAD_ROLES else -2
     elif tag in GOOD_TAGS or role in ("main", "article") or named.get("itemprop") == "articleBody":
         kind = 2
     else:
@@ -151,7 +160,9 @@ def blocks(html: str) -> list[Block]:
             else:
                 stack.append(Element(tag, 0, False, number))
             links += tag == "a"
-    return [b for b in out if b.text]
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in out if b.text and not any(e.hidden for e in b.path)]
 
 
 def _close_implied(stack: list[Element], tag: str) -> None:
@@ -165,38 +176,78 @@ def _close_implied(stack: list[Element], tag: str) -> None:
             return
 
 
-def cost(block: Block) -> float:
-    """The classifier's logit: above 0 for content."""
-    inside = outer = 0.0
-    good = False
-    for e in reversed(block.path):
-        if e.hidden:
-            inside += HIDDEN
-        if e.kind < 0:
-            if good:
-                outer = OUTER
-            else:
-                inside += BOILERPLATE
-        elif e.kind and not good:
-            good = e.kind == 2
-            inside += CONTAINER / (3 - e.kind)
-    text = block.text
-    words = text.count(" ") + 1
-    tags = {e.tag for e in block.path[-3:]}
-    own = HEADING if tags & HEADINGS else PARAGRAPH if "p" in tags else ITEM if "li" in tags else 0.0
-    density = min(block.linked / max(len(text) - words + 1, 1), 1.0)
-    return PLAIN + min(words, 40) / 10 + own + LINKS * density + inside + outer
+def _own(b: Block) -> list[float]:
+    """Features of a block by itself."""
+    words = b.text.count(" ") + 1
+    density = min(b.linked / max(len(b.text) - words + 1, 1), 1.0)
+    tags = {e.tag for e in b.path[-3:]}
+    bad_tag = bad_name = header = good_tag = good_name = outer = 0.0
+    for e in reversed(b.path):
+        if e.kind < 0 and good_tag:
+            outer = 1.0
+        elif e.kind < 0 and e.tag == "header":
+            header = 1.0
+        elif e.kind < 0:
+            bad_tag, bad_name = max(bad_tag, float(e.kind == -1)), max(bad_name, float(e.kind == -2))
+        elif e.kind == 2:
+            good_tag = float(not (bad_tag or bad_name))
+        elif e.kind == 1 and not (bad_tag or bad_name):
+            good_name = 1.0
+    sentence = float(words >= 8 and b.text[-1] in ".!?…。！？")
+    return [
+        float(np.log1p(words)) / 3, sentence, density, float(density > 0.9), float(bool(tags & HEADINGS)), float("p" in tags), float("li" in tags), float(bool(tags & CELLS)),
+        bad_tag, bad_name, header * (1 - good_tag), header * good_tag, good_tag, good_name, outer, float(not (bad_tag or bad_name or good_tag or good_name)) * (sentence - density),
+    ]
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """One row for each block: its own features, length and links of its neighbours, its place, and a constant."""
+    own = np.array([_own(b) for b in found])
+    around = np.zeros((len(own) + 2, 2))
+    around[1:-1] = own[:, [0, 2]]
+    place = np.arange(len(own)) / max(len(own) - 1, 1)
+    return np.column_stack((own, around[:-2], around[2:], place, np.ones(len(own))))
+
+
+def trained(x: np.ndarray, y: np.ndarray, penalty: float = 3.0) -> np.ndarray:
+    """Weights of a logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+    return w
+
+
+def _labelled(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
+    pages = [(blocks(html), kept) for html, kept in labelled_pages(n, seed)]
+    return [(found, np.array([b.text.split()[0] in kept for b in found])) for found, kept in pages]
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[np.ndarray, float]:
+    """Weights of the classifier, and the strength of the edges."""
+    sample = _labelled(SAMPLE, 1)
+    weights = trained(np.concatenate([features(f) for f, _ in sample]), np.concatenate([y for _, y in sample]))
+    other = _labelled(SAMPLE, 2)
+    right = [sum((np.array(labels(f, (weights, s))) == y).sum() for f, y in other) for s in STRENGTHS]
+    return weights, STRENGTHS[int(np.argmax(right))]
+
+
+def costs(found: list[Block], weights: np.ndarray) -> list[float]:
+    """The classifier's logits: above 0 for content."""
+    return np.clip(features(found) @ weights, -CLIP, CLIP).tolist()
 
 
 def proximity(a: Block, b: Block) -> float:
-    """The smoothness between two blocks: by how far up the tree their paths meet."""
+    """The smoothness between two blocks: by how far up the tree their paths meet, and whether a wall stands between."""
     shared = 0
     for x, y in zip(a.path, b.path):
         if x is not y:
             break
         shared += 1
     up = max(len(a.path), len(b.path)) - shared
-    return PROXIMITY[min(max(up - 1, 0), len(PROXIMITY) - 1)]
+    wall = any(e.kind for e in a.path[shared:]) or any(e.kind for e in b.path[shared:])
+    return PROXIMITY[min(max(up - 1, 0), len(PROXIMITY) - 1)] * (WALL if wall else 1.0)
 
 
 def max_flow(costs: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -250,48 +301,60 @@ def max_flow(costs: list[float], edges: dict[tuple[int, int], float]) -> list[bo
                 break
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Whether each block is content."""
-    costs = [cost(b) for b in found]
-    edges: dict[tuple[int, int], float] = {}
+def edges(found: list[Block], strength: float) -> dict[tuple[int, int], float]:
+    """Smoothness of pairs of blocks: neighbours in the page, and in the same container."""
+    out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges[i - 1, i] = edges.get((i - 1, i), 0) + proximity(found[i - 1], b)
+            out[i - 1, i] = strength * proximity(found[i - 1], b)
         parent = b.path[-2].number if len(b.path) > 1 else -1
         if parent in last:
-            edges[last[parent], i] = edges.get((last[parent], i), 0) + PROXIMITY[-1]
+            out[last[parent], i] = out.get((last[parent], i), 0) + strength * SIBLING
         last[parent] = i
+    return out
+
+
+def labels(found: list[Block], fitted: tuple[np.ndarray, float]) -> list[bool]:
+    """Whether each block is content: the sides of the minimum cut.
+
+    A block whose own cost outweighs all its edges is on that side of every minimum cut; it is merged with the terminal before
+    the flow is sought among the rest.
+    """
+    if not found:
+        return []
+    own, joined = costs(found, fitted[0]), edges(found, fitted[1])
     around: list[list[tuple[int, float]]] = [[] for _ in found]
-    for (i, j), w in edges.items():
+    for (i, j), w in joined.items():
         around[i].append((j, w))
         around[j].append((i, w))
-    sure = {i: c > 0 for i, c in enumerate(costs) if abs(c) > sum(w for _, w in around[i])}
+    sure = {i: c > 0 for i, c in enumerate(own) if abs(c) > sum(w for _, w in around[i])}
     rest = [i for i in range(len(found)) if i not in sure]
     if rest:
         at = {i: k for k, i in enumerate(rest)}
-        own = [costs[i] + sum(w if sure[j] else -w for j, w in around[i] if j in sure) for i in rest]
-        inner = {(at[i], at[j]): w for (i, j), w in edges.items() if i in at and j in at}
-        sure |= dict(zip(rest, max_flow(own, inner)))
+        left = [own[i] + sum(w if sure[j] else -w for j, w in around[i] if j in sure) for i in rest]
+        inner = {(at[i], at[j]): w for (i, j), w in joined.items() if i in at and j in at}
+        sure |= dict(zip(rest, max_flow(left, inner)))
     return [sure[i] for i in range(len(found))]
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, fitted: tuple[np.ndarray, float] | None = None) -> str:
     """The main text of a page."""
     found = blocks(html)
-    return "\n".join(b.text for b, content in zip(found, labels(found)) if content)
+    return "\n".join(b.text for b, content in zip(found, labels(found, fitted or model())) if content)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html, with text and n_chars (code points)."""
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    fitted = model()  # trained once, here; tasks get the weights
     kinds = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), "text string", "n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(h or "") for h in part.column(len(kept)).to_pylist()]
+                texts = [main_text(h or "", fitted) for h in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
     own = "_".join(["html", *kept])  # differs from every other name

@@ -296,6 +296,51 @@ def test_cut_is_minimal(seed):
     assert price(html_text.max_flow(costs, edges)) == pytest.approx(least)
 
 
+def test_labels_are_a_minimum_cut_of_whole_pages():
+    fitted, flipped = html_text.model(), 0
+    for found, _ in html_text._labelled(150, 7):
+        found = found[:13]
+        own, joined = html_text.costs(found, fitted[0]), html_text.edges(found, fitted[1])
+        least, price = brute_cut(own, {(j, i): w for (i, j), w in joined.items()})
+        got = html_text.labels(found, fitted)
+        assert price(got) == pytest.approx(least)
+        flipped += sum((c > 0) != x for c, x in zip(own, got))
+    assert flipped > 0
+
+
+def test_the_cut_labels_more_blocks_rightly_than_the_classifier_alone():
+    fitted = html_text.model()
+    sample = html_text._labelled(200, 9)
+    blocks = sum(len(y) for _, y in sample)
+    alone = sum(((np.array(html_text.costs(f, fitted[0])) > 0) == y).sum() for f, y in sample)
+    cut = sum((np.array(html_text.labels(f, fitted)) == y).sum() for f, y in sample)
+    assert alone < cut and cut / blocks > 0.97
+
+
+def test_the_flow_runs_on_raw_pages(spark, monkeypatch):
+    calls, flow = [], html_text.max_flow
+    monkeypatch.setattr(html_text, "max_flow", lambda *a: calls.append(1) or flow(*a))
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for html in pages:
+        body = html[html.index("<article>") : html.index("</article>")]
+        want = {b.text for b in html_text.blocks(body)}
+        assert html_text.main_text(html).split("\n") == [b.text for b in html_text.blocks(html) if b.text in want]
+    assert calls
+
+
+def test_names_that_tell_what_a_page_has():
+    page = "<body class=has-sidebar><nav><a href=x>Home</a></nav><main class='content has-sidebar'><article class='post social'><h1>Title of it</h1><p>A paragraph of the article, with words enough to count.</p></article></main></body>"
+    assert html_text.main_text(page) == "Title of it\nA paragraph of the article, with words enough to count."
+
+
+def test_long_and_repeated_pages(spark):
+    body = "".join(f"<p>Paragraph {i} of a very long page, which is kept whole.</p>" for i in range(20_000))
+    html = f"<body><nav><a href=x>Home</a></nav><article>{body}</article><footer>us</footer></body>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>short</p>"), (1, "u", html)], "page_id long, url string, html string")
+    rows = html_text.extract(pages).where("page_id = 1").collect()
+    assert len(rows) == 2 and rows[0].text == rows[1].text and rows[0].text.count("\n") == 19_999 and rows[0].n_chars == len(rows[0].text)
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", None), (None, "u", "<p>Some words of an article that are long enough to be kept as such.</p>", None)], "page_id long, url string, html string, _html string")
     rows = html_text.extract(pages).collect()
