@@ -488,17 +488,47 @@ def test_exact_search_of_odd_vectors(spark):
     assert exact_search.search(odd_vectors(spark).limit(0), lambda i: i % 100 == 0).count() == 0
 
 
-def test_exact_search_with_a_query_row_repeated(spark):
-    # The fourth id by hash is a pivot; 12 rows of it lie at distance 0 from that pivot, more than the k + 1 that are kept of a cell.
-    query = [r.id for r in spark.range(60).orderBy(F.xxhash64("id")).limit(4).collect()][-1]
+def brute_search(rows, asks, k=10):
+    """Ranks by integer inner product; rows: (id, vector), repeated as they come."""
+    x = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    out = []
+    for q, y in {i: v for i, v in reversed(x) if asks(i)}.items():
+        best = sorted((-int(y @ v), i) for i, v in x if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def found_by(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
+def test_exact_search_with_rows_repeated(spark, monkeypatch):
+    monkeypatch.setattr(exact_search, "BLOCK", 16)
     rng = np.random.default_rng(6)
     x = {i: rng.normal(0, 1, 8) for i in range(60)}
-    x[query] = np.full(8, 20.0)
-    rows = [(i, x[i].tolist()) for i in x for _ in range(12 if i == query else 1)]
+    x[7] = np.full(8, 20.0)
+    # Twelve rows of the query, ids with other vectors, an id whose row is there 15 times, and 40 ids of one vector.
+    rows = [(i, x[i].tolist()) for i in x for _ in range({7: 12, 9: 15}.get(i, 1))]
+    rows += [(i, x[3].tolist()) for i in range(200, 240)] + [(20, x[21].tolist()), (20, x[22].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for asks in (lambda i: i == 7, lambda i: (i == 9) | (i == 3) | (i == 210)):
+        assert found_by(exact_search.search(df, asks)) == brute_search(rows, asks)
+
+
+def test_exact_search_prunes_clusters(spark, monkeypatch):
+    monkeypatch.setattr(exact_search, "BLOCK", 64)
+    monkeypatch.setattr(exact_search, "QUERIES", 8)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (20, 16))
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.3, 16)).tolist()) for i in range(6000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = sorted((r["rank"], r.vec_id, r.score) for r in exact_search.search(df, lambda i: i == query).collect())
-    scores = sorted((-int(np.floor(1024 * x[query]) @ np.floor(1024 * y)), i) for i, y in x.items() if i != query)[:10]
-    assert found == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    asks = lambda i: i % 100 == 0
+    candidates, queries, keys, _ = exact_search.join(df, asks, 10)
+    tiles = queries.groupBy(*keys).agg(F.count("*").alias("q")).join(candidates.groupBy(*keys).agg(F.count("*").alias("r")), keys)
+    met = tiles.agg(F.sum(F.col("q") * F.col("r"))).first()[0]
+    assert met < 0.2 * 60 * 6000  # of all pairs of a query and a row
+    assert candidates.count() < 0.5 * 8 * 6000  # of all rows to all groups of queries
+    assert found_by(exact_search.search(df, asks)) == brute_search(rows, asks)
 
 
 def test_near_search_recall(spark):
@@ -519,7 +549,7 @@ def test_near_search_recall(spark):
         assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("table", ["sf0.001", "sf0.1", "no clusters"])
+@pytest.mark.parametrize("table", ["sf0.1", "no clusters"])
 def test_near_search_visits_its_probes_only(spark, table):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(0, 1, 64).tolist()) for i in range(5000)]
@@ -529,8 +559,9 @@ def test_near_search_visits_its_probes_only(spark, table):
     found = defaultdict(set)
     for r in near_search.search(df, lambda i: i % 100 == 0).collect():
         found[r.query_id].add(r.vec_id)
-    placed = np.concatenate([near_search.buckets(x, t) for t in range(near_search.TABLES)], 1)
-    looked = np.concatenate([near_search.buckets(x, t, near_search.PROBES) for t in range(near_search.TABLES)], 1)
+    bits = near_search.widths(len(x), 64)
+    placed = np.concatenate([near_search.buckets(x, t, bits) for t in range(near_search.TABLES)], 1)
+    looked = np.concatenate([near_search.buckets(x, t, bits, near_search.PROBES) for t in range(near_search.TABLES)], 1)
     hits, share = [], []
     for i in np.flatnonzero(ids % 100 == 0):
         met = np.isin(placed, looked[i]).any(1)
@@ -539,7 +570,26 @@ def test_near_search_visits_its_probes_only(spark, table):
         assert found[int(ids[i])] == set(ids[np.lexsort((ids, np.where(met, far, np.inf)))[:10]].tolist())
         hits.append(len(best & found[int(ids[i])]) / 10)
         share.append(met.mean())
-    assert np.mean(hits) >= 0.9 and np.mean(share) < 0.5
+    assert np.mean(hits) >= 0.9 and np.mean(share) < 0.3
+
+
+def test_buckets_follow_the_rows():
+    assert [sum(near_search.widths(n, 64)) for n in (10, 2000, 50_000, 10**6, 10**9, 10**12)] == [10, 11, 12, 13, 15, 18]
+    assert near_search.widths(10**12, 64) == [7, 7, 4] and near_search.widths(5, 1) == [2, 2, 1]
+
+
+def test_near_search_with_rows_repeated(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 16).tolist()) for i in range(300)]
+    rows += [(300, rows[0][1])] * 3 + [(i, rows[5][1]) for i in range(400, 440)] + [(400, rng.normal(0, 1, 16).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in near_search.search(df, lambda i: (i == 0) | (i == 5), probes=500).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 5):
+        want = sorted((float(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum())), i) for i, v in rows if i != q)[:10]
+        assert found[q] == [(i, d) for d, i in want]
+    assert [i for i, _ in found[0][:3]] == [300] * 3
 
 
 def test_near_search_of_odd_vectors(spark):
