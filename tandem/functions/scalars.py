@@ -10,13 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 _BLANK = "[\\s ﻿]+"
 
 
-def text(c: Column) -> Column:
-    """The cell as a string; null becomes the empty string."""
-    return F.coalesce(c.cast("string"), F.lit(""))
+def kind_of(data_type: DataType) -> str:
+    """What transforms go by: string, boolean, number or other."""
+    kinds = {StringType: "string", BooleanType: "boolean", NumericType: "number"}
+    return next((k for t, k in kinds.items() if isinstance(data_type, t)), "other")
+
+
+def text(c: Column, kind: str = "string") -> Column:
+    """The cell as a string; null becomes the empty string, numbers take their shortest form."""
+    return F.coalesce(number_string(c.cast("double")) if kind == "number" else c.cast("string"), F.lit(""))
 
 
 def js_trim(c: Column) -> Column:
@@ -53,45 +60,59 @@ def domain(c: Column) -> Column:
     return F.when(c == "", c).otherwise(F.coalesce(F.regexp_replace(F.lower(host), r"^www\.", ""), F.lower(c)))
 
 
-def number(c: Column) -> Column:
+def number(c: Column, kind: str = "string") -> Column:
     """A finite number or null; the empty string is null."""
-    n = js_number(c)
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    n = js_number(c) if kind == "string" else c.cast("double")
     return F.when((c.cast("string") != "") & (F.abs(n) < float("inf")), n)
 
 
-def boolean(c: Column) -> Column:
-    """Of a string: whether it is true, 1 or yes."""
-    return F.lower(c.cast("string")).isin("true", "1", "yes")
-
-
-def yes_no_from_boolean(c: Column) -> Column:
-    return F.when(c, "Yes").when(~c, "No")
+def boolean(c: Column, kind: str = "string") -> Column:
+    """Of a string: whether it is true, 1 or yes; of a number: whether it is one other than 0."""
+    if kind == "boolean":
+        return c
+    if kind == "number":
+        return (c != 0) & ~F.isnan(c.cast("double"))
+    return F.lower(c).isin("true", "1", "yes") if kind == "string" else c.isNotNull()
 
 
-def yes_no_to_boolean(c: Column) -> Column:
-    return F.lower(js_trim(c)) == "yes"
+def yes_no(c: Column, kind: str = "string") -> Column:
+    """Either way by what comes in: yes, true and 1 become true, a boolean becomes yes or no."""
+    if kind == "boolean":
+        return F.when(c, "yes").when(~c, "no")
+    return F.lower(c).isin("yes", "true", "1") if kind == "string" else c
 
 
-def true_false_from_boolean(c: Column) -> Column:
-    return F.when(c, "true").when(~c, "false")
+def true_false(c: Column, kind: str = "string") -> Column:
+    """Either way by what comes in: the word true becomes true, a boolean becomes its word."""
+    if kind == "boolean":
+        return F.when(c, "true").when(~c, "false")
+    return F.lower(c) == "true" if kind == "string" else c
 
 
-def true_false_to_boolean(c: Column) -> Column:
-    return F.lower(js_trim(c)) == "true"
+def _moment(c: Column) -> Column:
+    """The time that a text names; a date alone is midnight UTC, a time without a zone one of the session's."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(c, F.lit("T00:00:00Z")))).otherwise(F.try_to_timestamp(c))
 
 
-def iso_date(c: Column) -> Column:
-    """A date or time in ISO form with milliseconds, UTC; unreadable text is left alone."""
-    return F.coalesce(F.date_format(F.try_to_timestamp(c.cast("string")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), c.cast("string"))
+def _iso(moment: Column) -> Column:
+    """A time in ISO form with milliseconds, UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def epoch_millis(c: Column) -> Column:
-    """Milliseconds since 1970 of an ISO string."""
-    return F.unix_millis(F.try_to_timestamp(c.cast("string")))
+def iso_date(c: Column, kind: str = "string") -> Column:
+    """A date or time in ISO form with milliseconds, UTC; numbers are milliseconds; unreadable text is left alone."""
+    if kind == "number":
+        return _iso(F.timestamp_millis(c.cast("long")))
+    return F.coalesce(_iso(_moment(c)), c) if kind == "string" else c
 
 
-def from_epoch_millis(c: Column) -> Column:
-    return F.date_format(F.timestamp_millis(c.cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+def epoch_millis(c: Column, kind: str = "string") -> Column:
+    """Either way by what comes in: an ISO text becomes milliseconds since 1970, a number becomes ISO text."""
+    if kind == "number":
+        return _iso(F.timestamp_millis(c.cast("long")))
+    return F.unix_millis(_moment(c)) if kind == "string" else c
 
 
 def phone(c: Column) -> Column:
@@ -99,22 +120,31 @@ def phone(c: Column) -> Column:
     return F.regexp_replace(js_trim(c), "[^0-9+]", "")
 
 
-#: Transforms by the names used in field rules; users may add their own.
-TRANSFORMS: dict[str, Callable[[Column], Column]] = {
-    "identity": identity, "lowercase": lowercase, "trim": js_trim, "domain": domain, "number": number, "boolean": boolean,
-    "yes-no": yes_no_to_boolean, "true-false": true_false_to_boolean, "iso-date": iso_date, "epoch-millis": epoch_millis, "phone": phone,
+def _strings(f: Callable[[Column], Column]) -> Callable[[Column, str], Column]:
+    """A transform of strings that leaves other values alone."""
+    return lambda c, kind="string": f(c) if kind == "string" else c
+
+
+#: Transforms by the names used in field rules, called with the column and its kind; users may add their own.
+TRANSFORMS: dict[str, Callable[[Column, str], Column]] = {
+    "identity": _strings(identity), "lowercase": _strings(lowercase), "trim": _strings(js_trim), "domain": _strings(domain), "phone": _strings(phone),
+    "number": number, "boolean": boolean, "yes-no": yes_no, "true-false": true_false, "iso-date": iso_date, "epoch-millis": epoch_millis,
 }
 
 
-def content_hash(fields: dict[str, Column]) -> Column:
+def content_hash(fields: dict[str, Column], kinds: dict[str, str] | None = None) -> Column:
     """16 hex digits that tell whether the fields of a record have changed; names in order, null like empty."""
-    parts = [F.concat(F.lit(f"{name}="), text(fields[name])) for name in sorted(fields)]
+    parts = [F.concat(F.lit(f"{name}="), text(fields[name], (kinds or {}).get(name, "string"))) for name in sorted(fields)]
     return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16))
 
 
-def natural_key(fields: dict[str, Column]) -> Column:
-    """Key over all fields, null unless every one holds something; fields called domain are reduced to the host."""
-    values = [F.nullif(domain(js_trim(c.cast("string"))) if name == "domain" else lowercase(c.cast("string")), F.lit("")) for name, c in fields.items()]
+def natural_key(fields: dict[str, Column], kinds: dict[str, str] | None = None) -> Column:
+    """Key over all fields, null unless every one holds a string or number that is not blank; fields called domain are reduced to the host."""
+    kinds = kinds or {}
+    if any(kinds.get(name, "string") not in ("string", "number") for name in fields):
+        return F.lit(None).cast("string")
+    host = lambda c: F.regexp_replace(domain(js_trim(c)), r"^www\.", "")
+    values = [F.nullif((host if name == "domain" else lowercase)(F.nullif(text(c, kinds.get(name, "string")), F.lit(""))), F.lit("")) for name, c in fields.items()]
     parts = [F.concat(F.lit(f"{name}:"), v) for name, v in zip(fields, values)]
     present = values[0].isNotNull()
     for v in values[1:]:
@@ -164,9 +194,63 @@ def fingerprint(c: Column, digits: int = 12) -> Column:
 
 def type_group(native: Column) -> Column:
     """The logical group of a native type."""
-    n = F.lower(native)
     return (
-        F.when(n.isin("int", "integer", "bigint", "long", "double", "float", "decimal", "number", "currency", "percent"), "number")
-        .when(n.isin("date", "datetime", "timestamp", "timestamp_ntz"), "date").when(n.isin("bool", "boolean", "checkbox"), "boolean")
-        .when(n.isin("enumeration", "picklist", "multipicklist", "select"), "enum").otherwise("string")
+        F.when(native.isin("int", "integer", "long", "double", "number", "currency"), "number")
+        .when(native.isin("date", "datetime", "dateTime"), "date").when(native.isin("bool", "boolean"), "boolean")
+        .when(native.isin("enumeration", "picklist", "multipicklist"), "enum").otherwise("string")
     )
+
+
+#: Names that no natural key may have, parts of such names, and the text of a refused duplicate.
+_NO_KEYS = ("id", "type", "industry", "website", "annualrevenue", "revenue")
+_NO_KEY_PARTS = "modified|activity|created|updated|timestamp|description|notes?|ownerid|recordtype|status|stage|pipeline|amount|employee|count|isdeleted"
+_DUPLICATE = r"(?i)propertyName=([^,}]+),\s*value=([^}]+)\}\s*on\s*\S+\.\s*(\S+)\s*already has that value"
+
+
+def allowed_natural_key(field: Column) -> Column:
+    """Whether a field may be part of a natural key: ids of other systems may, own ids and what changes often may not."""
+    key = F.lower(F.regexp_replace(field, "[^A-Za-z0-9]", ""))
+    outside = F.contains(key, F.lit("external")) & key.endswith("id")
+    return (key != "") & (outside | ~(key.isin(*_NO_KEYS) | key.rlike(_NO_KEY_PARTS)))
+
+
+def vendor_message(body: Column) -> Column:
+    """The message of an error body: of the object, or of the first one of an array."""
+    return F.coalesce(F.get_json_object(body, "$[0].message"), F.get_json_object(body, "$.message"))
+
+
+def duplicate_conflict(message: Column) -> Column:
+    """(property, value, holder) of a write refused because another record holds a unique value; null for other messages."""
+    part = lambda i: F.regexp_extract(message, _DUPLICATE, i)
+    return F.when(message.rlike(_DUPLICATE), F.struct(part(1).alias("property"), part(2).alias("value"), part(3).alias("holder")))
+
+
+def error_class(status: Column, body: Column) -> Column:
+    """What a refused write means: a duplicate, a field's value, a vanished record, or what the status tells; the first that holds."""
+    message = vendor_message(body)
+    gone = F.lower(F.trim(message)) == "resource not found"
+    return (
+        F.when(duplicate_conflict(message).isNotNull(), "duplicate_value").when(F.get_json_object(body, "$.errors[0].message").isNotNull(), "field_errors")
+        .when(gone | (status == 404), "not_found").when(message.rlike("(?i)was not one of the allowed options|was not a valid (long|integer|number)"), "invalid_value")
+        .when(message.isNotNull(), "vendor_message").when(status == 400, "invalid_record").when(status == 401, "unauthenticated").when(status == 403, "forbidden")
+        .when(status == 415, "request_format").when(status == 429, "rate_limited").when(status >= 500, "server_error").otherwise("failed")
+    )
+
+
+def retries(error: Column) -> Column:
+    """Whether a later attempt may succeed without anybody's help."""
+    return error.isin("request_format", "rate_limited", "server_error", "failed")
+
+
+def finding_key(*parts: Column) -> Column:
+    """A key over several columns, null like empty, joined by a control character."""
+    return F.concat_ws("\x00", *(text(p) for p in parts))
+
+
+def numbered_slugs(df, label: str, out: str = "slug"):
+    """Adds the slug of a label, with _2, _3 and so on where earlier labels have taken it (in order of the labels)."""
+    from pyspark.sql import Window
+
+    base = F.coalesce(F.nullif(slug(F.col(label)), F.lit("")), F.lit("object"))
+    turn = F.row_number().over(Window.partitionBy(base).orderBy(label))
+    return df.withColumn(out, F.when(turn == 1, base).otherwise(F.concat_ws("_", base, turn.cast("string"))))

@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import backoff_millis, event_key
+from tandem.functions.scalars import backoff_millis
 
 STATUSES = ["queued", "processing", "retry", "completed", "dead_letter", "manual_review", "dismissed"]
 
 
-def change_events(events: DataFrame) -> DataFrame:
-    """Raw events as changes of records."""
-    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
-    system = F.when(F.col("user_id") % 2 == 0, "a").otherwise("b")
-    return events.select("event_id", system.alias("system"), F.concat_ws("-", system, F.col("user_id").cast("string")).alias("source_id"), kind.alias("change"), F.col("ts").cast("timestamp").alias("occurred_at")).withColumn("event_key", event_key(F.col("system"), F.col("event_id"), F.col("source_id"), F.col("change")))
-
-
 def deduplicated(changes: DataFrame) -> DataFrame:
     """Each event once, whenever it is delivered."""
     return changes.dropDuplicates(["event_key"])
@@ -62,6 +55,11 @@ def recovered(jobs: DataFrame, before: Column) -> DataFrame:
     return jobs.withColumn("status", F.when(stale, "retry").otherwise(F.col("status")))
 
 
+def listed(jobs: DataFrame, n: int, status: str | None = None) -> DataFrame:
+    """The newest jobs, of one status if it is given, for display."""
+    return (jobs if status is None else jobs.where(F.col("status") == status)).orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(n)
+
+
 def commanded(jobs: DataFrame, commands: DataFrame) -> DataFrame:
     """Replay (attempts start anew), approve and dismiss (the error stays), given by event_key."""
     c = F.col("command")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import TRANSFORMS
+from tandem.functions.scalars import TRANSFORMS, kind_of
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def to_canonical(df: DataFrame, rules: list[FieldRule], values: tuple[ValueMap,
     out = []
     for r in rules:
         there = r.native.split(".")[0] in df.columns
-        c = TRANSFORMS[r.read](F.col(r.native)) if there else F.lit(None).cast("string")
+        c = TRANSFORMS[r.read](F.col(r.native), kind_of(df.select(r.native).schema[0].dataType)) if there else F.lit(None).cast("string")
         out.append((maps[r.canonical].to_canonical(c) if r.canonical in maps else c).alias(r.canonical))
     return df.select(*keep, *out)
 
@@ -62,7 +62,7 @@ def from_canonical(df: DataFrame, rules: list[FieldRule], values: tuple[ValueMap
         if r.read_only or "." in r.native or r.canonical not in df.columns:
             continue
         c = maps[r.canonical].to_native(F.col(r.canonical)) if r.canonical in maps else F.col(r.canonical)
-        out.append(TRANSFORMS[r.write](c).alias(r.native))
+        out.append(TRANSFORMS[r.write](c, kind_of(df.schema[r.canonical].dataType)).alias(r.native))
     return df.select(*keep, *out)
 
 
@@ -75,6 +75,20 @@ def native_fields(rules: list[FieldRule], without: tuple[str, ...] = ("id", "las
     return list(seen.values())
 
 
-def label(first: Column, last: Column, email: Column, record_id: Column) -> Column:
-    """What a person's record is called."""
-    return F.coalesce(F.nullif(F.concat_ws(" ", first, last), F.lit("")), F.nullif(email, F.lit("")), record_id)
+def native_field(rules: list[FieldRule], canonical: str) -> str | None:
+    """The native field of a canonical one: that of the first rule."""
+    return next((r.native for r in rules if r.canonical == canonical), None)
+
+
+#: What a record of each type is called by, the first that is not empty; a pair is put together.
+LABELS: dict[str, tuple] = {"contact": (("firstName", "lastName"), "email"), "company": ("name", "domain"), "deal": ("name",)}
+
+
+def labelled(df: DataFrame, kind: str, record_id: str = "id") -> DataFrame:
+    """Adds what each record is called; columns that are absent are passed over, the id is last."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    choices = []
+    for names in LABELS.get(kind, ("name",)):
+        there = [F.nullif(F.col(n), F.lit("")) for n in ((names,) if isinstance(names, str) else names) if n in df.columns]
+        choices += [filled(F.concat_ws(" ", *there))] if there else []
+    return df.withColumn("label", F.coalesce(*choices, F.col(record_id)))

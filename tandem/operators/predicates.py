@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import js_number, text
+from tandem.functions.scalars import js_number, kind_of, text
 
 #: Words that a raw predicate may not hold.
-FORBIDDEN = re.compile(r"\b(select|insert|update|delete|drop|alter|create|merge|union|limit|order|group|having)\b|;|--|/\*", re.I)
+FORBIDDEN = re.compile(r";|--|/\*|\b(insert|update|delete|upsert|union|merge)\b", re.I)
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class Condition:
     operator: str
     value: str | float | bool | None = None
 
-    def column(self, columns: list[str]) -> Column:
+    def column(self, df: DataFrame) -> Column:
+        columns = df.columns
         c = F.col(self.field) if self.field in columns else F.lit(None).cast("string")
         value = "" if self.value is None else str(self.value).lower() if isinstance(self.value, bool) else str(self.value)
         if self.operator in ("is_null", "is_not_null"):
@@ -35,14 +36,18 @@ class Condition:
             return F.contains(F.lower(text(c)), F.lit(value.lower()))
         if self.operator not in ("gt", "lt"):
             raise ValueError(f"unknown operator {self.operator}")
-        left = F.when(c.isNull(), F.lit(0.0)).otherwise(js_number(c)) if self.field in columns else F.lit(None).cast("double")
-        right = js_number(F.lit(value))
+        if self.value is None or self.field not in columns:
+            return F.lit(False)
+        kind = kind_of(df.schema[self.field].dataType)
+        own = c.cast("int").cast("double") if kind == "boolean" else c.cast("double") if kind == "number" else js_number(c)
+        left = F.when(c.isNull(), F.lit(0.0)).otherwise(own)
+        right = F.lit(float(self.value)) if isinstance(self.value, (bool, int, float)) else js_number(F.lit(value))
         return F.coalesce(left > right if self.operator == "gt" else left < right, F.lit(False))
 
 
-def matches(conditions: list[Condition], columns: list[str]) -> Column:
-    """Whether all conditions hold; none always do."""
-    return reduce(lambda a, b: a & b, [c.column(columns) for c in conditions], F.lit(True))
+def matches(conditions: list[Condition], df: DataFrame) -> Column:
+    """Whether all conditions hold for a row of df; none always do."""
+    return reduce(lambda a, b: a & b, [c.column(df) for c in conditions], F.lit(True))
 
 
 def raw(predicate: str) -> Column:
@@ -61,7 +66,7 @@ def route(df: DataFrame, candidates: list[tuple[str, list[Condition]]]) -> DataF
     """Adds the first type whose conditions hold; rows of no type go. A single type without conditions needs no test."""
     kind = F.lit(None).cast("string")
     for name, conditions in reversed(candidates):
-        kind = F.when(matches(conditions, df.columns), name).otherwise(kind)
+        kind = F.when(matches(conditions, df), name).otherwise(kind)
     return df.withColumn("type", kind).where(F.col("type").isNotNull())
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import content_hash, text
+from tandem.functions.scalars import content_hash, duplicate_conflict, text, vendor_message
 
 
 def _spread(key: str) -> Column:
@@ -28,9 +28,10 @@ def differences(fields: list[str], a: str, b: str) -> Column:
     return F.array_compact(F.array(*each))
 
 
-def candidates(target: DataFrame) -> DataFrame:
-    """Per natural key: the number of target records, and the first of them."""
-    return target.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("id").alias("candidate_id"))
+def candidates(target: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Per natural key: the number of target records, and the first of them, with its fields as struct m where they are named."""
+    more = [F.min_by(F.struct(*fields), "id").alias("m")] if fields else []
+    return target.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("id").alias("candidate_id"), *more)
 
 
 def preview(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str]) -> DataFrame:
@@ -49,11 +50,10 @@ def preview(source: DataFrame, target: DataFrame, links: DataFrame, fields: list
         found = found.withColumn("id_target", pick("id_target", "k.target_id")).withColumn("id_hash", pick("id_hash", "k.target_hash"))
     rows = target.select(F.col("id").alias("_at"), row.alias("t"), F.lit(True).alias("readable"))
     found = found.withColumn("_at", _spread("id_target")).join(rows, "_at", "left")
-    found = found.withColumn("_key", _spread("key")).join(candidates(target).withColumnRenamed("key", "_key"), "_key", "left")
-    matched = target.select(F.col("id").alias("_one"), row.alias("m"))
+    found = found.withColumn("_key", _spread("key")).join(candidates(target, fields).withColumnRenamed("key", "_key"), "_key", "left")
     one = F.when(F.col("readable").isNull() & (F.col("n_candidates") == 1), F.col("candidate_id"))
-    found = found.withColumn("candidate_id", one).withColumn("_one", _spread("candidate_id")).join(matched, "_one", "left")
-    found = found.withColumn("r", F.coalesce("t", "m")).withColumn("diff", differences(fields, "s", "r"))
+    found = found.withColumn("candidate_id", one)
+    found = found.withColumn("r", F.coalesce("t", F.when(F.col("candidate_id").isNotNull(), F.col("m")))).withColumn("diff", differences(fields, "s", "r"))
     read, match = F.col("readable").isNotNull(), F.col("candidate_id").isNotNull()
     target_hash = content_hash({f: F.col(f"r.{f}") for f in fields})
     stale = (text(F.col("id_hash")) != "") & (F.col("id_hash") != target_hash)
@@ -151,11 +151,122 @@ def propagated_deletes(deleted: DataFrame, links: DataFrame) -> DataFrame:
     return deleted.select(F.col("id").alias("source_id")).join(links.select("source_id", "target_id"), "source_id")
 
 
-def retargeted(plans: DataFrame, source: DataFrame, target: DataFrame, unique: str) -> DataFrame:
-    """Creates that would break a unique field of the target go to the record that holds the value, if it is only one."""
-    holder = target.where(text(F.col(unique)) != "").groupBy(F.lower(F.col(unique)).alias("_u")).agg(F.count("*").alias("_n"), F.min("id").alias("_holder"))
-    asked = plans.where(F.col("action") == "create").join(source.select(F.col("id").alias("source_id"), F.lower(F.col(unique)).alias("_u")), "source_id")
-    return asked.join(holder, "_u", "left").select("source_id", F.when(F.col("_n") == 1, F.col("_holder")).alias("target_id"), F.when(F.col("_n") == 1, "update").when(F.col("_n") > 1, "ambiguous").otherwise("create").alias("action"))
+def retargeted(refused: DataFrame, key_fields: list[str]) -> DataFrame:
+    """Refused writes (source_id, target_id, body) that go to the record that holds the value instead.
+
+    Only for a field of the natural key, whose value tells that both are the same record; a clash on any other unique field, or with the
+    target itself, stays an error.
+    """
+    clash = duplicate_conflict(vendor_message(F.col("body")))
+    found = refused.withColumn("_clash", clash)
+    heals = F.coalesce(F.col("_clash.property").isin(*key_fields) & ~F.col("_clash.holder").eqNullSafe(F.col("target_id")), F.lit(False))
+    return found.select("source_id", F.when(heals, F.col("_clash.holder")).otherwise(F.col("target_id")).alias("target_id"), F.when(heals, "relinked").otherwise("error").alias("status"))
+
+
+def by_link(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str]) -> DataFrame:
+    """Source records with the counterpart that a link by id, else one by natural key, else the only candidate gives them.
+
+    Links may carry keys, the natural keys they have been found by. Columns: source_id, key, s and t (structs of fields and modified),
+    target_id, source_hash and target_hash (last written), linked_by (id, key, candidate or null), n_candidates.
+    """
+    row = F.struct(*fields, "modified")
+    kept = ["target_id", "source_hash", "target_hash"]
+    own = links.select(F.col("source_id").alias("id"), F.struct(*kept).alias("by_id"))
+    found = source.select("id", "key", row.alias("s")).join(own, "id", "left").withColumn("_key", _spread("key"))
+    if "keys" in links.columns:
+        each = links.select(F.explode("keys").alias("_key"), "source_id", F.struct(*kept).alias("_l"))
+        found = found.join(each.groupBy("_key").agg(F.min_by("_l", "source_id").alias("by_key")), "_key", "left")
+    else:
+        found = found.withColumn("by_key", F.lit(None).cast(own.schema["by_id"].dataType))
+    found = found.join(candidates(target).withColumnRenamed("key", "_key"), "_key", "left")
+    link = F.coalesce("by_id", "by_key")
+    lone = F.when(link.isNull() & (F.col("n_candidates") == 1), F.col("candidate_id"))
+    found = found.withColumn("link", link).withColumn("target_id", F.coalesce("link.target_id", lone))
+    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(lone.isNotNull(), "candidate")
+    rows = target.select(F.col("id").alias("_at"), row.alias("t"))
+    found = found.withColumn("linked_by", how).withColumn("_at", F.coalesce("target_id", F.concat(F.lit("\x01"), "id"))).join(rows, "_at", "left")
+    return found.select(F.col("id").alias("source_id"), "key", "s", "t", "target_id", F.col("link.source_hash").alias("source_hash"), F.col("link.target_hash").alias("target_hash"), "linked_by", "n_candidates")
+
+
+def reconciled(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str], strategy: str = "last-write-wins", source_of_truth: str = "a", owners: dict[str, str] | None = None) -> DataFrame:
+    """What becomes of each source record (of system a) when it is carried over to b.
+
+    status: echo (what we last wrote ourselves), ambiguous (several candidates, no link), else written. A counterpart that has changed
+    since it was last written makes a conflict, which the strategy resolves (field owners first). op is create or update; the fields
+    are those of the winner; write_back tells that the winner differs from the source and goes back there too; source_hash and target_hash are the
+    link's new ones. Of several source records of one natural key without a link or a candidate, the first (by id) creates the
+    target and the later ones update it, as a loop over them would.
+    """
+    found = by_link(source, target, links, fields)
+    of = lambda side: content_hash({f: F.col(f"{side}.{f}") for f in fields})
+    found = found.withColumn("incoming", of("s"))
+    echo = F.coalesce(F.col("source_hash") == F.col("incoming"), F.lit(False))
+    status = F.when(echo, "echo").when(F.col("linked_by").isNull() & (F.coalesce("n_candidates", F.lit(0)) > 1), "ambiguous").otherwise("written")
+    conflict = F.col("t").isNotNull() & ~F.coalesce(F.col("target_hash") == of("t"), F.lit(False)) & (status == "written")
+    later = F.coalesce(F.col("s.modified") >= F.col("t.modified"), F.lit(False))
+    whole = {"source-of-truth": F.lit(source_of_truth == "a"), "last-write-wins": later, "field-merge": later}[strategy]
+    merged = strategy == "field-merge" or bool(owners)
+    winner = []
+    for f in fields:
+        side = (owners or {}).get(f)
+        mine = F.lit(side == "a") if side else whole
+        picked = F.when(mine, F.col(f"s.{f}")).otherwise(F.col(f"t.{f}"))
+        picked = F.coalesce(picked, F.col(f"s.{f}"), F.col(f"t.{f}")) if merged else picked
+        winner.append(F.when(F.col("conflict"), picked).otherwise(F.col(f"s.{f}")).alias(f))
+    found = found.withColumn("status", status).withColumn("conflict", conflict).withColumn("w", F.struct(*winner)).withColumn("written_hash", of("w"))
+    new = (F.col("status") == "written") & F.col("target_id").isNull()
+    fresh = found.where(new)
+    lead = fresh.withColumn("_key", F.coalesce("key", F.concat(F.lit("\x01"), "source_id"))).groupBy("_key").agg(F.min("source_id").alias("lead"))
+    found = found.withColumn("_key", F.when(new, F.coalesce("key", F.concat(F.lit("\x01"), "source_id"))).otherwise(F.concat(F.lit("\x02"), "source_id"))).join(lead, "_key", "left")
+    written = F.col("status") == "written"
+    back = written & F.col("conflict") & (F.col("written_hash") != F.col("incoming")) & (F.col("linked_by") == "id")
+    op = F.when(F.col("t").isNotNull() | F.col("target_id").isNotNull() | (F.col("lead") != F.col("source_id")), "update").otherwise("create")
+    return found.select(
+        "source_id", "status", F.when(written, op).alias("op"), F.when(written, F.coalesce("target_id", F.concat(F.lit("new-"), "lead"))).alias("target_id"), F.when(written, F.col("conflict")).alias("conflict"),
+        F.when(F.col("conflict"), F.lit("field-merge" if merged else strategy)).alias("strategy"), F.when(written, F.coalesce(back, F.lit(False))).alias("write_back"), *[F.when(written, F.col(f"w.{f}")).alias(f) for f in fields],
+        F.when(written, F.when(back, F.col("written_hash")).otherwise(F.col("incoming"))).alias("source_hash"), F.when(written, F.col("written_hash")).alias("target_hash"),
+    )
+
+
+def conflicts(done: DataFrame) -> DataFrame:
+    """The conflicts of a run, to be appended to their log: who won by which strategy."""
+    return done.where(F.col("conflict")).select("source_id", "target_id", "strategy", "write_back")
+
+
+def repointed(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (source_id, target_id, keys) once records have been found: a link found by its key moves to the record that it was found for, and keys add up."""
+    new = found.where(F.col("key").isNotNull()).select(F.col("source_id").alias("_new"), F.col("key").alias("_key"), F.col("link_id").alias("source_id"))
+    taken = new.groupBy("source_id").agg(F.max("_new").alias("_new"), F.collect_set("_key").alias("_keys"))  # the records of one link
+    joined = links.join(taken, "source_id", "left")
+    keys = F.array_sort(F.array_union("keys", F.coalesce("_keys", F.array().cast("array<string>"))))
+    return joined.select(F.coalesce("_new", "source_id").alias("source_id"), "target_id", keys.alias("keys"))
+
+
+def present(records: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Records asked for by id, with null fields where there is none."""
+    return ids.select(id_col).join(records, id_col, "left")
+
+
+def read_back(source: DataFrame, links: DataFrame, target: DataFrame) -> DataFrame:
+    """Per source id: whether it is there, linked, and its linked target there."""
+    a = source.select(F.col("id").alias("source_id"))
+    b = target.select(F.col("id").alias("target_id"), F.lit(True).alias("target_exists"))
+    found = a.join(links.select("source_id", "target_id"), "source_id", "left").join(b, "target_id", "left")
+    return found.select("source_id", F.col("target_id").isNotNull().alias("linked"), F.coalesce("target_exists", F.lit(False)).alias("target_exists"))
+
+
+def edges_of(records: DataFrame, lookups: dict[str, str], id_col: str = "id") -> DataFrame:
+    """Edges (from_id, to_id, kind) that the lookup columns of records hold; lists hold several."""
+    array = lambda c: F.col(c) if records.schema[c].dataType.typeName() == "array" else F.array(F.col(c))
+    named = lambda kind: lambda x: F.struct(x.cast("string").alias("to_id"), F.lit(kind).alias("kind"))
+    pairs = F.flatten(F.array(*[F.transform(F.coalesce(array(c), F.array().cast("array<string>")), named(kind)) for c, kind in lookups.items()]))
+    return records.select(F.col(id_col).alias("from_id"), F.inline(pairs)).where("to_id is not null")
+
+
+def kept_deletions(gone: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """Deletions (id) seen for one type of a shared native object, without those that are linked as another type."""
+    other = links.where(F.col("type") != kind).select(F.col("source_id").alias("id"))
+    return gone.join(other, "id", "left_anti")
 
 
 def associations(edges: DataFrame, from_links: DataFrame, to_links: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,9 +131,18 @@ def delete_propagation(spark: SparkSession, d: str) -> DataFrame:
     return R.propagated_deletes(X.contact_a(spark, d).where("k % 5 = 2"), X.links(spark, d))
 
 
-@_query(X.SQL + X.PLANS + ", h AS (SELECT lower(phone) AS u, count(*) AS m, min(id) AS holder FROM b GROUP BY 1) SELECT source_id, CASE WHEN m = 1 THEN holder END AS target_id, CASE WHEN m = 1 THEN 'update' WHEN m > 1 THEN 'ambiguous' ELSE 'create' END AS action FROM p LEFT JOIN h ON h.u = lower(p.phone) WHERE action = 'create'")
-def self_heal_retarget(spark: SparkSession, d: str) -> DataFrame:
-    return R.retargeted(_plans(spark, d), X.contact_a(spark, d), X.contact_b(spark, d), "phone")
+def _refused(spark: SparkSession, d: str) -> DataFrame:
+    """Writes refused because another record holds a unique value: of the key field, of another one, held by the target itself, or another error."""
+    k = F.col("k")
+    field = F.when(k % 4 == 1, "phone").otherwise("email")
+    holder = F.when(k % 4 == 2, F.concat(F.lit("b-"), k.cast("string"))).otherwise(F.concat(F.lit("x-"), k.cast("string")))
+    said = F.when(k % 4 == 3, "Some other error").otherwise(F.concat(F.lit("Cannot set PropertyValueCoordinates{portalId=1, propertyName="), field, F.lit(", value=v"), k.cast("string"), F.lit("} on "), k.cast("string"), F.lit(". "), holder, F.lit(" already has that value.")))
+    return X.contact_a(spark, d).select(F.col("id").alias("source_id"), F.concat(F.lit("b-"), k.cast("string")).alias("target_id"), F.to_json(F.struct(said.alias("message"))).alias("body"))
+
+
+@_query(X.SQL + "SELECT id AS source_id, CASE WHEN k % 4 = 0 THEN 'x-' || k ELSE 'b-' || k END AS target_id, CASE WHEN k % 4 = 0 THEN 'relinked' ELSE 'error' END AS status FROM a")
+def self_heal_refused(spark: SparkSession, d: str) -> DataFrame:
+    return R.retargeted(_refused(spark, d), ["email"])
 
 
 @_query(X.SQL + "SELECT id, concat_ws(',', CASE WHEN coalesce(email, '') = '' THEN 'email' END, CASE WHEN coalesce(title, '') = '' THEN 'title' END) AS missing FROM b WHERE coalesce(email, '') = '' OR coalesce(title, '') = ''")
@@ -194,10 +203,10 @@ def transform_number(spark: SparkSession, d: str) -> DataFrame:
     return stores.read(spark, d, "events", ["event_id"]).select("event_id", S.number(raw).alias("n"))
 
 
-@_query("SELECT event_id, event_id % 4 IN (0, 1) AS flag, event_id % 4 = 2 AS yes FROM events")
+@_query("SELECT event_id, event_id % 4 IN (0, 1) AS flag, event_id % 4 IN (0, 1) AS yes, event_id % 4 = 0 AS word FROM events")
 def transform_bool(spark: SparkSession, d: str) -> DataFrame:
     raw = F.element_at(F.array(F.lit("TRUE"), F.lit("1"), F.lit(" Yes "), F.lit("no")), (F.col("event_id") % 4 + 1).cast("int"))
-    return stores.read(spark, d, "events", ["event_id"]).select("event_id", S.boolean(raw).alias("flag"), S.yes_no_to_boolean(raw).alias("yes"))
+    return stores.read(spark, d, "events", ["event_id"]).select("event_id", S.boolean(raw).alias("flag"), S.yes_no(raw).alias("yes"), S.true_false(raw).alias("word"))
 
 
 @_query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, epoch_us(ts) // 1000 AS millis FROM events")
@@ -216,7 +225,7 @@ def value_map_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matching(df: DataFrame, *conditions: P.Condition) -> DataFrame:
-    return df.where(P.matches(list(conditions), df.columns))
+    return df.where(P.matches(list(conditions), df))
 
 
 @_query(X.SQL + "SELECT id FROM b WHERE lower(coalesce(title, '')) = 'building'")
@@ -252,7 +261,7 @@ def cond_raw(spark: SparkSession, d: str) -> DataFrame:
 @_query("WITH " + X.EVENTS + " SELECT change, count(*) AS n FROM jobs WHERE (change = 'created' AND system = 'a') OR change = 'updated' GROUP BY change")
 def direction_policy(spark: SparkSession, d: str) -> DataFrame:
     policy = spark.createDataFrame([("created", "a_to_b", True), ("updated", "both", True), ("deleted", "both", False)], "change string, direction string, enabled boolean")
-    found = J.change_events(stores.read(spark, d, "events")).join(F.broadcast(policy), "change", "left")  # three rows
+    found = X.change_events(stores.read(spark, d, "events")).join(F.broadcast(policy), "change", "left")  # three rows
     return found.where(P.direction_allows(F.col("direction"), F.col("enabled"), F.col("system"))).groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -330,14 +339,23 @@ def associations_deferred(spark: SparkSession, d: str) -> DataFrame:
 
 # Checks before a run
 
-_RULE_ROWS = [("a", "email", "Email", True, False), ("a", "phone", "Phone", False, False), ("a", "company", "Account.Name", False, False), ("a", "fax", "Fax", False, False), ("a", "active", "Active", False, False), ("a", "stage", "Stage", False, False),
-              ("b", "email", "email", False, False), ("b", "phone", "phone", False, False), ("b", "company", "company", False, False), ("b", "fax", "fax", False, False), ("b", "active", "active", False, False), ("b", "stage", "stage", False, False)]
-_SCHEMA_ROWS = [("a", "Email", "string", True, False, 0), ("a", "Phone", "string", False, False, 0), ("a", "Active", "boolean", False, False, 0), ("a", "Stage", "picklist", False, False, 3),
-                ("b", "email", "string", True, False, 0), ("b", "phone", "string", False, True, 0), ("b", "company", "string", False, False, 0), ("b", "active", "enumeration", False, False, 2), ("b", "stage", "enumeration", False, False, 4), ("b", "domain", "string", True, False, 0)]
+_RULE_ROWS = [("a", "email", "Email", "lowercase", "lowercase", False), ("a", "phone", "Phone", None, None, False), ("a", "company", "Account.Name", None, None, False), ("a", "owner", "Owner.Name", None, None, False), ("a", "fax", "Fax", None, None, False),
+              ("a", "active", "Active", None, None, False), ("a", "stage", "Stage", None, None, False), ("a", "vip", "Vip", "yes-no", "yes-no", False), ("a", "score", "Score", "number", None, False),
+              ("b", "email", "email", None, None, False), ("b", "phone", "phone", None, None, False), ("b", "company", "company", None, None, False), ("b", "fax", "fax", None, None, False), ("b", "active", "active", None, None, False), ("b", "stage", "stage", None, None, False),
+              ("b", "vip", "vip", None, None, False), ("b", "score", "score", "identity", None, False), ("b", "created", "created_at", None, None, True), ("b", "gone", "gone", None, None, True), ("b", "path", "deep.path", None, None, False)]
+_SCHEMA_ROWS = [("a", "Email", "string", True, False, 0), ("a", "Phone", "string", False, False, 0), ("a", "Account", "reference", False, False, 0), ("a", "Active", "boolean", False, False, 0), ("a", "Stage", "picklist", False, False, 3), ("a", "Vip", "boolean", False, False, 0), ("a", "Score", "Number", False, False, 0),
+                ("b", "email", "string", True, False, 0), ("b", "phone", "string", False, True, 0), ("b", "company", "string", False, False, 0), ("b", "active", "enumeration", False, False, 2), ("b", "stage", "enumeration", False, False, 4), ("b", "vip", "enumeration", False, False, 2), ("b", "score", "number", False, False, 0),
+                ("b", "created_at", "datetime", True, True, 0), ("b", "domain", "string", True, False, 0), ("b", "hidden", "string", True, True, 0)]
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    """Literal rows as a common table expression."""
+    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns}))"
 
 
 def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_RULE_ROWS, "system string, canonical string, native string, has_read boolean, has_write boolean"), spark.createDataFrame(_SCHEMA_ROWS, "system string, native string, type string, required boolean, read_only boolean, n_options int")
+    return spark.createDataFrame(_RULE_ROWS, "system string, canonical string, native string, read string, write string, read_only boolean"), spark.createDataFrame(_SCHEMA_ROWS, "system string, native string, type string, required boolean, read_only boolean, n_options int")
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
@@ -345,8 +363,21 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
     return Q.preflight(rules, schemas, R.key_profile(X.contact_a(spark, d), F.col("key")), R.key_profile(X.contact_b(spark, d), F.col("key")))
 
 
-_ISSUES = X.SQL + """, issues AS (SELECT * FROM (VALUES ('warning', 'RELATIONSHIP_FIELD_UNVERIFIED', 'a', 'Account.Name'), ('error', 'SOURCE_FIELD_MISSING', 'a', 'Fax'), ('error', 'TARGET_FIELD_MISSING', 'b', 'fax'),
-    ('error', 'TARGET_FIELD_READ_ONLY', 'b', 'phone'), ('error', 'FIELD_TYPE_MISMATCH', 'b', 'active'), ('warning', 'ENUM_VALUES_REQUIRE_REVIEW', 'b', 'stage'), ('error', 'REQUIRED_TARGET_UNMAPPED', 'b', 'domain')) v(severity, code, system, field)
+_TYPE = "CASE WHEN {0} IN ('int', 'integer', 'long', 'double', 'number', 'currency') THEN 'number' WHEN {0} IN ('date', 'datetime', 'dateTime') THEN 'date' WHEN {0} IN ('bool', 'boolean') THEN 'boolean' WHEN {0} IN ('enumeration', 'picklist', 'multipicklist') THEN 'enum' ELSE 'string' END"
+_META = ", " + _values("rule", "system, canonical, native, read, write, read_only", _RULE_ROWS) + ", " + _values("field", "system, native, type, required, read_only, n_options", _SCHEMA_ROWS)
+_ISSUES = X.SQL + _META + f"""
+, src AS (SELECT r.*, coalesce(f.type, g.type) AS type_a, CASE WHEN f.native IS NOT NULL THEN f.n_options ELSE g.n_options END AS options_a FROM rule r
+    LEFT JOIN field f ON f.system = 'a' AND f.native = r.native LEFT JOIN field g ON g.system = 'a' AND g.native = string_split(r.native, '.')[1] WHERE r.system = 'a'),
+tgt AS (SELECT r.*, f.type AS type_b, f.read_only AS fixed, f.n_options AS options_b FROM rule r LEFT JOIN field f ON f.system = 'b' AND f.native = r.native WHERE r.system = 'b'),
+two AS (SELECT t.*, s.type_a, s.options_a, coalesce(s.read, 'identity') <> 'identity' AND coalesce(s.write, 'identity') <> 'identity' AS solved_a, coalesce(t.read, 'identity') <> 'identity' AND coalesce(t.write, 'identity') <> 'identity' AS solved_b
+    FROM tgt t JOIN src s USING (canonical) WHERE t.type_b IS NOT NULL AND s.type_a IS NOT NULL),
+meta AS (SELECT CASE WHEN contains(native, '.') THEN 'warning' ELSE 'error' END AS severity, CASE WHEN contains(native, '.') THEN 'RELATIONSHIP_FIELD_UNVERIFIED' ELSE 'SOURCE_FIELD_MISSING' END AS code, 'a' AS system, native AS field FROM src WHERE type_a IS NULL
+  UNION ALL SELECT 'error', 'TARGET_FIELD_MISSING', 'b', native FROM tgt WHERE type_b IS NULL AND NOT read_only AND NOT contains(native, '.')
+  UNION ALL SELECT 'error', 'TARGET_FIELD_READ_ONLY', 'b', native FROM tgt WHERE fixed AND NOT read_only
+  UNION ALL SELECT CASE WHEN read IS NOT NULL OR write IS NOT NULL THEN 'warning' ELSE 'error' END, 'FIELD_TYPE_MISMATCH', NULL, canonical FROM two WHERE {_TYPE.format('type_a')} <> {_TYPE.format('type_b')} AND NOT solved_a AND NOT solved_b
+  UNION ALL SELECT 'warning', 'ENUM_VALUES_REQUIRE_REVIEW', NULL, canonical FROM two WHERE options_a > 0 AND options_b > 0
+  UNION ALL SELECT 'error', 'REQUIRED_TARGET_UNMAPPED', 'b', native FROM field f WHERE system = 'b' AND required AND NOT read_only AND NOT EXISTS (FROM rule r WHERE r.system = 'b' AND r.native = f.native)),
+issues AS (SELECT * FROM meta
   UNION ALL SELECT 'warning', 'NATURAL_KEY_MISSING_VALUES', 'a', 'natural key' FROM a WHERE key IS NULL HAVING count(*) > 0
   UNION ALL SELECT 'warning', 'SOURCE_NATURAL_KEY_DUPLICATES', 'a', 'natural key' FROM (SELECT key FROM a WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1) HAVING count(*) > 0
   UNION ALL SELECT 'error', 'TARGET_NATURAL_KEY_DUPLICATES', 'b', 'natural key' FROM (SELECT key FROM b WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1) HAVING count(*) > 0) """
@@ -362,7 +393,7 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
     return Q.readiness(_issues(spark, d))
 
 
-@_query("SELECT * FROM (VALUES ('a', 4::BIGINT, 4::BIGINT, 100::BIGINT, 'complete'), ('b', 6, 5, 83, 'review')) v(system, fields, mapped, percent, state)")
+@_query(X.SQL + _META + ", m AS (SELECT f.system, count(*) AS fields, count(*) FILTER (EXISTS (FROM rule r WHERE r.system = f.system AND r.native = f.native)) AS mapped FROM field f GROUP BY 1) SELECT *, round(100 * mapped / fields)::BIGINT AS percent, CASE WHEN mapped = 0 THEN 'not_started' WHEN mapped < fields THEN 'review' ELSE 'complete' END AS state FROM m")
 def mapping_coverage(spark: SparkSession, d: str) -> DataFrame:
     return Q.coverage(*_rules(spark))
 
@@ -388,7 +419,7 @@ def auto_map(spark: SparkSession, d: str) -> DataFrame:
 
 def _delivered(spark: SparkSession, d: str) -> DataFrame:
     """All events, every twentieth of them twice."""
-    e = J.change_events(stores.read(spark, d, "events"))
+    e = X.change_events(stores.read(spark, d, "events"))
     return e.unionByName(e.where("event_id % 20 = 0"))
 
 
@@ -524,17 +555,12 @@ def store_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def _checkpoint(spark: SparkSession) -> str:
     """A new folder in the place that executors share."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{stores.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @_query("WITH " + X.EVENTS + " SELECT system, change, count(*) AS n FROM jobs GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = E.counts_by_change(E.unique_events(E.event_stream(spark, d)))
+    counts = E.counts_by_change(E.unique_events(E.event_stream(spark, d, "events", X.change_events)))
     return E.drained(counts, "stream_event_counts", _checkpoint(spark), "complete")
 
 
@@ -542,5 +568,8 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_event_store(spark: SparkSession, d: str) -> DataFrame:
     at = _checkpoint(spark)
     for n in ("first", "again"):  # the same events delivered twice over are stored once
-        E.into_store(E.event_stream(spark, d), f"{at}/store", f"{at}/{n}").awaitTermination()
-    return spark.read.parquet(f"{at}/store").select("event_key", "change")
+        E.into_store(E.event_stream(spark, d, "events", X.change_events), f"{at}/store", f"{at}/{n}").awaitTermination()
+    return E.store(spark, f"{at}/store", E.event_stream(spark, d, "events", X.change_events)).select("event_key", "change")
+
+
+from tandem.plans import operations  # noqa: E402, F401  more queries, which register themselves

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.functions.scalars import content_hash, natural_key
+from tandem.functions.scalars import content_hash, event_key, natural_key
 from tandem.sources.stores import read
 
 FIELDS = ["email", "phone", "title"]
@@ -45,6 +45,13 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("target_hash", stored).join(a, "k").select(F.concat(F.lit("a-"), F.col("k").cast("string")).alias("source_id"), F.col("id").alias("target_id"), "target_hash", "source_hash")
 
 
+def change_events(events: DataFrame) -> DataFrame:
+    """Raw events as changes of records in two systems."""
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
+    system = F.when(F.col("user_id") % 2 == 0, "a").otherwise("b")
+    return events.select("event_id", system.alias("system"), F.concat_ws("-", system, F.col("user_id").cast("string")).alias("source_id"), kind.alias("change"), F.col("ts").cast("timestamp").alias("occurred_at")).withColumn("event_key", event_key(F.col("system"), F.col("event_id"), F.col("source_id"), F.col("change")))
+
+
 #: The same in DuckDB SQL; queries go on after it.
 SQL = """
 WITH base AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 17 <> 0 THEN lower(replace(c_name, '#', '.')) || '@example.com' END AS email,

@@ -5,10 +5,28 @@ Stores are plain Parquet tables; a keyed write makes a new version of the rows a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset and all run on one machine, a temporary folder is set; on a cluster that folder would be another one for every
+    executor, so its absence is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df

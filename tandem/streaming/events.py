@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.operators.jobs import change_events
-
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 8) -> DataFrame:
-    """The Parquet files of a table as a stream of change events."""
+def event_stream(spark: SparkSession, folder: str, name: str, parse: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:
+    """The Parquet files of a table as a stream, parsed into change events."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return change_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
+    return parse(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
 
 
-def unique_events(changes: DataFrame, delay: str | None = None) -> DataFrame:
-    """Each event once: for ever, or within the delay of a watermark where the state is to stay small."""
+def unique_events(changes: DataFrame, delay: str | None = "7 days") -> DataFrame:
+    """Each event once within the delay of a watermark, so that the state stays small; for ever where there is no delay."""
     if delay is None:
         return changes.dropDuplicates(["event_key"])
     return changes.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_key"])
@@ -26,24 +26,41 @@ def counts_by_change(changes: DataFrame) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, into a table in memory, and returns that. For small results."""
+    """Runs a stream over all that is there, into a table in the driver's memory, and returns that. For a few aggregates only."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
 
 
+def store(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """The store of events at a path, which is made if it is not there; by day."""
+    schema = changes.schema.add("day", "date")
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("day").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def into_store(changes: DataFrame, path: str, checkpoint: str):
-    """Appends new events to a Parquet store: each batch drops what the store already holds, so replays change nothing."""
+    """Appends new events to a Parquet store by day: a batch drops what the store already holds, so replays change nothing.
+
+    A redelivered event keeps its time, so only the days of the batch are read; their list is all that the driver sees.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["event_key"])
-        try:
-            held = spark.read.parquet(path).select("event_key")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            held = new.select("event_key").limit(0)
-        new.join(held, "event_key", "left_anti").write.mode("append").parquet(path)
+        new = batch.dropDuplicates(["event_key"]).withColumn("day", F.to_date("occurred_at"))
+        days = [r.day for r in batch.select(F.to_date("occurred_at").alias("day")).distinct().collect()]
+        held = store(batch.sparkSession, path, batch).where(F.col("day").isin(days)) if days else None
+        if held is not None:
+            new.join(held.select("event_key"), "event_key", "left_anti").write.mode("append").partitionBy("day").parquet(path)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_current(changes: DataFrame, records: DataFrame) -> DataFrame:
+    """Changes with the record as it is now: an event only points to it. One that has vanished since is told apart."""
+    now = records.withColumnRenamed("id", "source_id").withColumn("_there", F.lit(True))
+    return changes.join(now, "source_id", "left").withColumn("vanished", F.col("_there").isNull() & (F.col("change") != "deleted")).drop("_there")
+
+
+def each_batch(changes: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Appends what work makes of each batch (a join with tables read anew, say) to a Parquet table."""
+    return changes.writeStream.foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

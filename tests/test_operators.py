@@ -1,5 +1,6 @@
 """Operators on literal rows, and the plan against a loop over records."""
 
+import datetime
 import random
 
 import pytest
@@ -8,8 +9,12 @@ from pyspark.sql import functions as F
 from tandem.functions import scalars as S
 from tandem.operators import jobs as J
 from tandem.operators import predicates as P
+from tandem.operators import quality as Q
 from tandem.operators import reconcile as R
+from tandem.operators import runs as U
+from tandem.operators import settings as T
 from tandem.sources import stores
+from tandem.streaming import jobs as JS
 
 FIELDS = ["email", "phone"]
 RECORD = "id string, key string, email string, phone string, modified timestamp"
@@ -35,7 +40,7 @@ def test_small_transforms(spark):
     assert one(spark, S.phone(F.lit(" +1 (20) 3-4 "))) == "+12034"
     assert one(spark, S.iso_date(F.lit("2024-05-06"))) == "2024-05-06T00:00:00.000Z"
     assert one(spark, S.iso_date(F.lit("soon"))) == "soon"
-    assert one(spark, S.from_epoch_millis(F.lit(1500))) == "1970-01-01T00:00:01.500Z"
+    assert one(spark, S.epoch_millis(F.lit(1500), "number")) == "1970-01-01T00:00:01.500Z"
     assert one(spark, S.number_string(F.lit(1e7))) == "10000000"
     assert one(spark, S.backoff_millis(F.lit(100))) == 60000
     assert one(spark, S.slug(F.lit(" My  Object! "))) == "my_object"
@@ -50,7 +55,7 @@ def test_natural_key_needs_all_fields(spark):
 
 def test_conditions(spark):
     df = spark.createDataFrame([("1", None), ("x", "5"), (None, "Keep@co")], "a string, b string")
-    hold = lambda *c: [r.a for r in df.where(P.matches(list(c), df.columns)).collect()]
+    hold = lambda *c: [r.a for r in df.where(P.matches(list(c), df)).collect()]
     assert hold() == ["1", "x", None]
     assert hold(P.Condition("b", "ne", "5")) == ["1", None]
     assert hold(P.Condition("a", "lt", 1)) == [None]
@@ -150,3 +155,144 @@ def test_empty_inputs(spark):
 def test_recovered_jobs(spark):
     jobs = spark.sql("SELECT 'processing' AS status, timestamp'2024-01-01' AS locked_at UNION ALL SELECT 'completed', timestamp'2024-01-01'")
     assert sorted(r.status for r in J.recovered(jobs, F.lit("2024-01-02").cast("timestamp")).collect()) == ["completed", "retry"]
+
+
+# Transforms, by the kind of what comes in
+
+
+@pytest.mark.parametrize(
+    "name, given, want",
+    [
+        ("yes-no", "YES", True), ("yes-no", "1", True), ("yes-no", " yes ", False), ("yes-no", True, "yes"), ("yes-no", False, "no"), ("yes-no", 5, 5), ("true-false", "TRUE", True), ("true-false", " true", False), ("true-false", False, "false"),
+        ("boolean", 5, True), ("boolean", 0, False), ("boolean", "5", False), ("boolean", True, True), ("number", True, 1.0), ("number", 2.5, 2.5), ("iso-date", 1500, "1970-01-01T00:00:01.500Z"), ("iso-date", "2024-05-06", "2024-05-06T00:00:00.000Z"),
+        ("epoch-millis", 1500, "1970-01-01T00:00:01.500Z"), ("epoch-millis", "1970-01-01T00:00:01.500Z", 1500), ("lowercase", 7, 7), ("phone", True, True),
+    ],
+)
+def test_transforms_go_by_kind(spark, name, given, want):
+    df = spark.createDataFrame([(given,)], f"x {'string' if isinstance(given, str) else 'boolean' if isinstance(given, bool) else 'double' if isinstance(given, float) else 'long'}")
+    assert df.select(S.TRANSFORMS[name](F.col("x"), S.kind_of(df.schema[0].dataType)).alias("y")).first().y == want
+
+
+def test_dates_are_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert one(spark, S.iso_date(F.lit("2024-05-06"))) == "2024-05-06T00:00:00.000Z"
+        assert one(spark, S.iso_date(F.lit("2024-05-06T10:00:00Z"))) == "2024-05-06T10:00:00.000Z"
+        assert one(spark, S.epoch_millis(F.lit(0), "number")) == "1970-01-01T00:00:00.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_numbers_hash_in_their_shortest_form_and_booleans_are_no_keys(spark):
+    plain = one(spark, S.content_hash({"x": F.lit("10000000")}))
+    assert one(spark, S.content_hash({"x": F.lit(1e7)}, {"x": "number"})) == plain
+    assert one(spark, S.natural_key({"x": F.lit(5.0)}, {"x": "number"})) == "x:5" and one(spark, S.natural_key({"x": F.lit(True)}, {"x": "boolean"})) is None
+
+
+def test_typed_conditions(spark):
+    df = spark.createDataFrame([(True, 2), (False, 0), (None, None)], "flag boolean, n int")
+    hold = lambda *c: [r.n for r in df.where(P.matches(list(c), df)).collect()]
+    assert hold(P.Condition("flag", "gt", 0)) == [2] and hold(P.Condition("flag", "lt", 1)) == [0, None] and hold(P.Condition("n", "gt", None)) == [] and hold(P.Condition("n", "lt", None)) == []
+    assert df.where(P.raw("n = 2 AND 'order by' <> 'limit'")).count() == 1
+    with pytest.raises(ValueError):
+        P.raw("n = 2 OR upsert")
+
+
+# Reconciliation as a loop over records would do it
+
+
+def _loop_reconcile(spark, source, target, links, strategy):
+    hashed = lambda r: {x.id: x.hash for x in R.with_hash(spark.createDataFrame([("x", None, *r[2:4], None)], RECORD), FIELDS).collect()}["x"]
+    rows, held, new, out = {t[0]: t for t in target}, {x[0]: x for x in links}, {}, {}
+    for s in sorted(source):
+        link = held.get(s[0])
+        at = link[1] if link else None
+        if link and link[3] == hashed(s):
+            out[s[0]] = ("echo", None, None, None)
+            continue
+        same = sorted(t[0] for t in target if s[1] and t[1] == s[1])
+        if not link and len(same) > 1:
+            out[s[0]] = ("ambiguous", None, None, None)
+            continue
+        at = at or (same[0] if same else None)
+        t = rows.get(at)
+        clash = t is not None and (link[2] if link else None) != hashed(t)
+        wins = t if clash and strategy == "source-of-truth" else s
+        op = "update" if at or (s[1] and s[1] in new) else "create"
+        to = at or (new.setdefault(s[1], f"new-{s[0]}") if s[1] else f"new-{s[0]}")
+        out[s[0]] = ("written", op, to, wins[2])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reconciled_is_what_a_loop_says(spark, seed):
+    rng = random.Random(seed)
+    source, target = _random(rng, "a", 30), _random(rng, "b", 9)
+    df, t = spark.createDataFrame(source, RECORD), spark.createDataFrame(target, RECORD)
+    own, theirs = ({r.id: r.hash for r in R.with_hash(x, FIELDS).collect()} for x in (df, t))
+    links = [(f"a{i}", f"b{i % 9}", rng.choice(["stale", theirs[f"b{i % 9}"]]), rng.choice(["old", own[f"a{i}"]])) for i in range(0, 12, 2)]
+    given = spark.createDataFrame(links, LINK)
+    for strategy in ("last-write-wins", "source-of-truth"):
+        done = R.reconciled(df, t, given, FIELDS, strategy, source_of_truth="b")
+        got = {r.source_id: (r.status, r.op, r.target_id, r.email) for r in done.collect()}
+        # Without times the later side cannot be told, so that a conflict goes to b.
+        assert got == _loop_reconcile(spark, source, target, links, "source-of-truth")
+
+
+def test_a_merge_is_written_back_and_then_an_echo(spark):
+    row = "id string, key string, email string, phone string, modified timestamp"
+    a = spark.sql("SELECT 'a1' AS id, 'p' AS key, 'p' AS email, CAST(NULL AS string) AS phone, timestamp'2024-02-01' AS modified")
+    b = spark.sql("SELECT 'b1' AS id, 'p' AS key, 'q' AS email, '5' AS phone, timestamp'2024-01-01' AS modified")
+    links = spark.createDataFrame([("a1", "b1", "stale", "old")], LINK)
+    done = R.reconciled(a, b, links, FIELDS, "field-merge").first()
+    assert (done.conflict, done.email, done.phone, done.write_back, done.source_hash) == (True, "p", "5", True, done.target_hash)
+    merged = spark.createDataFrame([("a1", "p", "p", "5", None)], row)
+    again = R.reconciled(merged, merged.withColumn("id", F.lit("b1")), spark.createDataFrame([("a1", "b1", done.target_hash, done.source_hash)], LINK), FIELDS)
+    assert again.first().status == "echo"
+
+
+def test_links_are_found_by_accumulated_keys(spark):
+    source = spark.createDataFrame([("a9", "p", "p", "1", None)], RECORD)
+    target = spark.createDataFrame([("b1", None, "p", "1", None)], RECORD)
+    links = spark.createDataFrame([("old", "b1", None, None, ["o", "p"])], LINK + ", keys array<string>")
+    done = R.reconciled(source, target, links, FIELDS).first()
+    assert (done.status, done.op, done.target_id) == ("written", "update", "b1")
+    moved = R.repointed(links, spark.createDataFrame([("a9", "p2", "old")], "source_id string, key string, link_id string")).first()
+    assert tuple(moved) == ("a9", "b1", ["o", "p", "p2"])
+
+
+def test_gates_refuse(spark):
+    shape = "source string, source_id string, action string, target_id string, field_diff array<struct<field:string,source:string,target:string>>, warnings array<string>"
+    of = lambda *rows: spark.createDataFrame([(s, i, a, None, [], []) for s, i, a in rows], shape)
+    why = lambda frozen, now: U.gates(frozen, now).first().refused
+    fine = of(("a", "1", "skip"))
+    assert why(of(), fine) == "empty" and why(of(("a", "1", "ambiguous")), fine) == "ambiguous" and why(of(("a", "1", "skip"), ("b", "2", "skip")), fine) == "mixed_sources"
+    assert why(fine, of(("a", "1", "update"))) == "drift" and why(fine, of()) == "drift" and why(fine, fine) is None
+
+
+def test_schedules():
+    monday = datetime.datetime(2024, 1, 1)
+    assert T.cron_fields("*/2 * * * *") and T.cron_fields("0 9 * * 1") and not T.cron_fields("not a cron expression") and not T.cron_fields("") and not T.cron_fields("61 * * * *")
+    assert T.next_times("0 9 * * 1", monday, 2) == [monday.replace(hour=9), monday.replace(day=8, hour=9)]
+    assert T.next_times("0 0 13 * fri", monday, 2) == [datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 12)] and T.next_times("0 0 31 2 *", monday) == []
+
+
+def test_job_signals_that_do_not_fit_change_nothing():
+    step = lambda state, signal: JS.moved(*state, signal, 1000, "manual-review", 2)
+    state = (None, 0, None)
+    assert step(state, "claim") == state and step(state, "succeed") == state
+    state = step(state, "enqueue")
+    assert step(state, "enqueue") == state and step(state, "fail") == state
+    state = step(step(state, "claim"), "fail")
+    assert state == ("retry", 1, 1500)
+    state = step(step(state, "claim"), "fail")
+    assert state == ("dead_letter", 2, None) and step(state, "claim") == state
+    assert step(state, "replay") == ("queued", 0, 1000) and step(state, "dismiss")[0] == "dismissed" and step(state, "approve") == state
+    assert JS.moved("processing", 1, None, "delete", 0, "ignore", 2)[0] == "completed"
+
+
+def test_preflight_without_profiles(spark):
+    rules = spark.createDataFrame([("b", "x", "x", None, None, False)], "system string, canonical string, native string, read string, write string, read_only boolean")
+    schemas = spark.createDataFrame([("b", "x", "string", True, False, 0)], "system string, native string, type string, required boolean, read_only boolean, n_options int")
+    assert [(r.code, r.system) for r in Q.preflight(rules, schemas, None, None).collect()] == [("NATURAL_KEY_PROFILE_UNAVAILABLE", None)]
