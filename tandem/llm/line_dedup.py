@@ -80,6 +80,7 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
         known = mine.withColumn("e", F.col("s") + F.col("n") - block).join(at, [*DOC, "s"]).join(to, [*DOC, "e"])
         spot = F.struct(*DOC, "s")
         firsts = known.groupBy("n", "ra", "rb").agg(F.min(spot).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+        firsts = save(firsts, "line-firsts")  # so that the join can split a run with many copies
         later = known.join(firsts, ["n", "ra", "rb"]).where(F.struct(*DOC, "s") > F.col("first"))
         runs.append(save(later.select(*DOC, "s", "n"), "line-copies"))  # saved by level, so that no plan holds all levels
         if 2 * block <= longest:
