@@ -16,8 +16,9 @@ only name components, so rows that share an id but not a set are apart.
 
 With 4 registers in each of 32 bands, two sets of similarity 0.8 meet in no bucket with a chance of 4 in 10**8.
 
-Null and blank texts have an empty set and stay alone. Null ids count as the lowest id. Repeated rows are copies. Other
-columns pass through unchanged where documents are returned. An empty table gives no rows.
+Null and blank texts have an empty set and stay alone. A null id stays null and counts as the lowest one, so a component with such a row has
+none as its name. Repeated rows are copies, and rows of one id with different texts are vertices of their own. Other columns pass
+through unchanged where documents are returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import filled_id, map_arrow, save
+from .tables import filled_id, lowest_id, map_arrow, save
 from .words import MULT, mix, shingle_sets
 
 #: Fixed values of the sketch: base, rate and limit of the registers as published, registers in a band, bands.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 WIDTH, BANDS = 4, 32
 REGISTERS = WIDTH * BANDS
+#: Holders of a rare shingle that one task compares with all of them.
+PART = 256
 #: How far below the threshold an estimate may lie: five standard deviations of it at 0.8.
 SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 
@@ -128,13 +131,17 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) linked by their full sets."""
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    # Many pairs share an a: its text comes last, where a join can split them, so that it is not sent once for each pair.
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                one, two = (shingle_sets(part.column(i).cast(pa.binary()).to_pylist(), k) for i in (2, 3))
+                columns = [part.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)]
+                known = dict.fromkeys(t for c in columns for t in c)
+                known = dict(zip(known, shingle_sets(list(known), k)))
+                one, two = ([known[t] for t in c] for c in columns)
                 common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)]
                 good = [100 * c >= percent * (len(x) + len(y) - c) for x, y, c in zip(one, two, common)]
                 yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
@@ -164,18 +171,21 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
     shared = rows.groupBy("id").agg(F.count("*").alias("all")).join(counted.groupBy("id").agg(F.count("*").alias("known")), "id").select("id", (F.col("all") - F.col("known")).alias("alone"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = counted.join(shared, "id").withColumn("at", F.col("place") + F.col("alone")).where(F.col("at") <= prefix).select("id", "component", "n", "s", "at")
-    mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / PART).alias("parts")).where("x <> y").select("s", "parts")
     kept = save(kept.join(mixed, "s"), "rare-prefixes")
-    one, two = kept.select("s", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "at"))), kept.select("s", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "at")))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at")]
+    one = kept.select("s", F.pmod(F.xxhash64("id"), "parts").alias("part"), *side("a"))
+    two = kept.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *side("b"))
     # If s is the first that two sets share, no more can be shared than it and what follows it in either set.
     most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     near = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    return one.join(two, "s").where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return one.join(two, ["s", "part"]).where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: (_id, n_shingles, component_id), linked at 100 x intersection >= percent x union; component_id is the smallest id reachable."""
+    """Per document: (_id, n_shingles, component_id, kept), linked at 100 x intersection >= percent x union; component_id is the smallest id reachable, null if that is null."""
+    lowest = lowest_id(docs, id_col)
     docs = docs.select(filled_id(docs, id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     found = save(sketches(docs, k, "text"), "near-sketches")
     kind = docs.schema["_id"].dataType.simpleString()
@@ -200,12 +210,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = linked.join(names, "component").select("id", "name")
     named = save(nodes.select("id", "key", F.col("_id").alias("least")).join(named, "id", "left").select("key", F.coalesce("name", "least").alias("name")), "near-names")
     rows = found.select("_id", "n", "key").join(named, "key", "left")
-    return rows.select("_id", F.col("n").alias("n_shingles"), F.coalesce("name", "_id").cast(kind).alias("component_id"))
+    name = F.coalesce("name", "_id").cast(kind)
+    return rows.select(F.nullif("_id", lowest).alias("_id"), F.col("n").alias("n_shingles"), F.nullif(name, lowest).alias("component_id"), (F.col("_id") == name).alias("kept"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are not the first of their component; of rows with the same id all stay or go."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    kept = found.where("_id = component_id").select("_id").distinct()
+    kept = found.where("kept").select(filled_id(found, "_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), filled_id(docs, id_col).alias("_id"))
     return rows.join(kept, "_id", "left_semi").select("_row.*")

@@ -48,7 +48,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
-    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

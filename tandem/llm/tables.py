@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is missing, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from tandem.sources.stores import shared_folder
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +19,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     work again. The files stay until the folder is cleared, as checkpoints do.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,8 +44,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def lowest_id(df: DataFrame, column: str):
+    """The lowest value of an id's type."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.lit("") if kind == "string" else F.lit(-1).cast(kind) if kind in ("tinyint", "smallint") else F.lit(-(2**31)).cast(kind) if kind == "int" else F.lit(-(2**63)).cast(kind)
+
+
 def filled_id(df: DataFrame, column: str):
     """The id with nulls replaced by a lowest value, so that it can be a join key."""
-    kind = df.schema[column].dataType.simpleString()
-    lowest = F.lit("") if kind == "string" else F.lit(-1).cast(kind) if kind in ("tinyint", "smallint") else F.lit(-(2**31)).cast(kind) if kind == "int" else F.lit(-(2**63)).cast(kind)
-    return F.coalesce(F.col(column), lowest)
+    return F.coalesce(F.col(column), lowest_id(df, column))

@@ -260,5 +260,5 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
 
 
 def in_fold(id_column, remainder: int):
-    """Whether crc32 of the id as text leaves the remainder modulo 5."""
-    return F.crc32(id_column.cast("string").cast("binary")) % 5 == remainder
+    """Whether crc32 of the id as text leaves the remainder modulo 5; a null id is in no fold."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == remainder, F.lit(False))
