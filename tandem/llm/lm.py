@@ -1,17 +1,18 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model whose conditional probabilities are smoothed by a Dirichlet prior around the smoothed word
-probabilities: p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A text begins in
-a start context and ends with an end token.
+The model is a trigram model. Each order is smoothed by a Dirichlet prior around the one below: p(w | u v) = (c(u v w) + nu p(w | v)) /
+(c(u v) + nu), p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A text begins in a
+start context and ends with an end token; its first token has no trigram.
 
-The trie is dealt over shards by context; a context that holds a large share of all tokens is split over several shards
-by its successors. A shard is one flat buffer of levels, which can be memory-mapped: the sorted contexts, monotone pointers from
-each to its range of successors, and the successors, all in Elias-Fano form, and one quantised value for each node, from which
-probabilities are read. Successors are named relative to their context, by 32 bits of a hash of both. A query
-finds its context, then searches for the successor in that context's range only.
+The trie is dealt over shards by the first word; a word that holds a large share of all tokens is split over several shards
+by its successors. A shard is one flat buffer of levels, which can be memory-mapped: the sorted first words, monotone pointers from
+each to its range of second words, the second words, pointers from each to its range of third words, and the third words, all in
+Elias-Fano form, and one quantised count for each node, from which probabilities are made. Words are named relative to their
+context, by 32 bits of a hash of both. A query finds its first word, then searches for the second in that word's range
+only, then for the third in the range of that.
 
 1. Tasks turn documents into blocks: a dictionary and the texts as numbers. The blocks are saved once.
-2. Each block sends its distinct bigrams, with their counts in its training texts, to the shards; nothing is cut off.
+2. Each block sends its distinct bigrams and trigrams, with their counts in its training texts, to the shards; nothing is cut off.
    A shard adds them up, builds its levels and answers every block from them.
 3. Blocks meet their answers and add up the scores of their texts.
 
@@ -37,9 +38,9 @@ from .words import MULT, hashed_words, mix
 #: Ids of the token that ends a text and of the context that starts one.
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 #: Tokens of a block, tokens to a shard, least number of shards, and the least count of a context that is split.
-BLOCK, SHARD, SHARDS, HOT = 2_000_000, 500_000, 256, 16_384
-#: Weight of the prior, in tokens.
-MU = 150.0
+BLOCK, SHARD, SHARDS, HOT = 1_000_000, 500_000, 256, 16_384
+#: Weights of the priors of bigrams and trigrams, in tokens.
+MU, NU = 150.0, 30.0
 #: Quantised values: counts up to EXACT stand for themselves, larger ones are rounded to a 1,024th of a doubling.
 EXACT, STEPS = 4096, 1024
 
@@ -122,41 +123,47 @@ class Trie:
     """The levels of a shard, read from one buffer (bytes or a memory map)."""
 
     def __init__(self, buffer):
-        head = np.frombuffer(buffer, np.int64, 16)
-        at = 128
+        head = np.frombuffer(buffer, np.int64, 20)
+        at = 160
         found = []
-        for k in range(3):
+        for k in range(5):
             n, width, low, high = head[4 * k : 4 * k + 4].tolist()
             found.append(EliasFano(np.frombuffer(buffer, np.uint8, low, at), np.frombuffer(buffer, np.uint8, high, at + low), n, width))
             at += low + -(-high // 8) * 8
-        self.contexts, self.pointers, self.successors = found
+        self.contexts, self.pointers, self.successors, self.pointers2, self.thirds = found
         self.codes = np.frombuffer(buffer, np.uint16, self.successors.n, at)
+        self.codes2 = np.frombuffer(buffer, np.uint16, self.thirds.n, at + 2 * self.successors.n)
 
     @staticmethod
-    def build(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> bytes:
-        """Levels of sorted contexts and of sorted keys (rank of the context in the upper, the successor in the lower 32 bits)."""
-        edges = np.searchsorted(keys, np.arange(len(contexts) + 1, dtype=np.uint64) << np.uint64(32))
+    def build(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, keys2: np.ndarray, counts2: np.ndarray) -> bytes:
+        """Levels of sorted first words and of sorted keys (rank in the level above in the upper, the word in the lower 32 bits)."""
+        edges = lambda n, k: np.searchsorted(k, np.arange(n + 1, dtype=np.uint64) << np.uint64(32)).astype(np.uint64)
         head, body = [], []
-        for values in (contexts, edges.astype(np.uint64), keys):
+        for values in (contexts, edges(len(contexts), keys), keys, edges(len(keys), keys2), keys2):
             low, high, n, width = EliasFano.parts(values)
             head += [n, width, len(low), len(high)]
             body += [low.tobytes(), high.tobytes(), b"\0" * (-len(high) % 8)]
-        return np.array([*head, 0, 0, 0, 0], np.int64).tobytes() + b"".join(body) + quantised(counts).tobytes()
+        return np.array(head, np.int64).tobytes() + b"".join(body) + quantised(counts).tobytes() + quantised(counts2).tobytes()
 
     def ranks(self, contexts: np.ndarray) -> np.ndarray:
         """The rank of each context, -1 where it is unknown."""
         return self.contexts.find(contexts)
 
-    def values(self, ranks: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """The code of each successor, searched for in the range of its context; 0 where there is none."""
-        out = np.zeros(len(ranks), np.uint16)
+    def below(self, ranks: np.ndarray, words: np.ndarray, level: int) -> np.ndarray:
+        """Where each word stands in the level below, searched for in the range of its context there; -1 where it does not, or the context is -1."""
+        pointers, nodes = ((self.pointers, self.successors), (self.pointers2, self.thirds))[level]
+        out = np.full(len(ranks), -1)
         known = np.flatnonzero(ranks >= 0)
         r = ranks[known]
-        low, high = self.pointers.at(r).astype(np.int64), self.pointers.at(r + 1).astype(np.int64)
-        spot = self.successors.search(r.astype(np.uint64) << np.uint64(32) | successors[known].astype(np.uint64), low, high)
-        out[known[spot >= 0]] = self.codes[spot[spot >= 0]]
+        low, high = pointers.at(r).astype(np.int64), pointers.at(r + 1).astype(np.int64)
+        out[known] = nodes.search(r.astype(np.uint64) << np.uint64(32) | words[known].astype(np.uint64), low, high)
         return out
 
+    def values(self, places: np.ndarray, level: int) -> np.ndarray:
+        """The codes of nodes; 0 for -1."""
+        codes = (self.codes, self.codes2)[level]
+        return np.where(places >= 0, codes[np.maximum(places, 0)], np.uint16(0)) if len(codes) else np.zeros(len(places), np.uint16)
+
 
 def narrow(values: np.ndarray) -> bytes:
     """Unsigned integers in the narrowest type that holds all of them."""
@@ -168,6 +175,16 @@ def wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Mostly small integers, compressed, with the width of each in front."""
+    data = narrow(values)
+    return bytes([len(data) // max(len(values), 1)]) + pa.compress(data, codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _smalls(data: bytes, n: int) -> np.ndarray:
+    return wide(pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True), n) if n else np.zeros(0, np.int64)
+
+
 def _squeezed(numbers: np.ndarray) -> bytes:
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
@@ -255,6 +272,17 @@ class Asked:
         place = np.searchsorted(entries, pairs)
         self.order = np.argsort(place, kind="stable")
         self.per_entry = np.bincount(place, minlength=len(entries))
+        # Trigrams, named by their first two words' bigram; a text's first token has none.
+        self.second = np.ones(len(tokens), bool)
+        self.second[np.cumsum(sizes) - sizes] = False
+        at = np.flatnonzero(self.second)
+        trigrams, self.which3 = np.unique(self.which[at - 1] * size + tokens[at], return_inverse=True)
+        upper, third = trigrams // size, trigrams % size
+        self.thirds = (mix(self.successors[upper].astype(np.uint64) * np.uint64(MULT) + mix(words[third] + ids[a[upper]])) >> np.uint64(32)).astype(np.uint32)
+        rank = np.empty(len(bigrams), np.int64)
+        rank[self.order] = np.arange(len(bigrams))
+        self.order3 = np.argsort(rank[upper], kind="stable")
+        self.per_bigram = np.bincount(rank[upper], minlength=len(bigrams))  # in the order of answers
         self.at_home = np.searchsorted(entries, self.home)
         self.entry_ids, self.entry_shards = ids[entries % size], entries // size
 
@@ -263,20 +291,26 @@ class Asked:
         return (mix(ids + part.astype(np.uint64) * np.uint64(MULT)) % np.uint64(shards)).astype(np.int64)
 
     def rows(self, block: int, train: np.ndarray) -> pa.RecordBatch:
-        """One row for each shard: contexts with their counts and numbers of successors, the successors with theirs."""
+        """One row for each shard: first words with their counts and numbers of second words, those with theirs, and the third words."""
         own = np.zeros(len(self.entry_ids), np.int64)
         own[self.at_home[:-1]] = np.bincount(self.tokens[train], minlength=len(self.words))
         counts = np.bincount(self.which[train], minlength=len(self.successors))[self.order]
         successors = self.successors[self.order]
-        edge = np.append(np.flatnonzero(np.diff(self.entry_shards, prepend=-1)), len(own))
-        upto = np.concatenate(([0], np.cumsum(self.per_entry)))
-        columns: list[list] = [[] for _ in range(5)]
+        counts3 = np.bincount(self.which3[train[self.second]], minlength=len(self.thirds))[self.order3]
+        thirds = self.thirds[self.order3]
+        edge, upto, upto3 = self.edges()
+        columns: list[list] = [[] for _ in range(8)]
         for x, y in zip(edge[:-1], edge[1:]):
-            s = slice(upto[x], upto[y])
-            for c, v in zip(columns, (self.entry_ids[x:y].tobytes(), narrow(own[x:y]), narrow(self.per_entry[x:y]), successors[s].tobytes(), narrow(counts[s]))):
+            s, t = slice(upto[x], upto[y]), slice(upto3[upto[x]], upto3[upto[y]])
+            for c, v in zip(columns, (self.entry_ids[x:y].tobytes(), narrow(own[x:y]), narrow(self.per_entry[x:y]), successors[s].tobytes(), narrow(counts[s]), _small(self.per_bigram[s]), thirds[t].tobytes(), _small(counts3[t]))):
                 c.append(v)
         shard = self.entry_shards[edge[:-1]]
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), block)), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "block", "contexts", "own", "sizes", "successors", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), block)), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "block", "contexts", "own", "sizes", "successors", "counts", "sizes3", "thirds", "counts3"])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each shard's first words begin, each first word's second words, and each second word's third words."""
+        edge = np.append(np.flatnonzero(np.diff(self.entry_shards, prepend=-1)), len(self.entry_ids))
+        return edge, np.concatenate(([0], np.cumsum(self.per_entry))), np.concatenate(([0], np.cumsum(self.per_bigram)))
 
 
 def _read(row: dict, shards: int, split) -> tuple[Asked, np.ndarray]:
@@ -298,18 +332,32 @@ def answer(rows: pa.Table) -> pa.Table:
     keys = np.repeat(rank, np.concatenate(sizes)).astype(np.uint64) << np.uint64(32) | np.concatenate(successors)
     learned = np.flatnonzero(counts)
     nodes, node = np.unique(keys[learned], return_inverse=True)
-    trie = Trie(Trie.build(known, nodes, np.bincount(node, counts[learned], len(nodes)).astype(np.int64)))
-    out: list[list] = [[], []]
-    for c, n, s in zip(contexts, sizes, successors):
+    sums = np.bincount(node, counts[learned], len(nodes)).astype(np.int64)
+    place = np.full(len(keys), -1)
+    place[learned] = node
+    del keys, node, rank
+    sizes3 = [_smalls(r["sizes3"], len(s)) for r, s in zip(rows, successors)]
+    counts3 = [_smalls(r["counts3"], int(n.sum())) for r, n in zip(rows, sizes3)]
+    thirds = [np.frombuffer(r["thirds"], np.uint32) for r in rows]
+    seen = np.concatenate(counts3)
+    new = np.flatnonzero(seen)
+    parents = np.repeat(place, np.concatenate(sizes3))[new]
+    nodes3, node = np.unique(parents.astype(np.uint64) << np.uint64(32) | np.concatenate(thirds)[new], return_inverse=True)
+    trie = Trie(Trie.build(known, nodes, sums, nodes3, np.bincount(node, seen[new], len(nodes3)).astype(np.int64)))
+    del place, parents, node, nodes, nodes3, seen, new
+    out: list[list] = [[], [], []]
+    for c, n, s, n3, t in zip(contexts, sizes, successors, sizes3, thirds):
         ranks = trie.ranks(c)
         out[0].append(narrow(word_counts[ranks]))
-        out[1].append(narrow(trie.values(np.repeat(ranks, n), s)))
+        found = trie.below(np.repeat(ranks, n), s, 0)
+        out[1].append(narrow(trie.values(found, 0)))
+        out[2].append(_small(trie.values(trie.below(np.repeat(found, n3), t, 1), 1)))
     zeros = [0] * (len(rows) - 1)
-    columns = {"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows], "own": out[0], "codes": out[1], "known": [int((word_counts > 0).sum()), *zeros], "total": [int(word_counts.sum()), *zeros]}
-    return pa.table(columns, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("own", pa.binary()), ("codes", pa.binary()), ("known", pa.int64()), ("total", pa.int64())]))
+    columns = {"block": [r["block"] for r in rows], "shard": [r["shard"] for r in rows], "own": out[0], "codes": out[1], "codes3": out[2], "known": [int((word_counts > 0).sum()), *zeros], "total": [int(word_counts.sum()), *zeros]}
+    return pa.table(columns, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("own", pa.binary()), ("codes", pa.binary()), ("codes3", pa.binary()), ("known", pa.int64()), ("total", pa.int64())]))
 
 
-def score(docs: DataFrame, held, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held, mu: float = MU, nu: float = NU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score; held: a condition for rows that are not learned from."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = save(blocks(docs, held, id_col, text_col), "lm-blocks")
@@ -327,25 +375,29 @@ def score(docs: DataFrame, held, mu: float = MU, id_col: str = "doc_id", text_co
                 asked, train = _read(row, shards, split)
                 yield asked.rows(row["block"], train)
 
-    wanted = "shard long, block long, contexts binary, own binary, sizes binary, successors binary, counts binary"
+    wanted = "shard long, block long, contexts binary, own binary, sizes binary, successors binary, counts binary, sizes3 binary, thirds binary, counts3 binary"
     dealt = found.select("block", "held", "sizes", "n", "words", "tokens").mapInArrow(ask, wanted)
-    answers = save(dealt.groupBy("shard").applyInArrow(answer, "block long, shard long, own binary, codes binary, known long, total long"), "lm-answers")
+    answers = save(dealt.groupBy("shard").applyInArrow(answer, "block long, shard long, own binary, codes binary, codes3 binary, known long, total long"), "lm-answers")
     known, train_tokens = (x or 0 for x in answers.agg(F.sum("known"), F.sum("total")).first())
 
     def finish(block: pa.Table, rows: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         asked, _ = _read(row, shards, split)
         rows = sorted(rows.to_pylist(), key=lambda r: r["shard"])
-        edge = np.append(np.flatnonzero(np.diff(asked.entry_shards, prepend=-1)), len(asked.entry_ids))
-        upto = np.concatenate(([0], np.cumsum(asked.per_entry)))
+        edge, upto, upto3 = asked.edges()
         own = np.concatenate([wide(r["own"], y - x) for r, x, y in zip(rows, edge[:-1], edge[1:])])
         codes = np.empty(len(asked.successors), np.int64)
         codes[asked.order] = np.concatenate([wide(r["codes"], upto[y] - upto[x]) for r, x, y in zip(rows, edge[:-1], edge[1:])])
+        codes3 = np.empty(len(asked.thirds), np.int64)
+        codes3[asked.order3] = np.concatenate([_smalls(r["codes3"], upto3[upto[y]] - upto3[upto[x]]) for r, x, y in zip(rows, edge[:-1], edge[1:])])
         count = own[asked.at_home]
         count[-1] = count[np.flatnonzero(asked.words == END)[0]]  # as many texts start as end
         c = count[asked.tokens]
         base = (c + 0.5) / (train_tokens + 0.5 * (known + 1))
-        p = np.minimum((restored(codes)[asked.which] + mu * base) / (count[asked.before] + mu), 1.0)
+        pair = restored(codes)[asked.which]
+        p = np.minimum((pair + mu * base) / (count[asked.before] + mu), 1.0)
+        at = np.flatnonzero(asked.second)
+        p[at] = np.minimum((restored(codes3)[asked.which3] + nu * p[at]) / (pair[at - 1] + nu), 1.0)
         first = np.cumsum(asked.sizes) - asked.sizes
         n = len(asked.sizes)
         arrays = [pa.array(row["ids"], block.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(asked.sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(n, train_tokens)), pa.array(np.add.reduceat(np.log10(base), first)), pa.array(np.add.reduceat(np.log10(p), first))]
@@ -353,4 +405,4 @@ def score(docs: DataFrame, held, mu: float = MU, id_col: str = "doc_id", text_co
 
     scores = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     texts = found.select("block", "ids", "held", "sizes", "n", "words", "tokens")
-    return texts.groupBy("block").cogroup(answers.select("block", "shard", "own", "codes").groupBy("block")).applyInArrow(finish, scores).withColumnRenamed("id", id_col)
+    return texts.groupBy("block").cogroup(answers.select("block", "shard", "own", "codes", "codes3").groupBy("block")).applyInArrow(finish, scores).withColumnRenamed("id", id_col)

@@ -426,21 +426,25 @@ def test_lm_is_what_a_loop_says(spark, docs, odd, empty):
     for df in (docs, odd):
         rows = [(r.doc_id, [*WORDS.findall(lower(r.text)), None]) for r in df.select("doc_id", "text").collect()]
         out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-        words, pairs, starts = Counter(), Counter(), 0
+        words, pairs, threes, starts = Counter(), Counter(), Counter(), 0
         for i, t in rows:
             if not out(i):
                 words.update(t)
                 pairs.update(zip(["<s>", *t], t))
+                threes.update(zip(["<s>", *t], t, t[1:]))
                 starts += 1
         total, distinct = sum(words.values()), len(words)
         want = []
         for i, t in rows:
             base = [(words[x] + 0.5) / (total + 0.5 * (distinct + 1)) for x in t]
             own = [(pairs[a, x] + lm.MU * p) / ((starts if a == "<s>" else words[a]) + lm.MU) for a, x, p in zip(["<s>", *t], t, base)]
-            want.append((-1 if i is None else i, out(i), len(t), sum(words[x] > 0 for x in t), total, round(sum(map(math.log10, base)), 4), round(sum(map(math.log10, own)), 4)))
+            own[1:] = [(threes[a, b, x] + lm.NU * p) / (pairs[a, b] + lm.NU) for a, b, x, p in zip(["<s>", *t], t, t[1:], own[1:])]
+            # A count above EXACT is off by half a step at most, and a token's probability is made of three.
+            off = sum(max(pairs[a, x], words[x]) > lm.EXACT for a, x in zip(["<s>", *t], t)) * 3 * math.log10(2) / lm.STEPS / 2
+            want.append((-1 if i is None else i, out(i), len(t), sum(words[x] > 0 for x in t), total, round(sum(map(math.log10, base)), 4), round(sum(map(math.log10, own)), 4), off))
         got = [(-1 if r[0] is None else r[0], *r[1:5], round(r[5], 4), round(r[6], 4)) for r in lm.score(df, held).collect()]
         for a, b in zip(sorted(got), sorted(want)):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-2)
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-6, abs=1e-3) and a[6] == pytest.approx(b[6], rel=1e-6, abs=1e-3 + b[7])
     assert lm.score(empty, held).count() == 0
     assert all(r.score == pytest.approx(r.base_score) and r.n_known == 0 for r in lm.score(odd, F.lit(True)).collect())
 
