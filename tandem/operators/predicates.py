@@ -13,6 +13,8 @@ from tandem.functions.scalars import js_number, kind_of, text
 
 #: Words that a raw predicate may not hold.
 FORBIDDEN = re.compile(r";|--|/\*|\b(insert|update|delete|upsert|union|merge)\b", re.I)
+#: The operators of a condition.
+OPERATORS = ["eq", "ne", "gt", "lt", "contains", "is_null", "is_not_null"]
 
 
 @dataclass(frozen=True)
@@ -74,3 +76,18 @@ def missing_required(df: DataFrame, required: list[str]) -> DataFrame:
     """Rows in which a required field is null or empty, and which fields those are."""
     blank = F.array_compact(F.array(*[F.when(text(F.col(c)) == "", F.lit(c)) for c in required]))
     return df.withColumn("missing", blank).where(F.size("missing") > 0)
+
+
+def refused_conditions(conditions: DataFrame, systems: list[str]) -> DataFrame:
+    """Saved conditions (system, field, operator, raw) with why each may not be saved, null if it may.
+
+    A row holds a field and an operator, or a raw predicate, which only the first system takes.
+    """
+    blank = F.trim(F.coalesce("field", F.lit(""))) == ""
+    unsafe = (F.length("raw") > 500) | F.col("raw").rlike("(?i)" + FORBIDDEN.pattern)
+    why = (
+        F.when(~F.coalesce(F.col("system").isin(systems), F.lit(False)), "unknown_system").when(F.col("raw").isNotNull() & (F.col("system") != systems[0]), "raw_not_supported")
+        .when(unsafe, "unsafe_raw").when(F.col("raw").isNotNull(), None).when(blank | (F.length("field") > 200), "field")
+        .when(~F.coalesce(F.col("operator").isin(OPERATORS), F.lit(False)), "operator")
+    )
+    return conditions.withColumn("refused", why)

@@ -165,3 +165,11 @@ def option_values(a: DataFrame, b: DataFrame, saved: DataFrame) -> DataFrame:
     """Values of a list field on either side, with what has been saved for them."""
     both = a.select("value").union(b.select("value")).distinct()
     return both.join(saved.select("value", "canonical"), "value", "full").select("value", F.coalesce("canonical", "value").alias("canonical"))
+
+
+def searched(rows: DataFrame, query: str, columns: list[str], facet: Column | None = None) -> DataFrame:
+    """Rows that hold the text, in whatever case, in one of the columns or across them (joined by spaces), and pass the facet; a blank text finds all."""
+    wanted = query.strip().lower()
+    text = F.concat_ws(" ", *[F.coalesce(F.lower(c), F.lit("")) for c in columns])
+    found = rows.where(text.contains(wanted)) if wanted else rows
+    return found if facet is None else found.where(facet)

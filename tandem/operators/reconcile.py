@@ -287,3 +287,10 @@ def key_profile(df: DataFrame, key: Column) -> DataFrame:
 def links_wide(sides: DataFrame, systems: tuple[str, str] = ("a", "b")) -> DataFrame:
     """Rows (link_id, system, native_id, hash) as one row for each link."""
     return sides.groupBy("link_id").pivot("system", list(systems)).agg(F.first("native_id").alias("id"), F.first("hash").alias("hash"))
+
+
+def edges_upserted(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored edges (from_id, to_id, kind, label, at) with new ones laid over: one row for each key, a missing label being a key of its own; the newest counts."""
+    both = held.unionByName(new).withColumn("label", F.coalesce("label", F.lit("")))
+    keys = ["from_id", "to_id", "kind", "label"]
+    return both.groupBy(*keys).agg(F.min("at").alias("first_at"), F.max("at").alias("at"))

@@ -92,3 +92,25 @@ def deletion_requests(held: DataFrame, asked: DataFrame) -> DataFrame:
     new = asked.groupBy("job_id").agg(F.max_by("policy", "at").alias("policy"))
     rows = held.join(new, "job_id", "left_anti").select("job_id", "policy").unionByName(new)
     return rows.withColumn("status", F.when(F.col("policy") == "cascade", "completed").otherwise("pending"))
+
+
+def refused_plans(asked: DataFrame, systems: list[str], known: list[str]) -> DataFrame:
+    """Plans asked for (name, source, types, per_type) with why each is refused, null if it is not; types are kept once each, in their order.
+
+    Refused are names that are blank or longer than 120, sources that are no system, no types, unknown types, and limits outside 1 to 100,000.
+    """
+    name = F.trim(F.coalesce("name", F.lit("")))
+    listed = F.coalesce(F.size("types"), F.lit(0))
+    strange = F.coalesce(F.exists("types", lambda t: ~F.coalesce(t.isin(known), F.lit(False))), F.lit(False))
+    why = (
+        F.when((name == "") | (F.length(name) > 120), "name").when(~F.coalesce(F.col("source").isin(systems), F.lit(False)), "source")
+        .when((listed < 1) | strange, "types").when(~F.coalesce(F.col("per_type").between(1, 100_000), F.lit(True)), "per_type")
+    )
+    return asked.withColumn("name", name).withColumn("types", F.array_distinct("types")).withColumn("refused", why)
+
+
+def poll_summary(polls: DataFrame) -> DataFrame:
+    """Polls (type, changed, deleted, error) added up per type and for all of them (type null, zeros if there are none); a poll with an error counts as one."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    each = polls.groupBy("type").agg(total("changed"), total("deleted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return each.unionByName(each.agg(F.lit(None).cast("string").alias("type"), *[total(c) for c in ("changed", "deleted", "errors")]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.scalars import clamped_interval
@@ -109,3 +109,10 @@ def overview(tenants: DataFrame, subscriptions: DataFrame, members: DataFrame) -
 def of_tenant(df: DataFrame, tenant) -> DataFrame:
     """Rows of one tenant only; on a table partitioned by tenant the others are not read."""
     return df.where(F.col("tenant") == F.lit(tenant))
+
+
+def with_setting(saved: Column, name: str, value: Column) -> Column:
+    """Settings kept as a JSON object, with one of them replaced or added by a value given as JSON; the others stay as they are. Null settings stay null."""
+    held = F.from_json(saved, "map<string,variant>")
+    others = F.map_filter(held, lambda k, _: k != name)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(name), F.parse_json(value))))

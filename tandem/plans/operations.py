@@ -457,6 +457,53 @@ def rules_on_both_sides(spark: SparkSession, d: str) -> DataFrame:
     return rules.where("system = 'a'").select("canonical").intersect(rules.where("system = 'b'").select("canonical"))
 
 
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'unknown_system' WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 5 <> 1 THEN 'raw_not_supported' WHEN c_custkey % 2 = 0 THEN 'unsafe_raw' END WHEN c_custkey % 3 = 0 THEN 'field' WHEN c_custkey % 11 = 0 THEN 'operator' END AS refused FROM customer")
+def conditions_refused(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = F.when((k % 7 == 0) & (k % 2 == 0), "x = 1; DROP TABLE y").when(k % 7 == 0, "updated > 1")
+    system = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "a").otherwise("b")
+    rows = stores.read(spark, d, "customer", ["c_custkey"]).select(k.alias("id"), system.alias("system"), F.when(k % 3 != 0, "email").otherwise(" ").alias("field"), F.when(k % 11 == 0, "like").otherwise("eq").alias("operator"), raw.alias("raw"))
+    return P.refused_conditions(rows, ["a", "b"]).select("id", "refused")
+
+
+@_query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'name' WHEN o_orderkey % 5 = 0 THEN 'source' WHEN o_orderkey % 3 = 0 THEN 'types' WHEN o_orderkey % 11 = 0 THEN 'per_type' END AS refused, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_types FROM orders")
+def plans_refused(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    types = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit("deal"), F.lit("contact"), F.lit("deal"))).otherwise(F.array(F.lit("deal")))
+    name = F.when(k % 14 == 0, "  ").when(k % 7 == 0, F.repeat(F.lit("n"), 121)).otherwise(" plan ")
+    asked = stores.read(spark, d, "orders", ["o_orderkey"]).select(k.alias("id"), name.alias("name"), F.when(k % 5 != 0, "a").alias("source"), types.alias("types"), F.when(k % 11 == 0, 0).when(k % 4 == 0, 100_000).alias("per_type"))
+    return U.refused_plans(asked, ["a", "b"], ["contact", "deal"]).select("id", "refused", F.size("types").alias("n_types"))
+
+
+@_query("WITH p AS (SELECT event_type, event_id % 5 AS changed, CASE WHEN event_id % 3 = 0 THEN 1 END AS deleted, event_id % 17 = 0 AS bad FROM events) SELECT event_type AS type, sum(changed)::BIGINT AS changed, coalesce(sum(deleted), 0)::BIGINT AS deleted, count(*) FILTER (WHERE bad) AS errors FROM p GROUP BY ROLLUP (event_type)")
+def poll_totals(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    return U.poll_summary(stores.read(spark, d, "events", ["event_id", "event_type"]).select(F.col("event_type").alias("type"), (k % 5).alias("changed"), F.when(k % 3 == 0, 1).alias("deleted"), F.when(k % 17 == 0, "refused").alias("error")))
+
+
+@_query("SELECT n_name AS name FROM nation WHERE contains(lower(coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, '') || ' nr ' || n_nationkey), 'a') AND n_regionkey <> 2")
+def catalog_searched(spark: SparkSession, d: str) -> DataFrame:
+    n = stores.read(spark, d, "nation", ["n_name", "n_nationkey", "n_regionkey"])
+    rows = n.select("n_regionkey", F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("shown"), F.concat(F.lit("Nr "), F.col("n_nationkey").cast("string")).alias("label"))
+    return Q.searched(rows, " A ", ["shown", "label"], F.col("n_regionkey") != 2).select("name")
+
+
+@_query("SELECT l_orderkey AS from_id, l_partkey AS to_id, 'holds' AS kind, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE '' END AS label, min(l_shipdate) AS first_at, max(l_shipdate) AS at FROM lineitem GROUP BY ALL")
+def edges_stored(spark: SparkSession, d: str) -> DataFrame:
+    rows = stores.read(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"])
+    edges = rows.select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.lit("holds").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, "even").alias("label"), F.col("l_shipdate").alias("at"), "l_linenumber")
+    return R.edges_upserted(edges.where("l_linenumber <= 2").drop("l_linenumber"), edges.where("l_linenumber > 2").drop("l_linenumber"))
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END AS minutes, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS kept, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS inner_id FROM customer")
+def setting_replaced(spark: SparkSession, d: str) -> DataFrame:
+    c = stores.read(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    saved = F.when(F.col("c_custkey") % 9 != 0, F.to_json(F.struct(F.lit(30).alias("minutes"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_custkey").alias("id")).alias("nested"))))
+    new = c.withColumn("settings", T.with_setting(saved, "minutes", F.col("c_nationkey").cast("string")))
+    at = lambda path: F.get_json_object("settings", path)
+    return new.select(F.col("c_custkey").alias("id"), at("$.minutes").cast("long").alias("minutes"), at("$.segment").alias("kept"), at("$.nested.id").cast("long").alias("inner_id"))
+
+
 @_query("WITH " + X.EVENTS + " SELECT event_id FROM jobs WHERE status = 'dead_letter' ORDER BY ts DESC, event_id DESC LIMIT 25")
 def jobs_listed(spark: SparkSession, d: str) -> DataFrame:
     from tandem.plans.catalog import _jobs

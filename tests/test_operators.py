@@ -296,3 +296,43 @@ def test_preflight_without_profiles(spark):
     rules = spark.createDataFrame([("b", "x", "x", None, None, False)], "system string, canonical string, native string, read string, write string, read_only boolean")
     schemas = spark.createDataFrame([("b", "x", "string", True, False, 0)], "system string, native string, type string, required boolean, read_only boolean, n_options int")
     assert [(r.code, r.system) for r in Q.preflight(rules, schemas, None, None).collect()] == [("NATURAL_KEY_PROFILE_UNAVAILABLE", None)]
+
+
+def test_refused_conditions_on_odd_rows(spark):
+    rows = [("a", "email", "eq", None), ("a", None, "eq", None), ("a", "f" * 201, "eq", None), ("a", "email", None, None), (None, "email", "eq", None), ("b", None, None, "x > 1"), ("a", None, None, "x > 1"), ("a", None, None, "updated > 1"), ("a", None, None, "1 /* */"), ("a", None, None, "x" * 501), ("a", None, None, "1 UNION 2")]
+    df = spark.createDataFrame(rows, "system string, field string, operator string, raw string")
+    found = [r.refused for r in P.refused_conditions(df, ["a", "b"]).collect()]
+    assert found == [None, "field", "field", "operator", "unknown_system", "raw_not_supported", None, None, "unsafe_raw", "unsafe_raw", "unsafe_raw"]
+
+
+def test_refused_plans_on_odd_rows(spark):
+    rows = [(" p ", "a", ["x", "x"], None), (None, "a", ["x"], 1), ("p", "c", ["x"], 1), ("p", "a", None, 1), ("p", "a", ["x", None], 1), ("p", "a", ["y"], 1), ("p", "a", ["x"], 100_001), ("p", "a", ["x"], 100_000)]
+    df = spark.createDataFrame(rows, "name string, source string, types array<string>, per_type int")
+    found = U.refused_plans(df, ["a", "b"], ["x"]).collect()
+    assert [r.refused for r in found] == [None, "name", "source", "types", "types", "types", "per_type", None]
+    assert (found[0].name, found[0].types) == ("p", ["x"])
+
+
+def test_poll_summary_of_nothing_and_of_nulls(spark):
+    df = spark.createDataFrame([("x", None, 2, "e"), ("x", 1, None, None)], "type string, changed int, deleted int, error string")
+    assert {tuple(r) for r in U.poll_summary(df).collect()} == {("x", 1, 2, 1), (None, 1, 2, 1)}
+    assert [tuple(r) for r in U.poll_summary(df.limit(0)).collect()] == [(None, 0, 0, 0)]
+
+
+def test_searched_blank_finds_all_and_nulls_do_not_hide_a_row(spark):
+    df = spark.createDataFrame([("Deal", None), (None, "Dealer"), ("x", "y")], "label string, target string")
+    assert Q.searched(df, "  ", ["label", "target"]).count() == 3
+    assert Q.searched(df, "DEAL", ["label", "target"]).count() == 2
+    assert Q.searched(df, "x y", ["label", "target"]).count() == 1
+
+
+def test_edges_upserted_keeps_one_row_a_key(spark):
+    kind = "from_id string, to_id string, kind string, label string, at int"
+    held, new = spark.createDataFrame([("a", "b", "k", None, 1)], kind), spark.createDataFrame([("a", "b", "k", "", 5), ("a", "b", "k", "l", 2)], kind)
+    assert {(r.label, r.first_at, r["at"]) for r in R.edges_upserted(held, new).collect()} == {("", 1, 5), ("l", 2, 2)}
+
+
+def test_with_setting_keeps_the_others(spark):
+    df = spark.createDataFrame([('{"a": {"b": [1, null]}, "n": 1}',), ("{}",), (None,)], "s string")
+    found = [r.x for r in df.select(T.with_setting(F.col("s"), "n", F.lit('{"on": true}')).alias("x")).collect()]
+    assert found == ['{"a":{"b":[1,null]},"n":{"on":true}}', '{"n":{"on":true}}', None]
