@@ -6,7 +6,8 @@ registers tell of similar sets. Rows with equal sets are one vertex, which has a
 only name components, so rows that share an id but not a set are apart.
 
 1. Bands of registers put vertices into buckets. In each bucket, every vertex is paired with the smallest one only, so a
-   bucket of any size gives as many pairs as it has vertices.
+   bucket of any size gives as many pairs as it has vertices. Each vertex is first held against the one of these that it
+   meets most often; of the other pairs, those remain whose two vertices are not in one component by then.
 2. Pairs are estimated jointly by likelihood from how many registers are larger, smaller and equal, and from the exact
    set sizes; what is far below the threshold goes, the rest is verified on full sets. Links give components.
 3. Buckets that still hold several components may hide links between vertices that were not paired. All their vertices
@@ -183,6 +184,12 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
     return one.join(two, ["s", "part"]).where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def in_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, a, id, component) of the rows (bucket, a, b) of buckets; a vertex without links is a component of its own."""
+    rows = buckets.withColumnRenamed("b", "id").join(labels, "id", "left")
+    return rows.select("bucket", "a", "id", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: (_id, n_shingles, component_id, kept), linked at 100 x intersection >= percent x union; component_id is the smallest id reachable, null if that is null."""
     lowest = lowest_id(docs, id_col)
@@ -194,13 +201,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     buckets = save(placed.join(shared, "bucket").select("bucket", "a", F.col("id").alias("b")), "near-buckets")
-    pairs = buckets.where("a <> b").select("a", "b").distinct()
+    often = buckets.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = often.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     members = nodes.join(buckets.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select("id", "_id", "digest")
     rows = docs.select("_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").join(members, ["_id", "digest"])
     texts = save(rows.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
     links = save(verified(likely(pairs, nodes, percent / 100), texts, k, percent), "near-links")
-    labels = save(components(links), "near-labels")
-    named = buckets.select("bucket", F.col("b").alias("id")).join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    named = in_components(buckets, save(components(links), "near-labels"))
+    firsts = named.groupBy("bucket").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("component"))).alias("first"), F.max("component").alias("y"), F.min("component").alias("x")).where("x <> y").select("bucket", "first")
+    pairs = save(named.join(firsts, "bucket").where("component <> first").select("a", F.col("id").alias("b")).distinct(), "near-pairs")
+    links = save(links.union(verified(likely(pairs, nodes, percent / 100), texts, k, percent)), "near-links")
+    named = in_components(buckets, save(components(links), "near-labels"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_ = save(named.join(mixed, "bucket").select("id", "component").distinct(), "near-open")
     more = verified(likely(rare_pairs(texts, open_, k, percent), nodes, percent / 100), texts, k, percent)
