@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_search, html_text, line_dedup, lm, near_dedup, near_search, packing, sharding, toxicity
+from . import bpe, clustering, exact_search, html_text, line_dedup, lm, near_dedup, near_search, packing, sharding, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +100,41 @@ def op10_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_search.search(table(spark, sf_dir, "embeddings"), _hundredth)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_exact_search": op9_exact_search, "op10_near_search": op10_near_search}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+OP12_ROUND = """,
+m{r} AS MATERIALIZED (SELECT v.vec_id, v.x, min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.c) AS m FROM v, c{r} c GROUP BY v.n, v.vec_id, v.x)"""
+OP12_MEANS = """,
+s{r} AS (SELECT m % 64 AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM m{r}, range(1, 65) t(i) GROUP BY ALL),
+f{r} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{q} AS MATERIALIZED (SELECT c.c, coalesce(f.x, c.x) AS x FROM c{r} c LEFT JOIN f{r} f USING (c))"""
+OP12_SQL = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 40))"""
+    + "".join(OP12_ROUND.format(r=r) + OP12_MEANS.format(r=r, q=r + 1) for r in range(5))
+    + OP12_ROUND.format(r=5)
+    + """
+SELECT vec_id, (m % 64)::INTEGER AS cluster, m // 64 AS distance, sum(m // 64) OVER (PARTITION BY m % 64)::BIGINT AS cluster_inertia,
+  sum(m // 64) OVER ()::BIGINT AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM m5 JOIN c5 ON c5.c = m % 64
+"""
+)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_html_text": op6_html_text, "op7_packing": op7_packing, "op8_lm": op8_lm, "op9_exact_search": op9_exact_search, "op10_near_search": op10_near_search, "op11_whitening": op11_whitening, "op12_clustering": op12_clustering, "op13_token_counts": op13_token_counts}
 
 
 def queries() -> dict:
@@ -110,4 +144,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by query name."""
-    return {"op1_line_dedup": OP1_SQL, "op9_exact_search": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op9_exact_search": OP9_SQL, "op12_clustering": OP12_SQL}
