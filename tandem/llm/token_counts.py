@@ -3,14 +3,13 @@
 A byte-level BPE never merges across pre-tokens, so a text has as many tokens as its pre-tokens have pieces, and how many
 pieces a pre-token has does not depend on where it stands.
 
-1. Texts are cut into pre-tokens, in blocks of some megabytes of text. A block's distinct pre-tokens are numbered, and each document keeps
-   the numbers of its own with how often they come.
-2. Each distinct pre-token of the corpus is encoded once, to count its pieces.
-3. The counts are joined back to the blocks (block, number), and from there to the documents' frequencies, which are summed by block. A
-   pre-token of one piece, the usual case, counts 1 without taking part in that.
+1. Texts are cut into pre-tokens, in blocks of some megabytes of text. A pre-token that is an entry of the vocabulary has one piece, and is
+   only added up. A block's other distinct pre-tokens are numbered, and each document keeps the numbers of its own with how often they come.
+2. The blocks' pre-tokens meet, sorted, and each distinct one of the corpus is encoded once, to count its pieces.
+3. The counts are joined back by block to the documents' frequencies, by number, and summed.
 
-A pre-token comes at most once a block, so that no join key holds more rows than there are blocks, however frequent a word is; what meets
-in one group is one block. No token ids are made but those of step 2.
+A pre-token comes at most once a block, so that no key holds more rows than there are blocks, however frequent a word is; what meets
+in one group is one block. No token ids are made but those of step 2, and none is kept.
 
 Counts are those of the tokenizers library with add_special_tokens=False: special tokens written in a text are one token each. Null
 texts count as empty: 0 bytes, 0 tokens. Null and repeated ids are kept as they are, rows being independent; bytes that are no text count as the
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +35,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .bpe import PATTERN, default_path
 from .tables import map_arrow, save
 
-#: Bytes of text, with 64 more for each, after which a block ends (a longer text is a block of its own), and pre-tokens encoded at a time.
-BLOCK, BATCH = 4 << 20, 4096
+#: Bytes of text, with 64 more for each, after which a block ends (a longer text is a block of its own), pre-tokens encoded at a time, and
+#: rows after which counts go back to their blocks: the more at once, the fewer bytes.
+BLOCK, BATCH, BACK = 64 << 20, 4096, 1 << 18
 
 
 class Cutter:
@@ -61,6 +61,9 @@ class Cutter:
         marks = sorted((t["content"] for t in file["added_tokens"]), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, marks))).split if marks else lambda text: [text]
         self.known: set[str] = set()
+        vocabulary = [self.library.decode([i], skip_special_tokens=False) for i in range(self.library.get_vocab_size())]
+        own = [w for w, n in zip(vocabulary, self.pieces(vocabulary)) if n == 1 and "\ufffd" not in w]
+        self.single = frozenset(own)  # pre-tokens of one piece
 
     def common(self, text: str) -> bool:
         """Whether all characters have been in Unicode for so long that every library knows their classes."""
@@ -92,9 +95,21 @@ def cutter(path: str | None) -> Cutter:
     return Cutter(path)
 
 
+def _packed(own: list[int] | np.ndarray, times: list[int] | np.ndarray) -> bytes:
+    """Numbers in order, as steps, and how often each comes."""
+    own, times = np.array(own, np.int32), np.array(times, np.int32)
+    order = np.argsort(own)
+    return zlib.compress(np.diff(own[order], prepend=np.int32(0)).tobytes() + times[order].tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, times = np.frombuffer(zlib.decompress(data), np.int32).reshape(2, -1)
+    return np.cumsum(steps), times.astype(np.int64)
+
+
 def _blocks(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows by block: (block, number, word), and (block, _id, n_bytes, n_words, words, times) with numbers and frequencies packed."""
-    fields = StructType.fromDDL("block long, number int, word string, n_bytes long, n_words long, words binary, times binary")
+    """Two kinds of rows by block: (block, number, word), and (block, _id, n_bytes, n_words, words) with numbers and frequencies packed."""
+    fields = StructType.fromDDL("block long, number int, word string, n_bytes long, n_words long, words binary")
     schema = StructType([*fields.fields, StructField("_id", docs.schema[id_col].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +119,14 @@ def _blocks(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> Da
         ids: list[pa.Array] = []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            blank = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
             words = list(numbers)
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.string()), *blank(len(part)), pa.nulls(len(part), ids[0].type)], names=schema.names
-                )
+                n = len(part)
+                columns = [pa.array([block] * n, pa.int64()), pa.array(range(a, a + n), pa.int32()), pa.array(part, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, ids[0].type)], names=schema.names)
             n = len(held)
-            columns = [pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), *columns, pa.concat_arrays(ids)], names=schema.names)
 
         tool = cutter(path)
@@ -123,8 +137,8 @@ def _blocks(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> Da
                     yield from rows()
                     block, size, numbers, held, ids = block + 1, 0, {}, [], []
                 marks, words = tool.cut(data.decode("utf-8", "replace"))
-                own = array("i", [numbers.setdefault(w, len(numbers)) for w in words])
-                held.append((len(data), marks + words.total(), own.tobytes(), array("i", words.values()).tobytes()))
+                several = [(numbers.setdefault(w, len(numbers)), n) for w, n in words.items() if w not in tool.single]
+                held.append((len(data), marks + words.total(), _packed(*map(list, zip(*several))) if several else None))
                 ids.append(batch.column(0).slice(i, 1))
                 size += len(data) + 64
                 if len(ids) >= 4096:
@@ -135,36 +149,56 @@ def _blocks(docs: DataFrame, path: str | None, id_col: str, text_col: str) -> Da
     return map_arrow(docs.select(docs[id_col], docs[text_col].cast("string")), run, schema)
 
 
-def _pieces(words: DataFrame, path: str | None) -> DataFrame:
-    """(word, n) of distinct pre-tokens."""
+def _counted(words: DataFrame, path: str | None) -> DataFrame:
+    """(_block, counts) of rows in which equal pre-tokens come one after the other: numbers and their pieces, packed, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, last, known, held, size = cutter(path), None, 0, [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            block, number, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(block, kind="stable")
+            blocks, at = np.unique(block[order], return_index=True)
+            found = [_packed(number[i], n[i]) for i in np.split(order, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(found, pa.binary())], names=["_block", "counts"])
+
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
-                part = batch.column(0).slice(a, BATCH)
-                yield pa.RecordBatch.from_arrays([part, pa.array(cutter(path).pieces(part.to_pylist()), pa.int32())], names=["word", "n"])
+                part = batch.slice(a, BATCH)
+                words = part.column(2).to_pylist()
+                first = np.array([w != v for w, v in zip(words, [last, *words])])
+                new = np.array([known, *tool.pieces([w for w, f in zip(words, first) if f])], np.int32)
+                counts = new[np.cumsum(first)]
+                last, known = words[-1], counts[-1]
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), counts))
+                size += len(words)
+                if size >= BACK:
+                    yield from rows()
+                    held, size = [], 0
+        if held:
+            yield from rows()
 
-    return map_arrow(words, run, "word string, n int")
+    return map_arrow(words, run, "_block long, counts binary")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row; path: a byte-level vocabulary file that every machine can open."""
     blocks = save(_blocks(docs, path, id_col, text_col), "token-blocks")
     words = blocks.where(F.col("word").isNotNull()).select("block", "number", "word")
-    several = save(_pieces(words.select("word").distinct(), path), "token-pieces").where(F.col("n") > 1)
-    found = words.join(several, "word").select(F.col("block").alias("_block"), "number", "n")
-    texts = blocks.where(F.col("word").isNull()).select("block", "n_bytes", "n_words", "words", "times", "_id")
-    id_type = blocks.schema["_id"].dataType
-    schema = StructType([StructField(id_col, id_type), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
+    found = _counted(words.repartition("word").sortWithinPartitions("word"), path)
+    texts = blocks.where(F.col("word").isNull()).select("block", "n_bytes", "n_words", "words", "_id")
+    schema = StructType([StructField(id_col, blocks.schema["_id"].dataType), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
     def add_up(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        extra = np.zeros(1 + max(counts["number"].to_pylist(), default=0), np.int64)
-        extra[counts["number"].to_numpy()] = counts["n"].to_numpy() - 1
+        found = [_unpacked(x.as_py()) for x in counts["counts"]]
+        extra = np.zeros(1 + max((own[-1] for own, _ in found), default=0), np.int64)
+        for own, n in found:
+            extra[own] = n - 1
         total = rows["n_words"].to_numpy().copy()
-        for i, (own, times) in enumerate(zip(rows["words"], rows["times"])):
-            own, times = (np.frombuffer(x.as_buffer(), np.int32) for x in (own, times))
-            known = own < len(extra)
-            total[i] += extra[own[known]] @ times[known].astype(np.int64)
+        for i, packed in enumerate(rows["words"]):
+            if packed.is_valid:
+                own, times = _unpacked(packed.as_py())
+                total[i] += extra[own] @ times
         return pa.table([rows["_id"], rows["n_bytes"], pa.array(total)], names=schema.names)
 
     counted = texts.groupBy("block").cogroup(found.groupBy("_block")).applyInArrow(add_up, schema)
