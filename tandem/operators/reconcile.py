@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tandem.functions.scalars import content_hash, duplicate_conflict, text, vendor_message
 
 
-def _spread(key: str) -> Column:
+def spread(key: str) -> Column:
     """The key, or what no key equals."""
     return F.coalesce(F.col(key), F.concat(F.lit("\x01"), F.col("id")))
 
@@ -34,6 +34,13 @@ def candidates(target: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return target.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("id").alias("candidate_id"), *more)
 
 
+def key_owners(links: DataFrame, value: str) -> DataFrame:
+    """(key, value): the link that each natural key finds: the newest that holds it, by updated_at where links have it, then by source id."""
+    key = F.explode("keys") if "keys" in links.columns else F.col("key") if "key" in links.columns else F.lit(None).cast("string")
+    order = F.struct(*[c for c in ("updated_at", "source_id") if c in links.columns])
+    return links.select(key.alias("key"), F.col(value), order.alias("_order")).where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(value, "_order").alias(value))
+
+
 def preview(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str]) -> DataFrame:
     """One plan for each source record: source_id, action, target_id, field_diff and warnings; nothing is written.
 
@@ -43,14 +50,14 @@ def preview(source: DataFrame, target: DataFrame, links: DataFrame, fields: list
     row = F.struct(*fields)
     by_id = links.select(F.col("source_id").alias("id"), F.col("target_id").alias("id_target"), F.col("target_hash").alias("id_hash"), F.lit(True).alias("by_id"))
     found = source.select("id", "key", row.alias("s")).join(by_id, "id", "left")
-    if "key" in links.columns:
-        by_key = links.where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct("target_id", "target_hash"), "source_id").alias("k"))
-        found = found.withColumn("_key", _spread("key")).join(by_key.withColumnRenamed("key", "_key"), "_key", "left")
+    if {"key", "keys"} & set(links.columns):
+        by_key = key_owners(links.withColumn("k", F.struct("target_id", "target_hash")), "k")
+        found = found.withColumn("_key", spread("key")).join(by_key.withColumnRenamed("key", "_key"), "_key", "left")
         pick = lambda a, b: F.when(F.col("by_id"), F.col(a)).otherwise(F.col(b))
         found = found.withColumn("id_target", pick("id_target", "k.target_id")).withColumn("id_hash", pick("id_hash", "k.target_hash"))
     rows = target.select(F.col("id").alias("_at"), row.alias("t"), F.lit(True).alias("readable"))
-    found = found.withColumn("_at", _spread("id_target")).join(rows, "_at", "left")
-    found = found.withColumn("_key", _spread("key")).join(candidates(target, fields).withColumnRenamed("key", "_key"), "_key", "left")
+    found = found.withColumn("_at", spread("id_target")).join(rows, "_at", "left")
+    found = found.withColumn("_key", spread("key")).join(candidates(target, fields).withColumnRenamed("key", "_key"), "_key", "left")
     one = F.when(F.col("readable").isNull() & (F.col("n_candidates") == 1), F.col("candidate_id"))
     found = found.withColumn("candidate_id", one)
     found = found.withColumn("r", F.coalesce("t", F.when(F.col("candidate_id").isNotNull(), F.col("m")))).withColumn("diff", differences(fields, "s", "r"))
@@ -163,71 +170,6 @@ def retargeted(refused: DataFrame, key_fields: list[str]) -> DataFrame:
     return found.select("source_id", F.when(heals, F.col("_clash.holder")).otherwise(F.col("target_id")).alias("target_id"), F.when(heals, "relinked").otherwise("error").alias("status"))
 
 
-def by_link(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str]) -> DataFrame:
-    """Source records with the counterpart that a link by id, else one by natural key, else the only candidate gives them.
-
-    Links may carry keys, the natural keys they have been found by. Columns: source_id, key, s and t (structs of fields and modified),
-    target_id, source_hash and target_hash (last written), linked_by (id, key, candidate or null), n_candidates.
-    """
-    row = F.struct(*fields, "modified")
-    kept = ["target_id", "source_hash", "target_hash"]
-    own = links.select(F.col("source_id").alias("id"), F.struct(*kept).alias("by_id"))
-    found = source.select("id", "key", row.alias("s")).join(own, "id", "left").withColumn("_key", _spread("key"))
-    if "keys" in links.columns:
-        each = links.select(F.explode("keys").alias("_key"), "source_id", F.struct(*kept).alias("_l"))
-        found = found.join(each.groupBy("_key").agg(F.min_by("_l", "source_id").alias("by_key")), "_key", "left")
-    else:
-        found = found.withColumn("by_key", F.lit(None).cast(own.schema["by_id"].dataType))
-    found = found.join(candidates(target).withColumnRenamed("key", "_key"), "_key", "left")
-    link = F.coalesce("by_id", "by_key")
-    lone = F.when(link.isNull() & (F.col("n_candidates") == 1), F.col("candidate_id"))
-    found = found.withColumn("link", link).withColumn("target_id", F.coalesce("link.target_id", lone))
-    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_key").isNotNull(), "key").when(lone.isNotNull(), "candidate")
-    rows = target.select(F.col("id").alias("_at"), row.alias("t"))
-    found = found.withColumn("linked_by", how).withColumn("_at", F.coalesce("target_id", F.concat(F.lit("\x01"), "id"))).join(rows, "_at", "left")
-    return found.select(F.col("id").alias("source_id"), "key", "s", "t", "target_id", F.col("link.source_hash").alias("source_hash"), F.col("link.target_hash").alias("target_hash"), "linked_by", "n_candidates")
-
-
-def reconciled(source: DataFrame, target: DataFrame, links: DataFrame, fields: list[str], strategy: str = "last-write-wins", source_of_truth: str = "a", owners: dict[str, str] | None = None) -> DataFrame:
-    """What becomes of each source record (of system a) when it is carried over to b.
-
-    status: echo (what we last wrote ourselves), ambiguous (several candidates, no link), else written. A counterpart that has changed
-    since it was last written makes a conflict, which the strategy resolves (field owners first). op is create or update; the fields
-    are those of the winner; write_back tells that the winner differs from the source and goes back there too; source_hash and target_hash are the
-    link's new ones. Of several source records of one natural key without a link or a candidate, the first (by id) creates the
-    target and the later ones update it, as a loop over them would.
-    """
-    found = by_link(source, target, links, fields)
-    of = lambda side: content_hash({f: F.col(f"{side}.{f}") for f in fields})
-    found = found.withColumn("incoming", of("s"))
-    echo = F.coalesce(F.col("source_hash") == F.col("incoming"), F.lit(False))
-    status = F.when(echo, "echo").when(F.col("linked_by").isNull() & (F.coalesce("n_candidates", F.lit(0)) > 1), "ambiguous").otherwise("written")
-    conflict = F.col("t").isNotNull() & ~F.coalesce(F.col("target_hash") == of("t"), F.lit(False)) & (status == "written")
-    later = F.coalesce(F.col("s.modified") >= F.col("t.modified"), F.lit(False))
-    whole = {"source-of-truth": F.lit(source_of_truth == "a"), "last-write-wins": later, "field-merge": later}[strategy]
-    merged = strategy == "field-merge" or bool(owners)
-    winner = []
-    for f in fields:
-        side = (owners or {}).get(f)
-        mine = F.lit(side == "a") if side else whole
-        picked = F.when(mine, F.col(f"s.{f}")).otherwise(F.col(f"t.{f}"))
-        picked = F.coalesce(picked, F.col(f"s.{f}"), F.col(f"t.{f}")) if merged else picked
-        winner.append(F.when(F.col("conflict"), picked).otherwise(F.col(f"s.{f}")).alias(f))
-    found = found.withColumn("status", status).withColumn("conflict", conflict).withColumn("w", F.struct(*winner)).withColumn("written_hash", of("w"))
-    new = (F.col("status") == "written") & F.col("target_id").isNull()
-    fresh = found.where(new)
-    lead = fresh.withColumn("_key", F.coalesce("key", F.concat(F.lit("\x01"), "source_id"))).groupBy("_key").agg(F.min("source_id").alias("lead"))
-    found = found.withColumn("_key", F.when(new, F.coalesce("key", F.concat(F.lit("\x01"), "source_id"))).otherwise(F.concat(F.lit("\x02"), "source_id"))).join(lead, "_key", "left")
-    written = F.col("status") == "written"
-    back = written & F.col("conflict") & (F.col("written_hash") != F.col("incoming")) & (F.col("linked_by") == "id")
-    op = F.when(F.col("t").isNotNull() | F.col("target_id").isNotNull() | (F.col("lead") != F.col("source_id")), "update").otherwise("create")
-    return found.select(
-        "source_id", "status", F.when(written, op).alias("op"), F.when(written, F.coalesce("target_id", F.concat(F.lit("new-"), "lead"))).alias("target_id"), F.when(written, F.col("conflict")).alias("conflict"),
-        F.when(F.col("conflict"), F.lit("field-merge" if merged else strategy)).alias("strategy"), F.when(written, F.coalesce(back, F.lit(False))).alias("write_back"), *[F.when(written, F.col(f"w.{f}")).alias(f) for f in fields],
-        F.when(written, F.when(back, F.col("written_hash")).otherwise(F.col("incoming"))).alias("source_hash"), F.when(written, F.col("written_hash")).alias("target_hash"),
-    )
-
-
 def conflicts(done: DataFrame) -> DataFrame:
     """The conflicts of a run, to be appended to their log: who won by which strategy."""
     return done.where(F.col("conflict")).select("source_id", "target_id", "strategy", "write_back")

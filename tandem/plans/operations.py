@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
+from tandem.operators import carry as C
 from tandem.operators import jobs as J
 from tandem.operators import mapping as M
 from tandem.operators import predicates as P
@@ -77,13 +78,13 @@ v AS (SELECT *, CASE WHEN clash THEN CASE WHEN modified >= m2 THEN coalesce(emai
     CASE WHEN clash THEN CASE WHEN modified >= m2 THEN coalesce(title, t2) ELSE coalesce(t2, title) END ELSE title END AS wt FROM c),
 x AS (SELECT *, left(sha256('email=' || coalesce(we, '') || '|phone=' || coalesce(wp, '') || '|title=' || coalesce(wt, '')), 16) AS out_hash FROM v),
 done AS (SELECT source_id, status, CASE WHEN status = 'written' THEN CASE WHEN target IS NULL THEN 'create' ELSE 'update' END END AS op, CASE WHEN status = 'written' THEN coalesce(target, 'new-' || source_id) END AS target_id,
-    CASE WHEN status = 'written' THEN clash END AS conflict, CASE WHEN status = 'written' THEN clash AND out_hash <> incoming AND linked IS NOT NULL END AS write_back,
+    CASE WHEN status = 'written' THEN clash END AS conflict, CASE WHEN status = 'written' THEN clash AND out_hash <> incoming END AS write_back,
     CASE WHEN status = 'written' THEN wp END AS phone, CASE WHEN status = 'written' THEN out_hash END AS target_hash FROM x) """
 
 
 def _done(spark: SparkSession, d: str) -> DataFrame:
     old = F.when(F.expr("CAST(replace(source_id, 'a-', '') AS BIGINT) % 7 = 0"), F.col("source_hash")).otherwise("old")
-    return R.reconciled(X.contact_a(spark, d), X.contact_b(spark, d), X.links(spark, d).withColumn("source_hash", old), X.FIELDS, owners={"phone": "b"})
+    return C.reconciled(X.contact_a(spark, d), X.contact_b(spark, d), X.links(spark, d).withColumn("source_hash", old), X.FIELDS, "field-merge", owners={"phone": "b"})
 
 
 @_query(_DONE + "SELECT * FROM done")
@@ -96,12 +97,6 @@ def conflict_log(spark: SparkSession, d: str) -> DataFrame:
     return R.conflicts(_done(spark, d))
 
 
-@_query(X.SQL + ", k AS (SELECT min(id) AS lead, key FROM b GROUP BY key HAVING key IS NOT NULL) SELECT b.id AS source_id, CASE WHEN b.key IS NULL OR b.id = k.lead THEN 'create' ELSE 'update' END AS op, 'new-' || CASE WHEN b.key IS NULL THEN b.id ELSE k.lead END AS target_id FROM b LEFT JOIN k USING (key)")
-def reconcile_loop_order(spark: SparkSession, d: str) -> DataFrame:
-    b = X.contact_b(spark, d)
-    return R.reconciled(b, b.limit(0), X.links(spark, d).limit(0), X.FIELDS).select("source_id", "op", "target_id")
-
-
 @_query(X.SQL + "SELECT CASE WHEN a.k % 4 = 0 THEN 'z-' || a.k ELSE l.source_id END AS source_id, target_id, concat_ws(',', 'email:' || a.k, CASE WHEN a.k % 4 = 0 THEN 'mail:' || a.k END) AS keys FROM l JOIN a ON a.id = l.source_id")
 def links_repointed(spark: SparkSession, d: str) -> DataFrame:
     k = F.expr("replace(source_id, 'a-', '')")

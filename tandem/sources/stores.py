@@ -6,6 +6,7 @@ Stores are plain Parquet tables; a keyed write makes a new version of the rows a
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: later steps neither do its work again nor depend on the executors that did it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
