@@ -40,9 +40,29 @@ def js_number(c: Column) -> Column:
 
 
 def number_string(c: Column) -> Column:
-    """A double in its shortest form: whole numbers carry no point."""
+    """A double in its shortest decimal form: no exponent from 1e-6 up to under 1e21, no point in whole numbers, no sign before zero.
+
+    Fifteen digits tell whether so many suffice, then sixteen; numbers under 1e-307 may show more than they need.
+    """
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+    plain = F.when(whole, c.cast("decimal(38,0)").cast("string"))
+    tries = [F.format_string(f"%.{p}e", F.abs(c)) for p in (14, 15, 16)]
+    said = F.coalesce(*[F.when(t.try_cast("double") == F.abs(c), t) for t in tries[:2]], tries[2])
+    zeros = lambda many: F.repeat(F.lit("0"), many)
+
+    def shown(x: Column) -> Column:
+        digits, n = x["digits"], x["n"]
+        k = F.length(digits)
+        power = F.concat(F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string"))
+        head = F.concat(F.left(digits, F.lit(1)), F.when(k > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""))
+        return (
+            F.when((n > 21) | (n < -5), F.concat(head, power)).when(n <= 0, F.concat(F.lit("0."), zeros(-n), digits)).when(k <= n, F.concat(digits, zeros(n - k)))
+            .otherwise(F.concat(F.left(digits, n), F.lit("."), F.substr(digits, n + 1)))
+        )
+
+    parts = F.transform(F.array(said), lambda t: F.struct(F.regexp_replace(F.regexp_replace(F.substring_index(t, "e", 1), "[.]", ""), "0+$", "").alias("digits"), (F.substring_index(t, "e", -1).try_cast("int") + 1).alias("n")))
+    text_ = F.transform(parts, shown)[0]
+    return F.coalesce(plain, F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(F.concat(F.when(c < 0, "-").otherwise(""), text_)))
 
 
 def identity(c: Column) -> Column:
@@ -245,12 +265,3 @@ def retries(error: Column) -> Column:
 def finding_key(*parts: Column) -> Column:
     """A key over several columns, null like empty, joined by a control character."""
     return F.concat_ws("\x00", *(text(p) for p in parts))
-
-
-def numbered_slugs(df, label: str, out: str = "slug"):
-    """Adds the slug of a label, with _2, _3 and so on where earlier labels have taken it (in order of the labels)."""
-    from pyspark.sql import Window
-
-    base = F.coalesce(F.nullif(slug(F.col(label)), F.lit("")), F.lit("object"))
-    turn = F.row_number().over(Window.partitionBy(base).orderBy(label))
-    return df.withColumn(out, F.when(turn == 1, base).otherwise(F.concat_ws("_", base, turn.cast("string"))))

@@ -34,10 +34,9 @@ def settled(jobs: DataFrame, failures: Column, ambiguous: Column, delete_policy:
 
 
 def after_failure(jobs: DataFrame, now: Column, max_attempts: int = 8) -> DataFrame:
-    """One failed attempt: retry after a delay that doubles, or give up."""
-    n = F.col("attempts") + 1
-    delay = backoff_millis(n)
-    return jobs.withColumn("status", F.when(n >= max_attempts, "dead_letter").otherwise("retry")).withColumn("next_attempt_at", F.timestamp_millis(F.unix_millis(now) + delay)).withColumn("attempts", n)
+    """Jobs whose attempt, which claiming has counted, has failed: tried again after a delay that doubles, or given up."""
+    n, before = F.col("attempts"), F.col("next_attempt_at") if "next_attempt_at" in jobs.columns else F.lit(None)
+    return jobs.withColumn("status", F.when(n >= max_attempts, "dead_letter").otherwise("retry")).withColumn("next_attempt_at", F.when(n < max_attempts, F.timestamp_millis(F.unix_millis(now) + backoff_millis(n))).otherwise(before))
 
 
 def ready(jobs: DataFrame, now: Column) -> DataFrame:
@@ -49,10 +48,11 @@ def claimed(jobs: DataFrame, now: Column, k: int) -> DataFrame:
     return ready(jobs, now).orderBy("created_at", "event_id").limit(k).withColumn("status", F.lit("processing")).withColumn("attempts", F.col("attempts") + 1)
 
 
-def recovered(jobs: DataFrame, before: Column) -> DataFrame:
-    """Jobs whose worker has been silent since before go back to retry."""
+def recovered(jobs: DataFrame, before: Column, now: Column | None = None) -> DataFrame:
+    """Jobs whose worker has been silent since before go back to retry, due now, and say so where they have said nothing else."""
     stale = (F.col("status") == "processing") & (F.col("locked_at") < before)
-    return jobs.withColumn("status", F.when(stale, "retry").otherwise(F.col("status")))
+    changed = {"status": F.lit("retry"), "locked_at": F.lit(None), "next_attempt_at": F.current_timestamp() if now is None else now, "last_error": F.coalesce(F.col("last_error"), F.lit("worker lease expired")) if "last_error" in jobs.columns else None}
+    return jobs.select(*[F.when(stale, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns])
 
 
 def listed(jobs: DataFrame, n: int, status: str | None = None) -> DataFrame:
@@ -61,13 +61,27 @@ def listed(jobs: DataFrame, n: int, status: str | None = None) -> DataFrame:
 
 
 def commanded(jobs: DataFrame, commands: DataFrame) -> DataFrame:
-    """Replay (attempts start anew), approve and dismiss (the error stays), given by event_key."""
-    c = F.col("command")
-    replay = (c == "replay") & F.col("status").isin("dead_letter", "manual_review", "dismissed")
-    approve = (c == "approve") & (F.col("status") == "manual_review")
-    dismiss = (c == "dismiss") & F.col("status").isin("dead_letter", "manual_review")
-    status = F.when(replay | approve, "queued").when(dismiss, "dismissed").otherwise(F.col("status"))
-    return jobs.join(commands.select("event_key", "command"), "event_key", "left").withColumn("attempts", F.when(replay, 0).otherwise(F.col("attempts"))).withColumn("status", status).drop("command")
+    """Jobs (event_key, change, status, attempts) after commands (event_key, seq, command), each applied to the state that the one before has left.
+
+    A replay starts any job anew; an approval completes a deletion that waits for review; a dismissal ends what waits, has been given up or is to be
+    tried again. A command that does not fit is refused, and n_refused counts them. A job's commands are what people have typed.
+    """
+    asked = commands.where(F.col("command").isNotNull()).groupBy("event_key").agg(F.array_sort(F.collect_list(F.struct("seq", "command"))).alias("_asked"))
+    deletion = F.coalesce(F.col("change") == "deleted", F.lit(False))
+
+    def step(state: Column, asked: Column) -> Column:
+        c, status = asked["command"], state["status"]
+        to = (
+            F.when(c == "replay", "queued").when((c == "approve") & deletion & (status == "manual_review"), "completed")
+            .when((c == "dismiss") & status.isin("dead_letter", "manual_review", "retry"), "dismissed")
+        )
+        attempts = F.when(c == "replay", F.lit(0).cast("int")).otherwise(state["attempts"])
+        return F.struct(F.coalesce(to, status).alias("status"), attempts.alias("attempts"), (state["n_refused"] + to.isNull().cast("int")).alias("n_refused"))
+
+    start = F.struct(F.col("status").alias("status"), F.col("attempts").cast("int").alias("attempts"), F.lit(0).alias("n_refused"))
+    none = F.array().cast("array<struct<seq:bigint,command:string>>")
+    end = F.aggregate(F.coalesce(F.transform("_asked", lambda x: F.struct(x["seq"].cast("long").alias("seq"), x["command"].alias("command"))), none), start, step)
+    return jobs.join(asked, "event_key", "left").withColumn("_end", end).select(*[F.col("_end")[c].alias(c) if c in ("status", "attempts") else F.col(c) for c in jobs.columns], F.col("_end.n_refused").alias("n_refused"))
 
 
 def stats(jobs: DataFrame) -> DataFrame:

@@ -87,11 +87,23 @@ def newest(activity: DataFrame, n: int = 200) -> DataFrame:
     return activity.orderBy(F.desc("at"), F.desc("id")).limit(n)
 
 
-def deletion_requests(held: DataFrame, asked: DataFrame) -> DataFrame:
-    """Deletion requests (job_id, policy): one for each job, the newest policy counts; a cascade is done at once, others are pending."""
-    new = asked.groupBy("job_id").agg(F.max_by("policy", "at").alias("policy"))
-    rows = held.join(new, "job_id", "left_anti").select("job_id", "policy").unionByName(new)
-    return rows.withColumn("status", F.when(F.col("policy") == "cascade", "completed").otherwise("pending"))
+def deletion_requests(held: DataFrame, steps: DataFrame) -> DataFrame:
+    """Deletion requests (job_id, policy, status, reviewed_by) after steps (job_id, seq, step, policy, actor), the last with the two named as asked or completed.
+
+    The first time that a job asks makes the request: a cascade is completed at once, other policies wait. Asking again changes the policy and leaves the
+    status. A completion counts for a request that is there by then. Each is one aggregation by job, so steps may come in any number.
+    """
+    asked, completed = F.col("step") == "asked", F.col("step") == "completed"
+    found = steps.groupBy("job_id").agg(
+        F.min(F.when(asked, F.struct("seq", "policy"))).alias("_first"), F.max(F.when(asked, F.struct("seq", "policy"))).alias("_last"), F.max(F.when(completed, F.struct("seq", "actor"))).alias("_done"),
+    )
+    both = held.select("job_id", F.struct("policy", "status", "reviewed_by").alias("_held")).join(found, "job_id", "full")
+    there = F.col("_held").isNotNull()
+    done = F.col("_done").isNotNull() & (there | (F.col("_done.seq") > F.col("_first.seq")))
+    made = F.when(F.col("_first.policy") == "cascade", "completed").otherwise("pending")
+    status = F.when(done, "completed").when(there, F.col("_held.status")).otherwise(made)
+    reviewed = F.when(done, F.col("_done.actor")).otherwise(F.col("_held.reviewed_by"))
+    return both.where(there | F.col("_first").isNotNull()).select("job_id", F.coalesce("_last.policy", "_held.policy").alias("policy"), status.alias("status"), reviewed.alias("reviewed_by"))
 
 
 def refused_plans(asked: DataFrame, systems: list[str], known: list[str]) -> DataFrame:

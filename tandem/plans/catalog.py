@@ -450,18 +450,25 @@ def claim_ready(spark: SparkSession, d: str) -> DataFrame:
     return J.claimed(jobs, F.lit("2024-01-20 00:00:00").cast("timestamp"), 50).select("event_key")
 
 
-@_query("WITH " + X.EVENTS + " SELECT event_key, CASE WHEN n >= 8 THEN 'dead_letter' ELSE 'retry' END AS status, least(60000, 500 * 2 ** greatest(0, n - 1))::BIGINT AS delay FROM (SELECT *, event_id % 10 + 1 AS n FROM jobs)")
+@_query("WITH " + X.EVENTS + " SELECT event_key, CASE WHEN n >= 8 THEN 'dead_letter' ELSE 'retry' END AS status, CASE WHEN n < 8 THEN least(60000, 500 * 2 ** greatest(0, n - 1))::BIGINT END AS delay FROM (SELECT *, event_id % 10 AS n FROM jobs)")
 def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     failed = J.after_failure(J.deduplicated(_delivered(spark, d)).withColumn("attempts", F.col("event_id") % 10), now)
     return failed.select("event_key", "status", (F.unix_millis("next_attempt_at") - F.unix_millis(now)).alias("delay"))
 
 
-@_query("WITH " + X.EVENTS + " SELECT event_key, CASE WHEN event_id % 4 = 0 AND status IN ('dead_letter', 'manual_review') THEN 'queued' WHEN event_id % 4 = 1 AND status = 'manual_review' THEN 'queued' WHEN event_id % 4 = 2 AND status IN ('dead_letter', 'manual_review') THEN 'dismissed' ELSE status END AS status, (CASE WHEN event_id % 4 = 0 AND status IN ('dead_letter', 'manual_review') THEN 0 ELSE attempts END)::INTEGER AS attempts FROM jobs")
+_COMMANDS = [("dismiss", "replay", "approve"), ("approve", "dismiss"), ("replay", "dismiss"), ("dismiss", "dismiss"), ("approve", "replay", "replay", "dismiss"), ()]
+
+
+@_query("WITH " + X.EVENTS + f"""
+, s AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'retry' ELSE status END AS st, CASE event_id % 6 {" ".join(f"WHEN {i} THEN {list(c)}" for i, c in enumerate(_COMMANDS) if c)} ELSE []::VARCHAR[] END AS asked FROM jobs)
+SELECT event_key, list_reduce(list_prepend(st, asked), lambda s, c: CASE WHEN c = 'replay' THEN 'queued' WHEN c = 'approve' AND change = 'deleted' AND s = 'manual_review' THEN 'completed'
+  WHEN c = 'dismiss' AND s IN ('dead_letter', 'manual_review', 'retry') THEN 'dismissed' ELSE s END) AS status, CASE WHEN list_contains(asked, 'replay') THEN 0 ELSE attempts END::INTEGER AS attempts FROM s""")
 def job_commands(spark: SparkSession, d: str) -> DataFrame:
-    command = F.element_at(F.array(F.lit("replay"), F.lit("approve"), F.lit("dismiss"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
-    jobs = _jobs(spark, d)
-    return J.commanded(jobs, jobs.select("event_key", command.alias("command"))).select("event_key", "status", "attempts")
+    jobs = _jobs(spark, d).withColumn("status", F.when(F.col("event_id") % 11 == 0, "retry").otherwise(F.col("status")))
+    typed = F.array(*[F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in _COMMANDS])
+    commands = jobs.select("event_key", F.posexplode(F.element_at(typed, (F.col("event_id") % len(_COMMANDS) + 1).cast("int"))).alias("seq", "command"))
+    return J.commanded(jobs, commands.orderBy(F.desc("seq"))).select("event_key", "status", "attempts")
 
 
 @_query("WITH " + X.EVENTS + " SELECT system, source_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(change, (ts, event_id)) AS change, count(*) AS n_events FROM jobs GROUP BY 1, 2")

@@ -56,6 +56,16 @@ def content_hash_numbers(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", S.content_hash(fields, {"half": "number", "amount": "number"}).alias("hash"))
 
 
+@_query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE '' END AS sign, rtrim(o_orderkey::VARCHAR, '0') AS digits, length(o_orderkey::VARCHAR) + o_orderkey % 40 - 18 AS n FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0' ELSE sign || CASE WHEN n > 21 OR n < -5 THEN left(digits, 1) || CASE WHEN length(digits) > 1 THEN '.' || substr(digits, 2) ELSE '' END || CASE WHEN n > 0 THEN 'e+' ELSE 'e-' END || abs(n - 1) WHEN n <= 0 THEN '0.' || repeat('0', -n) || digits
+  WHEN length(digits) <= n THEN digits || repeat('0', n - length(digits)) ELSE left(digits, n) || '.' || substr(digits, n + 1) END END AS shown FROM n""")
+def number_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of all sizes from 1e-18 to 1e27, in their shortest form."""
+    key = F.col("o_orderkey")
+    value = F.concat(F.when(key % 5 == 0, "-").otherwise(""), key.cast("string"), F.lit("e"), (key % 40 - 18).cast("string")).cast("double")
+    return stores.read(spark, d, "orders", ["o_orderkey"]).select("o_orderkey", S.number_string(value).alias("shown"))
+
+
 @_query("SELECT event_id, event_id % 3 = 1 AS more, event_id % 3 = 0 AS less FROM events")
 def cond_typed(spark: SparkSession, d: str) -> DataFrame:
     e = stores.read(spark, d, "events", ["event_id"]).withColumn("flag", F.when(F.col("event_id") % 3 == 1, True).when(F.col("event_id") % 3 == 2, False)).withColumn("n", F.col("event_id") % 3)
@@ -207,12 +217,19 @@ def activity_newest(spark: SparkSession, d: str) -> DataFrame:
     return U.newest(stores.read(spark, d, "events", ["event_id", "ts"]).select(F.col("event_id").alias("id"), F.col("ts").alias("at"))).select("id")
 
 
-@_query("WITH " + X.EVENTS + " SELECT event_id AS job_id, CASE WHEN event_id % 3 = 0 THEN 'cascade' ELSE 'manual-review' END AS policy, CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'pending' END AS status FROM jobs WHERE change = 'deleted'")
+@_query("WITH " + X.EVENTS + """
+SELECT event_id AS job_id, CASE WHEN event_id % 4 = 0 THEN 'ignore' WHEN event_id % 3 = 0 THEN 'cascade' ELSE 'manual-review' END AS policy,
+  CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 OR event_id % 11 = 0 AND event_id % 7 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN event_id % 5 = 0 OR event_id % 11 = 0 AND event_id % 7 = 0 THEN 'u' || event_id % 2 END AS reviewed_by
+FROM jobs WHERE change = 'deleted'""")
 def deletion_requests(spark: SparkSession, d: str) -> DataFrame:
-    gone = X.change_events(stores.read(spark, d, "events")).where("change = 'deleted'").select(F.col("event_id").alias("job_id"), F.col("occurred_at").alias("at"))
-    asked = gone.withColumn("policy", F.when(F.col("job_id") % 3 == 0, "cascade").otherwise("manual-review"))
-    again = gone.where("job_id % 4 = 0").select("job_id", F.timestamp_add("DAY", F.lit(-1), "at").alias("at"), F.lit("ignore").alias("policy"))
-    return U.deletion_requests(gone.where("job_id % 5 = 0").select("job_id", F.lit("ignore").alias("policy")), asked.unionByName(again))
+    """Requests of which one in eleven was there before; some are asked for again with another policy, some completed, and some completed before they were asked for."""
+    gone = X.change_events(stores.read(spark, d, "events")).where("change = 'deleted'").select(F.col("event_id").alias("job_id"))
+    k = F.col("job_id")
+    policy, actor = F.when(k % 3 == 0, "cascade").otherwise("manual-review"), F.concat(F.lit("u"), (k % 2).cast("string"))
+    step = lambda n, name, which: gone.where(which).select("job_id", F.lit(n).alias("seq"), F.lit(name).alias("step"), F.when(F.lit(n) == 3, "ignore").otherwise(policy).alias("policy"), actor.alias("actor"))
+    steps = step(0, "completed", k % 7 == 0).unionByName(step(1, "asked", k % 11 != 0)).unionByName(step(2, "completed", k % 5 == 0)).unionByName(step(3, "asked", k % 4 == 0))
+    held = gone.where(k % 11 == 0).select("job_id", policy.alias("policy"), F.when(k % 3 == 0, "completed").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("reviewed_by"))
+    return U.deletion_requests(held, steps)
 
 
 @_query("SELECT type, count(*) AS n FROM (SELECT 'contact' AS type FROM customer UNION ALL SELECT 'company' FROM supplier UNION ALL SELECT 'deal' FROM orders) GROUP BY type UNION ALL SELECT NULL, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders)")
@@ -358,15 +375,6 @@ def hash_differences(spark: SparkSession, d: str) -> DataFrame:
     return Q.map_differences(of(X.contact_a(spark, d)), of(X.contact_b(spark, d).where("id NOT LIKE 'b2-%'")), "k", "hash")
 
 
-@_query("SELECT p_name AS label, lower(regexp_replace(regexp_replace(trim(p_name), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS base, count(*) AS n, max(r)::BIGINT AS last FROM (SELECT p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_name) AS r FROM part) GROUP BY 1, 2")
-def numbered_slugs(spark: SparkSession, d: str) -> DataFrame:
-    found = S.numbered_slugs(stores.read(spark, d, "part", ["p_name"]).withColumnRenamed("p_name", "label"), "label")
-    base = S.slug(F.col("label"))
-    turn = F.coalesce(F.substring_index("slug", "_", -1).try_cast("int"), F.lit(1))
-    number = F.when(F.col("slug") == base, 1).otherwise(turn).cast("long")
-    return found.groupBy("label", base.alias("base")).agg(F.count("*").alias("n"), F.max(number).alias("last"))
-
-
 # Sources
 
 _DESCRIBED = [("a", "Email", "string", False, False, True, None), ("a", "Id", "id", False, True, False, None), ("a", "Stage", "picklist", True, False, True, [("new", True), ("old", False), ("won", True)]), ("a", "Created", "datetime", False, True, False, [])]
@@ -402,11 +410,17 @@ def catalog_registered(spark: SparkSession, d: str) -> DataFrame:
     return Q.paired_objects(a, b, own)
 
 
-@_query("SELECT 'b:' || event_id AS event_key, CASE WHEN user_id % 3 = 0 THEN 'contact' ELSE 'deal' END AS type, user_id::VARCHAR AS source_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END AS change, epoch_us(ts) // 1000 AS millis FROM events WHERE user_id % 3 <> 2")
+@_query("""SELECT 'b:' || sha256(concat_ws(':', '7', CASE WHEN event_id % 2 = 0 THEN 'sub' || user_id % 5 ELSE '' END, CASE WHEN event_id % 3 <> 0 THEN event_id::VARCHAR ELSE '' END,
+    CASE event_type WHEN 'signup' THEN 'contact.creation' WHEN 'error' THEN 'contact.deletion' ELSE 'contact.propertyChange' END, user_id, epoch_us(ts) // 1000)) AS event_key, CASE WHEN user_id % 3 = 0 THEN 'contact' ELSE 'deal' END AS type,
+  user_id::VARCHAR AS source_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END AS change, epoch_us(ts) // 1000 AS millis FROM events WHERE user_id % 3 <> 2""")
 def posted_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as they are posted, a third of them without an id of their own."""
     e = stores.read(spark, d, "events", ["event_id", "user_id", "ts", "event_type"])
     kind = F.when(F.col("event_type") == "signup", "contact.creation").when(F.col("event_type") == "error", "contact.deletion").otherwise("contact.propertyChange")
-    row = F.struct(F.col("event_id").alias("eventId"), F.col("user_id").alias("objectId"), F.concat(F.lit("0-"), (F.col("user_id") % 3).cast("string")).alias("objectTypeId"), kind.alias("subscriptionType"), F.unix_millis(F.col("ts").cast("timestamp")).alias("occurredAt"))
+    row = F.struct(
+        F.lit(7).alias("portalId"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("sub"), (F.col("user_id") % 5).cast("string"))).alias("subscriptionId"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("eventId"), F.col("user_id").alias("objectId"),
+        F.concat(F.lit("0-"), (F.col("user_id") % 3).cast("string")).alias("objectTypeId"), kind.alias("subscriptionType"), F.unix_millis(F.col("ts").cast("timestamp")).alias("occurredAt"),
+    )
     types = spark.createDataFrame([("0-0", "contact"), ("0-1", "deal")], "object_id string, type string")
     found = D.posted_events(e.select(F.to_json(F.array(row)).alias("body")), types, "b")
     return found.select("event_key", "type", "source_id", "change", F.unix_millis("occurred_at").alias("millis"))
@@ -516,7 +530,7 @@ def _signals(events: DataFrame) -> DataFrame:
     end = F.when(F.col("event_id") % 13 == 0, "ambiguous").when(F.col("change") == "deleted", "delete")
     tries = F.when(end.isNotNull(), F.array(F.lit("claim"), end)).otherwise(F.concat(F.flatten(F.array_repeat(F.array(F.lit("claim"), F.lit("fail")), n)), F.array(F.lit("claim"), F.lit("succeed"))))
     all_ = F.concat(F.array(F.lit("enqueue"), F.lit("enqueue")), tries, F.array(F.lit("fail")))
-    return changes.select("event_key", F.unix_millis("occurred_at").alias("at"), F.posexplode(all_).alias("seq", "signal")).select("event_key", F.col("seq").cast("long").alias("seq"), "signal", (F.col("at") + F.col("seq")).alias("at"))
+    return changes.select("event_key", F.unix_millis("occurred_at").alias("at"), F.posexplode(all_).alias("seq", "signal")).select("event_key", F.col("seq").cast("long").alias("seq"), "signal", (F.col("at") + 100_000 * F.col("seq")).alias("at"))
 
 
 @_query("WITH " + X.EVENTS + " SELECT event_key, status, attempts FROM jobs")

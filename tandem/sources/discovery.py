@@ -30,14 +30,24 @@ def objects(standard: DataFrame, custom: DataFrame) -> DataFrame:
 def posted_events(posts: DataFrame, types: DataFrame, system: str) -> DataFrame:
     """Change events of posted bodies (column body): JSON arrays of events; types: (object_id, type). Events of unknown objects go.
 
-    The change is told by the end of the subscription's name, the time by milliseconds since 1970.
+    The change is told by the end of the subscription's name, the time by milliseconds since 1970. An event is known by a hash of all six parts that
+    tell it from others, any of which may be missing; one without a time has happened now.
     """
-    schema = "array<struct<eventId:long,objectId:long,objectTypeId:string,subscriptionType:string,occurredAt:long>>"
+    schema = "array<struct<portalId:string,subscriptionId:string,eventId:string,objectId:long,objectTypeId:string,subscriptionType:string,occurredAt:long>>"
     rows = posts.select(F.explode(F.from_json("body", schema)).alias("e")).select("e.*")
     name = F.col("subscriptionType")
     change = F.when(name.endswith("creation"), "created").when(name.endswith("deletion"), "deleted").otherwise("updated")
+    identity = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("portalId", "subscriptionId", "eventId", "subscriptionType", "objectId", "occurredAt")])
     found = rows.join(types.select(F.col("object_id").alias("objectTypeId"), "type"), "objectTypeId")
-    return found.select(F.concat_ws(":", F.lit(system), F.col("eventId").cast("string")).alias("event_key"), "type", F.col("objectId").cast("string").alias("source_id"), change.alias("change"), F.timestamp_millis("occurredAt").alias("occurred_at"))
+    return found.select(F.concat(F.lit(f"{system}:"), F.sha2(identity, 256)).alias("event_key"), "type", F.col("objectId").cast("string").alias("source_id"), change.alias("change"), F.coalesce(F.timestamp_millis("occurredAt"), F.current_timestamp()).alias("occurred_at"))
+
+
+def polled_changes(rows: DataFrame, system: str, type_: str, id_col: str, changed: str, deleted: bool = False) -> DataFrame:
+    """Change events of rows that a poll has found changed, or deleted: known by what and when, so that what two polls meet is one event."""
+    iso = F.date_format(F.to_utc_timestamp(changed, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    key = F.concat_ws(":", F.lit(system), F.lit("poll"), F.lit(system), F.lit(type_), F.col(id_col).cast("string"), *([F.lit("deleted")] if deleted else []), iso)
+    change = F.lit("deleted" if deleted else "updated")
+    return rows.select(key.alias("event_key"), F.lit(system).alias("system"), F.lit(type_).alias("type"), F.col(id_col).cast("string").alias("source_id"), change.alias("change"), F.col(changed).alias("occurred_at"))
 
 
 def new_snapshots(held: DataFrame, seen: DataFrame) -> DataFrame:

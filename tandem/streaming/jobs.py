@@ -1,39 +1,79 @@
 """Jobs as state machines over a stream of signals, one for each event key.
 
-A job is queued once, is claimed (one more attempt), and then succeeds, fails, proves ambiguous or is a deletion. A failure is tried again
-after a delay that doubles, and given up at the last attempt; what is ambiguous, and deletions where the policy says so, wait
-for a person, who may replay, approve or dismiss. Signals that do not fit the state change nothing, so redelivery is harmless.
+A job is queued once, is claimed when it is due (one more attempt), and then succeeds, fails, proves ambiguous or is a deletion. A failure is
+tried again after a delay that doubles, and given up at the last attempt; what is ambiguous, and deletions where the policy says so, wait
+for a person. A replay puts any job at the start, an approval completes a deletion that waits, a dismissal ends what waits, has been given up or
+is to be tried again. Signals that do not fit the state change nothing, so redelivery is harmless.
+
+With timers nobody has to ask: a job that is due is claimed by itself, and one whose worker has been silent for the time of a lease is
+taken from it and claimed anew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+STATE = "status string, attempts int, next_attempt_at long, locked_at long, deletion boolean"
+#: Milliseconds that a worker may be silent.
+LEASE = 300_000
+
 
-STATE = "status string, attempts int, next_attempt_at long"
+class Job(NamedTuple):
+    """What is known of a job: status (null before it is known), attempts, when it is due, since when it is worked at, and whether it is a deletion."""
 
+    status: str | None = None
+    attempts: int = 0
+    due: int | None = None
+    locked: int | None = None
+    deletion: bool = False
 
-def moved(status: str | None, attempts: int, due: int | None, signal: str, at: int, delete_policy: str, max_attempts: int) -> tuple[str | None, int, int | None]:
-    """The state after a signal at a time in milliseconds: status (null before the job is known), attempts and when it is due again."""
+
+def moved(job: Job, signal: str, at: int, delete_policy: str = "manual-review", max_attempts: int = 8) -> Job:
+    """The job after a signal at a time in milliseconds."""
+    to = lambda status, **more: job._replace(status=status, due=None, locked=None, **more)
+    status = job.status
     if signal == "enqueue":
-        return ("queued", 0, at) if status is None else (status, attempts, due)
-    if signal == "claim" and status in ("queued", "retry"):
-        return "processing", attempts + 1, None
+        return Job("queued", 0, at) if status is None else job
+    if status is None:
+        return job
+    if signal == "claim" and status in ("queued", "retry") and job.due <= at:
+        return to("processing", attempts=job.attempts + 1)._replace(locked=at)
     if status == "processing":
         if signal == "fail":
-            return ("dead_letter", attempts, None) if attempts >= max_attempts else ("retry", attempts, at + min(60_000, 500 * 2 ** max(0, attempts - 1)))
-        ends = {"succeed": "completed", "ambiguous": "manual_review", "delete": "manual_review" if delete_policy == "manual-review" else "completed"}
-        return (ends[signal], attempts, None) if signal in ends else (status, attempts, due)
-    if signal == "replay" and status in ("dead_letter", "manual_review", "dismissed"):
-        return "queued", 0, at
-    if signal == "approve" and status == "manual_review":
-        return "queued", attempts, at
-    if signal == "dismiss" and status in ("dead_letter", "manual_review"):
-        return "dismissed", attempts, None
-    return status, attempts, due
+            return to("dead_letter") if job.attempts >= max_attempts else to("retry")._replace(due=at + min(60_000, 500 * 2 ** max(0, job.attempts - 1)))
+        if signal == "delete":
+            return to("manual_review" if delete_policy == "manual-review" else "completed", deletion=True)
+        if signal in ("succeed", "ambiguous"):
+            return to("completed" if signal == "succeed" else "manual_review")
+    if signal == "replay":
+        return to("queued", attempts=0)._replace(due=at)
+    if signal == "approve" and status == "manual_review" and job.deletion:
+        return to("completed")
+    if signal == "dismiss" and status in ("dead_letter", "manual_review", "retry"):
+        return to("dismissed")
+    return job
+
+
+def elapsed(job: Job, at: int, lease: int = LEASE) -> Job:
+    """The job at a time by which nothing but time has passed: claimed when it was due, and again after each lease that went by in silence."""
+    if job.status in ("queued", "retry") and job.due is not None and job.due <= at:
+        job = job._replace(status="processing", attempts=job.attempts + 1, locked=job.due, due=None)
+    if job.status == "processing" and job.locked is not None and (n := (at - job.locked) // lease) > 0:
+        job = job._replace(attempts=job.attempts + n, locked=job.locked + n * lease)
+    return job
+
+
+def deadline(job: Job, lease: int = LEASE) -> int | None:
+    """When time will move the job next."""
+    return job.due if job.status in ("queued", "retry") else job.locked + lease if job.status == "processing" and job.locked is not None else None
 
 
 def job_states(signals: DataFrame, delete_policy: str = "manual-review", max_attempts: int = 8) -> DataFrame:
@@ -43,13 +83,73 @@ def job_states(signals: DataFrame, delete_policy: str = "manual-review", max_att
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (None, 0, None)
+        now = Job(*state.get) if state.exists else Job()
         rows = pd.concat(list(batches)).sort_values("seq")  # the signals of one job in one batch
         for signal, at in zip(rows["signal"], rows["at"]):
-            now = moved(*now, signal, int(at), delete_policy, max_attempts)
-        if now[0] is not None:
-            state.update(now)
-            yield pd.DataFrame({"event_key": [key[0]], "seq": [int(rows["seq"].iloc[-1])], "status": [now[0]], "attempts": [now[1]], "next_attempt_at": pd.array([now[2]], dtype="Int64")})
+            now = moved(now, signal, int(at), delete_policy, max_attempts)
+        if now.status is not None:
+            state.update(tuple(now))
+            yield pd.DataFrame({"event_key": [key[0]], "seq": [int(rows["seq"].iloc[-1])], "status": [now.status], "attempts": [now.attempts], "next_attempt_at": pd.array([now.due], dtype="Int64")})
 
-    out = f"event_key string, seq long, {STATE}"
+    out = "event_key string, seq long, status string, attempts int, next_attempt_at long"
     return signals.groupBy("event_key").applyInPandasWithState(run, out, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+class _Timed(StatefulProcessor):
+    """Keeps a job and one timer for its deadline. What time has done is worked out to the moment of a signal, or to the watermark, whichever timer fires late."""
+
+    def __init__(self, delete_policy: str, max_attempts: int, lease: int):
+        self.delete_policy, self.max_attempts, self.lease = delete_policy, max_attempts, lease
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", STATE)
+
+    def _kept(self, key: tuple, job: Job, cause: str, seq: int, at: int) -> pd.DataFrame:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if job.status is not None:
+            self.job.update(tuple(job))
+            if (due := deadline(job, self.lease)) is not None:
+                self.handle.registerTimer(due)
+        ints = lambda v: pd.array([v], dtype="Int64")
+        return pd.DataFrame({"event_key": [key[0]], "seq": ints(seq), "at": ints(at), "cause": [cause], "status": [job.status], "attempts": ints(job.attempts), "next_attempt_at": ints(job.due), "locked_at": ints(job.locked)})
+
+    def handleInputRows(self, key, rows, timerValues):
+        job = Job(*self.job.get()) if self.job.exists() else Job()
+        signals = pd.concat(list(rows)).sort_values(["at", "seq"])  # the signals of one job in one batch
+        for signal, at in zip(signals["signal"], signals["at"]):
+            job = moved(elapsed(job, int(at), self.lease), signal, int(at), self.delete_policy, self.max_attempts)
+        yield self._kept(key, job, "signal", int(signals["seq"].iloc[-1]), int(signals["at"].iloc[-1]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        before = Job(*self.job.get())
+        if elapsed(before, now, self.lease) != before:
+            yield self._kept(key, elapsed(before, now, self.lease), "timer", None, now)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_states(signals: DataFrame, delete_policy: str = "manual-review", max_attempts: int = 8, lease: int = LEASE, delay: str = "10 minutes") -> DataFrame:
+    """(event_key, seq, at, cause, status, attempts, next_attempt_at, locked_at): jobs as signals and time move them; the last row of a job is its state.
+
+    signals: a stream of (event_key, seq, signal, at), at in milliseconds and signals of a job in order but for a delay. Time is event time: it is as late as the watermark.
+    The stream needs a state store that keeps timers (see timers).
+    """
+    moments = signals.withColumn("moment", F.timestamp_millis("at")).withWatermark("moment", delay)
+    out = "event_key string, seq long, at long, cause string, status string, attempts int, next_attempt_at long, locked_at long"
+    return moments.groupBy("event_key").transformWithStateInPandas(_Timed(delete_policy, max_attempts, lease), out, "append", "eventTime")
+
+
+@contextmanager
+def timers(spark: SparkSession):
+    """Streams started in here keep their state in RocksDB, which timers need."""
+    name, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

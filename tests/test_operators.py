@@ -225,17 +225,52 @@ def test_schedules():
 
 
 def test_job_signals_that_do_not_fit_change_nothing():
-    step = lambda state, signal: JS.moved(*state, signal, 1000, "manual-review", 2)
-    state = (None, 0, None)
-    assert step(state, "claim") == state and step(state, "succeed") == state
-    state = step(state, "enqueue")
-    assert step(state, "enqueue") == state and step(state, "fail") == state
-    state = step(step(state, "claim"), "fail")
-    assert state == ("retry", 1, 1500)
-    state = step(step(state, "claim"), "fail")
-    assert state == ("dead_letter", 2, None) and step(state, "claim") == state
-    assert step(state, "replay") == ("queued", 0, 1000) and step(state, "dismiss")[0] == "dismissed" and step(state, "approve") == state
-    assert JS.moved("processing", 1, None, "delete", 0, "ignore", 2)[0] == "completed"
+    step = lambda job, signal, at=1000: JS.moved(job, signal, at, "manual-review", 2)
+    new = JS.Job()
+    assert step(new, "claim") == new and step(new, "succeed") == new and step(new, "replay") == new
+    job = step(new, "enqueue")
+    assert step(job, "enqueue") == job and step(job, "fail") == job and step(job, "claim", 999) == job
+    job = step(step(job, "claim"), "fail")
+    assert job[:3] == ("retry", 1, 1500) and step(job, "claim", 1499) == job and step(job, "dismiss").status == "dismissed"
+    job = step(step(job, "claim", 1500), "fail")
+    assert job[:3] == ("dead_letter", 2, None) and step(job, "claim") == job
+    assert step(job, "replay")[:3] == ("queued", 0, 1000) and step(job, "dismiss").status == "dismissed" and step(job, "approve") == job
+    waits = JS.moved(JS.Job("processing", 1), "delete", 0)
+    assert waits.status == "manual_review" and step(waits, "approve").status == "completed" and step(JS.Job("manual_review"), "approve").status == "manual_review"
+    assert JS.moved(JS.Job("processing", 1), "delete", 0, "ignore").status == "completed" and JS.moved(JS.Job("completed", 3), "replay", 5)[:3] == ("queued", 0, 5)
+
+
+def test_time_moves_jobs():
+    assert JS.elapsed(JS.Job("retry", 1, 500), 499) == JS.Job("retry", 1, 500)
+    assert JS.elapsed(JS.Job("retry", 1, 500), 500) == JS.Job("processing", 2, None, 500)
+    assert JS.elapsed(JS.Job("queued", 0, 0), 2 * JS.LEASE + 1) == JS.Job("processing", 3, None, 2 * JS.LEASE)
+    assert JS.elapsed(JS.Job("completed", 1), 10**12) == JS.Job("completed", 1) and JS.deadline(JS.Job("processing", 1, None, 7)) == 7 + JS.LEASE
+
+
+def test_an_attempt_counts_once(spark):
+    """Claimed and failed again and again, a job is given up after eight attempts."""
+    jobs, n = spark.sql("SELECT 'k' AS event_key, 'e' AS event_id, 'queued' AS status, 0 AS attempts, timestamp'2024-01-01' AS created_at, timestamp'2024-01-01' AS next_attempt_at"), 0
+    late = F.lit("2025-01-01").cast("timestamp")
+    while jobs.first().status != "dead_letter":
+        n += 1
+        row = J.after_failure(J.claimed(jobs, late, 5), F.lit("2024-01-01").cast("timestamp")).collect()
+        jobs = spark.createDataFrame([tuple(r) for r in row], "event_key string, event_id string, status string, attempts int, created_at timestamp, next_attempt_at timestamp")
+    assert n == 8
+
+
+def test_commands_see_what_earlier_ones_left(spark):
+    jobs = spark.createDataFrame([("d", "deleted", "manual_review", 3), ("u", "updated", "manual_review", 3), ("r", "updated", "retry", 2)], "event_key string, change string, status string, attempts int")
+    given = [("d", 2, "dismiss"), ("d", 1, "approve"), ("u", 1, "approve"), ("u", 2, "dismiss"), ("u", 3, "replay"), ("r", 1, "dismiss"), ("x", 1, "replay"), ("r", 2, None)]
+    found = J.commanded(jobs, spark.createDataFrame(given, "event_key string, seq int, command string"))
+    assert {tuple(r) for r in found.collect()} == {("d", "deleted", "completed", 3, 1), ("u", "updated", "queued", 0, 1), ("r", "updated", "dismissed", 2, 0)}
+
+
+@pytest.mark.parametrize("given, want", [
+    (0.0001, "0.0001"), (1e15, "1000000000000000"), (1e21, "1e+21"), (-0.0, "0"), (1e-6, "0.000001"), (1e-7, "1e-7"), (123456789012345680000.0, "123456789012345680000"), (0.1 + 0.2, "0.30000000000000004"), (-1.5e-9, "-1.5e-9"),
+    (1.7976931348623157e308, "1.7976931348623157e+308"), (2e-3, "0.002"), (100.25, "100.25"), (float("inf"), "Infinity"), (float("nan"), "NaN"), (None, None), (9007199254740993.0, "9007199254740992"), (2.0**-44, "5.684341886080802e-14"),
+])
+def test_numbers_in_their_shortest_form(spark, given, want):
+    assert one(spark, S.number_string(F.lit(given).cast("double"))) == want
 
 
 def test_preflight_without_profiles(spark):
