@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.scalars import allowed_natural_key, finding_key, plain_name, type_group
@@ -81,11 +81,17 @@ def required_natives(rules: DataFrame, schemas: DataFrame) -> DataFrame:
     return rules.withColumn("_n", F.lower("native")).join(needed, ["system", "_n"]).select("system", "canonical", "native")
 
 
+#: Canonical fields that may change or not be unique.
+_MUTABLE = ("name", "phone", "title", "companyname")
+
+
 def key_candidates(rules: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Canonical fields that rules of both sides map to known fields and that a natural key may use; lists and booleans are risky."""
-    typed = rules.join(schemas.select("system", "native", type_group(F.col("type")).alias("_group")), ["system", "native"])
-    both = typed.groupBy("canonical").agg(F.count_distinct("system").alias("_sides"), F.max(F.col("_group").isin("enum", "boolean")).alias("risky"))
-    return both.where((F.col("_sides") == 2) & allowed_natural_key(F.col("canonical"))).select("canonical", "risky")
+    """Canonical fields that rules of both sides map to known fields, none of them calculated, and that a natural key may use; risky ones can change or be shared."""
+    calculated = F.coalesce("calculated", F.lit(False)) if "calculated" in schemas.columns else F.lit(False)
+    fields = schemas.where(~calculated).select("system", "native")
+    both = rules.join(fields, ["system", "native"]).groupBy("canonical").agg(F.count_distinct("system").alias("_sides"))
+    found = both.where((F.col("_sides") == 2) & allowed_natural_key(F.col("canonical")))
+    return found.select("canonical", F.lower("canonical").isin(*_MUTABLE).alias("risky"))
 
 
 def verified_findings(findings: DataFrame, issues: DataFrame) -> DataFrame:
@@ -101,6 +107,21 @@ def capped_issues(issues: DataFrame, most: int = 30, width: int = 200) -> DataFr
     return shown.select("severity", "code", "system", F.left("field", F.lit(width)).alias("field"))
 
 
+def budgeted_issues(issues: DataFrame, most: int = 30, checks: int = 3) -> DataFrame:
+    """What is told of the issues (check, position, code, field, message) of several checks: those of the first checks, in order, until a budget that the checks share
+    is used up; texts are cut. A report's limit, not a step of a job.
+
+    A check's first rows are ranked by check, so that no more than the budget leaves a check of any size; what a check may still use is the budget less the
+    running total of the checks before it.
+    """
+    rank = F.row_number().over(Window.partitionBy("check").orderBy("position"))
+    first = issues.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    sizes = first.groupBy("check").agg(F.count("*").alias("_n")).orderBy("check").limit(checks)
+    used = F.coalesce(F.sum("_n").over(Window.orderBy("check").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over so many checks
+    shown = first.join(F.broadcast(sizes.withColumn("_used", used)), "check").where(F.col("_used") + F.col("_rank") <= most)
+    return shown.select("check", "position", F.left("code", F.lit(120)).alias("code"), F.left("field", F.lit(160)).alias("field"), F.left("message", F.lit(500)).alias("message"))
+
+
 def coverage(rules: DataFrame, schemas: DataFrame) -> DataFrame:
     """Per system: fields, those mapped, their share in per cent, and the state that this makes."""
     mapped = schemas.join(rules.select("system", "native", F.lit(1).alias("_m")).distinct(), ["system", "native"], "left")
@@ -115,10 +136,13 @@ def readiness(issues: DataFrame) -> DataFrame:
     return issues.agg(errors.alias("errors"), warnings.alias("warnings"), (errors == 0).alias("ok"), F.when(errors > 0, "blocked").when(warnings > 0, "review_required").otherwise("ready").alias("readiness"))
 
 
-def schema_hashes(schemas: DataFrame) -> DataFrame:
-    """A hash of each system's schema, whatever the order of its fields."""
-    row = F.concat_ws("|", "native", "type", F.col("required").cast("string"), F.col("read_only").cast("string"))
-    return schemas.groupBy("system").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("schema_hash"))
+def schema_hashes(schemas: DataFrame, keys: tuple[str, ...] = ("system",)) -> DataFrame:
+    """A hash of each schema (the fields of one object), whatever the order of its fields and options; labels and options count where they are given."""
+    text = {c: F.col(c).cast("string") for c in ("native", "type", "required", "read_only", "label") if c in schemas.columns}
+    if "options" in schemas.columns:
+        text["options"] = F.array_join(F.array_sort("options"), "\x1f")
+    row = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in text.values()])
+    return schemas.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("schema_hash"))
 
 
 def hash_map(hashes: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -153,12 +177,18 @@ def catalog(objects: DataFrame, registered: DataFrame, rules: DataFrame) -> Data
 
 
 def auto_map(source: DataFrame, target: DataFrame, used: DataFrame) -> DataFrame:
-    """Source fields (native, label) with a writable target field of the same name or label that no rule uses yet."""
-    free = target.where(~F.col("read_only")).join(used.select("native"), "native", "left_anti")
-    by = lambda c, out: free.groupBy(F.lower(c).alias("_k")).agg(F.min("native").alias(out))
+    """New rules (canonical, native, target): source fields (position, native, label) with the first writable target field of the same name or label.
+
+    The canonical name is the source's without signs; one that a rule (used: canonical) has already is left alone, and of several fields that would share one the first
+    counts. Names and labels are alike whatever their case.
+    """
+    free = target.where(~F.coalesce("read_only", F.lit(False)))
+    by = lambda c, out: free.groupBy(F.lower(c).alias("_k")).agg(F.min(F.struct("position", F.col("native").alias("target"))).alias(out))
     found = source.withColumn("_k", F.lower("native")).join(by("native", "_n"), "_k", "left").drop("_k")
-    found = found.withColumn("_k", F.lower("label")).join(by("label", "_l"), "_k", "left")
-    return found.select("native", F.coalesce("_n", "_l").alias("target")).where("target is not null")
+    found = found.withColumn("_k", F.lower("label")).join(by("label", "_l"), "_k", "left").drop("_k").withColumn("_t", F.least("_n", "_l")).where("_t IS NOT NULL")
+    named = found.withColumn("canonical", F.regexp_replace("native", "[^a-zA-Z0-9]", "")).withColumn("_c", F.lower("canonical")).where("_c <> ''")
+    new = named.join(used.select(F.lower("canonical").alias("_c")), "_c", "left_anti")
+    return new.groupBy("_c").agg(F.min(F.struct("position", "canonical", "native", F.col("_t.target").alias("target"))).alias("f")).select("f.canonical", "f.native", "f.target")
 
 
 def option_values(a: DataFrame, b: DataFrame, saved: DataFrame) -> DataFrame:

@@ -158,16 +158,22 @@ def propagated_deletes(deleted: DataFrame, links: DataFrame) -> DataFrame:
     return deleted.select(F.col("id").alias("source_id")).join(links.select("source_id", "target_id"), "source_id")
 
 
-def retargeted(refused: DataFrame, key_fields: list[str]) -> DataFrame:
+def retargeted(refused: DataFrame, key_fields: list[str], rules: DataFrame | None = None) -> DataFrame:
     """Refused writes (source_id, target_id, body) that go to the record that holds the value instead.
 
     Only for a field of the natural key, whose value tells that both are the same record; a clash on any other unique field, or with the
-    target itself, stays an error.
+    target itself, stays an error. Errors name native fields: rules (canonical, native) of the target's side tell which canonical ones they are, in
+    whatever case; without rules the names are the same on both sides.
     """
     clash = duplicate_conflict(vendor_message(F.col("body")))
-    found = refused.withColumn("_clash", clash)
-    heals = F.coalesce(F.col("_clash.property").isin(*key_fields) & ~F.col("_clash.holder").eqNullSafe(F.col("target_id")), F.lit(False))
-    return found.select("source_id", F.when(heals, F.col("_clash.holder")).otherwise(F.col("target_id")).alias("target_id"), F.when(heals, "relinked").otherwise("error").alias("status"))
+    found = refused.withColumn("_clash", clash).withColumn("_native", F.lower("_clash.property"))
+    if rules is None:
+        named = found.withColumn("_canonical", F.col("_clash.property"))
+    else:
+        mapped = rules.where(F.col("canonical").isin(*key_fields)).groupBy(F.lower("native").alias("_native")).agg(F.min("canonical").alias("_canonical"))
+        named = found.join(F.broadcast(mapped), "_native", "left")  # as many rows as a natural key has fields
+    heals = F.coalesce(F.col("_canonical").isin(*key_fields) & ~F.col("_clash.holder").eqNullSafe(F.col("target_id")), F.lit(False))
+    return named.select("source_id", F.when(heals, F.col("_clash.holder")).otherwise(F.col("target_id")).alias("target_id"), F.when(heals, "relinked").otherwise("error").alias("status"))
 
 
 def conflicts(done: DataFrame) -> DataFrame:

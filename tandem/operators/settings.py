@@ -14,21 +14,20 @@ CRON = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("
 NAMES = {n: i for names, first in (("sun mon tue wed thu fri sat", 0), ("jan feb mar apr may jun jul aug sep oct nov dec", 1)) for i, n in enumerate(names.split(), first)}
 
 
-def overlaid(defaults: DataFrame, saved: DataFrame, key: str = "type", required: tuple[str, ...] = ()) -> DataFrame:
-    """Defaults with saved rows laid over them, value by value; saved rows that lack a required value count as not saved."""
-    whole = saved
-    for c in required:
-        whole = whole.where(F.col(c).isNotNull())
+def overlaid(defaults: DataFrame, saved: DataFrame, key: str = "type", required: tuple[str, ...] = (), fallback: dict | None = None) -> DataFrame:
+    """Defaults with saved rows laid over them, value by value, and fallback values under both; what still lacks a required value after that goes."""
     values = [c for c in defaults.columns if c != key]
-    new = whole.select(key, *[F.col(c).alias(f"_{c}") for c in values])
-    return defaults.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in values])
+    new = saved.select(key, *[F.col(c).alias(f"_{c}") for c in values])
+    merged = defaults.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c, F.lit((fallback or {}).get(c))).alias(c) for c in values])
+    return merged.dropna(subset=list(required)) if required else merged
 
 
-def patched(current: DataFrame, patch: DataFrame, key: str = "type") -> DataFrame:
-    """Current settings with the given values of a patch; types that are not there yet are not added."""
+def patched(current: DataFrame, patch: DataFrame, key: str = "type", clearable: tuple[str, ...] = ()) -> DataFrame:
+    """Current settings with the given values of a patch, and its new types. A null leaves what is there; an empty text clears a value that may be cleared."""
     values = [c for c in patch.columns if c != key]
     new = patch.select(key, *[F.col(c).alias(f"_{c}") for c in values])
-    return current.join(new, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in values else F.col(c) for c in current.columns])
+    value = lambda c: F.when(F.col(f"_{c}") == "", None).otherwise(F.coalesce(f"_{c}", c)) if c in clearable else F.coalesce(f"_{c}", c)
+    return current.join(new, key, "full").select(*[value(c).alias(c) if c in values else F.col(c) for c in current.columns])
 
 
 def positioned(rules: DataFrame, by: str, order: str, out: str = "sort_order") -> DataFrame:

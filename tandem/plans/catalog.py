@@ -134,7 +134,7 @@ def delete_propagation(spark: SparkSession, d: str) -> DataFrame:
 def _refused(spark: SparkSession, d: str) -> DataFrame:
     """Writes refused because another record holds a unique value: of the key field, of another one, held by the target itself, or another error."""
     k = F.col("k")
-    field = F.when(k % 4 == 1, "phone").otherwise("email")
+    field = F.when(k % 4 == 1, "phone_no").when(k % 8 == 4, "Mail").otherwise("mail")
     holder = F.when(k % 4 == 2, F.concat(F.lit("b-"), k.cast("string"))).otherwise(F.concat(F.lit("x-"), k.cast("string")))
     said = F.when(k % 4 == 3, "Some other error").otherwise(F.concat(F.lit("Cannot set PropertyValueCoordinates{portalId=1, propertyName="), field, F.lit(", value=v"), k.cast("string"), F.lit("} on "), k.cast("string"), F.lit(". "), holder, F.lit(" already has that value.")))
     return X.contact_a(spark, d).select(F.col("id").alias("source_id"), F.concat(F.lit("b-"), k.cast("string")).alias("target_id"), F.to_json(F.struct(said.alias("message"))).alias("body"))
@@ -142,7 +142,8 @@ def _refused(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(X.SQL + "SELECT id AS source_id, CASE WHEN k % 4 = 0 THEN 'x-' || k ELSE 'b-' || k END AS target_id, CASE WHEN k % 4 = 0 THEN 'relinked' ELSE 'error' END AS status FROM a")
 def self_heal_refused(spark: SparkSession, d: str) -> DataFrame:
-    return R.retargeted(_refused(spark, d), ["email"])
+    rules = spark.createDataFrame([("email", "MAIL"), ("phone", "phone_no")], "canonical string, native string")
+    return R.retargeted(_refused(spark, d), ["email"], rules)
 
 
 @_query(X.SQL + "SELECT id, concat_ws(',', CASE WHEN coalesce(email, '') = '' THEN 'email' END, CASE WHEN coalesce(title, '') = '' THEN 'title' END) AS missing FROM b WHERE coalesce(email, '') = '' OR coalesce(title, '') = ''")
@@ -393,11 +394,6 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
     return Q.readiness(_issues(spark, d))
 
 
-@_query(X.SQL + _META + ", m AS (SELECT f.system, count(*) AS fields, count(*) FILTER (EXISTS (FROM rule r WHERE r.system = f.system AND r.native = f.native)) AS mapped FROM field f GROUP BY 1) SELECT *, round(100 * mapped / fields)::BIGINT AS percent, CASE WHEN mapped = 0 THEN 'not_started' WHEN mapped < fields THEN 'review' ELSE 'complete' END AS state FROM m")
-def mapping_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return Q.coverage(*_rules(spark))
-
-
 @_query("SELECT n_name AS name, 'nation' || r_regionkey AS label, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name || 's' END, 'region ' || n_regionkey) AS counterpart FROM nation JOIN region ON r_regionkey = n_regionkey")
 def catalog_pairing(spark: SparkSession, d: str) -> DataFrame:
     n = stores.read(spark, d, "nation")
@@ -407,13 +403,6 @@ def catalog_pairing(spark: SparkSession, d: str) -> DataFrame:
     return a.join(Q.paired_objects(a, by_name.union(by_label)), "name").select("name", "label", "counterpart")
 
 
-@_query("SELECT * FROM (VALUES ('Email', 'email'), ('Mobile', 'phone_2')) v(native, target)")
-def auto_map(spark: SparkSession, d: str) -> DataFrame:
-    source = spark.createDataFrame([("Email", "E-mail"), ("Mobile", "Mobile Phone"), ("Name", "Name"), ("Fax", "Fax")], "native string, label string")
-    target = spark.createDataFrame([("email", "Address", False), ("phone_2", "mobile phone", False), ("name", "Name", True), ("fax", "Fax", False)], "native string, label string, read_only boolean")
-    return Q.auto_map(source, target, spark.createDataFrame([("fax",)], "native string"))
-
-
 # Jobs
 
 
@@ -579,4 +568,4 @@ def stream_event_store(spark: SparkSession, d: str) -> DataFrame:
     return E.store(spark, f"{at}/store", E.event_stream(spark, d, "events", X.change_events)).select("event_key", "change")
 
 
-from tandem.plans import operations, syncing  # noqa: E402, F401  more queries, which register themselves
+from tandem.plans import fields, operations, syncing  # noqa: E402, F401  more queries, which register themselves

@@ -240,28 +240,6 @@ def records_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 # Settings
 
-_DEFAULTS = [("contact", True, "both", 30), ("company", True, "both", 30), ("deal", True, "both", 30)]
-_SAVED = [("contact", False, "a_to_b", None), ("deal", None, "b_to_a", 60), ("ticket", True, "both", 15)]
-_SETTING = "type string, enabled boolean, direction string, interval_minutes int"
-
-
-def _settings(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_DEFAULTS, _SETTING), spark.createDataFrame(_SAVED, _SETTING)
-
-
-_SETTING_SQL = "WITH " + _values("d", "type, enabled, direction, interval_minutes", _DEFAULTS) + ", " + _values("s", "type, enabled, direction, interval_minutes", _SAVED)
-
-
-@_query(_SETTING_SQL + " SELECT coalesce(d.type, s.type) AS type, coalesce(s.enabled, d.enabled) AS enabled, coalesce(s.direction, d.direction) AS direction, coalesce(s.interval_minutes, d.interval_minutes) AS interval_minutes FROM d FULL JOIN (FROM s WHERE enabled IS NOT NULL) s ON s.type = d.type")
-def settings_overlaid(spark: SparkSession, d: str) -> DataFrame:
-    return T.overlaid(*_settings(spark), required=("enabled",))
-
-
-@_query(_SETTING_SQL + " SELECT d.type, coalesce(s.enabled, d.enabled) AS enabled, coalesce(s.direction, d.direction) AS direction, coalesce(s.interval_minutes, d.interval_minutes) AS interval_minutes FROM d LEFT JOIN s USING (type)")
-def settings_patched(spark: SparkSession, d: str) -> DataFrame:
-    return T.patched(*_settings(spark))
-
-
 @_query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER - 1 AS sort_order FROM part")
 def rule_positions(spark: SparkSession, d: str) -> DataFrame:
     return T.positioned(stores.read(spark, d, "part", ["p_brand", "p_partkey"]), "p_brand", "p_partkey")
@@ -322,29 +300,6 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
     return stores.read(spark, d, "events", ["event_id"]).select("event_id", error.alias("error"), S.retries(error).alias("again"))
 
 
-_NAMES = [("email", True), ("External_Account-Id", True), ("id", False), ("Last Modified Date", False), ("AnnualRevenue", False), ("notes", False), ("domain", True), ("--", False), ("deal_stage", False), ("Country", False), ("Owner Id", False), ("name", True)]
-
-
-@_query("WITH " + _values("n", "field, allowed", _NAMES) + " SELECT * FROM n")
-def key_safety(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n, _ in _NAMES], "field string").select("field", S.allowed_natural_key(F.col("field")).alias("allowed"))
-
-
-@_query(X.SQL + _META + ", t AS (SELECT r.canonical, r.system, f.type IN ('boolean', 'enumeration', 'picklist') AS risky FROM rule r JOIN field f USING (system, native)) SELECT canonical, max(risky) AS risky FROM t WHERE canonical NOT IN ('stage', 'created') GROUP BY 1 HAVING count(DISTINCT system) = 2")
-def key_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return Q.key_candidates(*_rules(spark))
-
-
-@_query(X.SQL + _META + "SELECT r.system, r.canonical, r.native FROM rule r JOIN field f ON f.system = r.system AND lower(f.native) = lower(r.native) WHERE f.required AND NOT f.read_only")
-def required_natives(spark: SparkSession, d: str) -> DataFrame:
-    return Q.required_natives(*_rules(spark))
-
-
-@_query(X.SQL + _META + ", t AS (SELECT r.*, CASE WHEN f.type = 'boolean' THEN 'boolean' WHEN f.type IN ('enumeration', 'picklist') THEN 'enum' END AS g FROM rule r LEFT JOIN field f USING (system, native)), m AS (SELECT canonical FROM t GROUP BY 1 HAVING count(*) FILTER (g = 'boolean') > 0 AND count(*) FILTER (g = 'enum') > 0) SELECT system, canonical, CASE WHEN g = 'enum' AND canonical IN (FROM m) THEN 'yes-no' ELSE read END AS read, CASE WHEN g = 'enum' AND canonical IN (FROM m) THEN 'yes-no' ELSE write END AS write FROM t")
-def boolean_fixes(spark: SparkSession, d: str) -> DataFrame:
-    return Q.boolean_fixes(*_rules(spark)).select("system", "canonical", "read", "write")
-
-
 _FINDINGS = [(1, "TARGET_FIELD_MISSING", "b", "fax", "second"), (0, "TARGET_FIELD_MISSING", "b", "fax", "first"), (2, "INVENTED", "b", "fax", "no"), (3, "FIELD_TYPE_MISMATCH", None, "active", "third")]
 
 
@@ -363,12 +318,6 @@ def issues_capped(spark: SparkSession, d: str) -> DataFrame:
     return Q.capped_issues(_issues(spark, d).where("code IN ('FIELD_TYPE_MISMATCH', 'REQUIRED_TARGET_UNMAPPED', 'ENUM_VALUES_REQUIRE_REVIEW')"), 2)
 
 
-@_query(X.SQL + _META + ", h AS (SELECT system, sha256(string_agg(native || '|' || type || '|' || required || '|' || read_only, chr(10) ORDER BY native || '|' || type || '|' || required || '|' || read_only)) AS h FROM field GROUP BY 1) SELECT 'contact:' || system AS key, h AS hash FROM h")
-def schema_hash_map(spark: SparkSession, d: str) -> DataFrame:
-    hashes = Q.schema_hashes(_rules(spark)[1]).withColumn("type", F.lit("contact"))
-    return Q.hash_map(hashes, ["type", "system"], "schema_hash").select(F.explode("hashes").alias("key", "hash"))
-
-
 @_query(X.SQL + "SELECT coalesce(ah.k, bh.k) AS k, ah.hash AS before, bh.hash AS now FROM ah FULL JOIN (FROM bh WHERE id NOT LIKE 'b2-%') bh ON ah.k = bh.k WHERE ah.hash IS DISTINCT FROM bh.hash")
 def hash_differences(spark: SparkSession, d: str) -> DataFrame:
     of = lambda df: R.with_hash(df, X.FIELDS).select("k", "hash")
@@ -460,12 +409,6 @@ def option_union(spark: SparkSession, d: str) -> DataFrame:
     return Q.option_values(value("customer", "c_mktsegment"), value("orders", "o_orderpriority"), spark.createDataFrame([("BUILDING", "works")], "value string, canonical string"))
 
 
-@_query(X.SQL + _META + " SELECT canonical FROM rule WHERE system = 'a' INTERSECT SELECT canonical FROM rule WHERE system = 'b'")
-def rules_on_both_sides(spark: SparkSession, d: str) -> DataFrame:
-    rules = _rules(spark)[0]
-    return rules.where("system = 'a'").select("canonical").intersect(rules.where("system = 'b'").select("canonical"))
-
-
 @_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'unknown_system' WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 5 <> 1 THEN 'raw_not_supported' WHEN c_custkey % 2 = 0 THEN 'unsafe_raw' END WHEN c_custkey % 3 = 0 THEN 'field' WHEN c_custkey % 11 = 0 THEN 'operator' END AS refused FROM customer")
 def conditions_refused(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")

@@ -42,13 +42,13 @@ def store(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
 def into_store(changes: DataFrame, path: str, checkpoint: str):
     """Appends new events to a Parquet store by day: a batch drops what the store already holds, so replays change nothing.
 
-    A redelivered event keeps its time, so only the days of the batch are read; their list is all that the driver sees.
+    A redelivered event keeps its time, so only the days of the batch are read (those without a time are a day of their own); their list is all that the driver sees.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(["event_key"]).withColumn("day", F.to_date("occurred_at"))
         days = [r.day for r in batch.select(F.to_date("occurred_at").alias("day")).distinct().collect()]
-        held = store(batch.sparkSession, path, batch).where(F.col("day").isin(days)) if days else None
+        held = store(batch.sparkSession, path, batch).where(F.col("day").isin([d for d in days if d]) | (F.col("day").isNull() & F.lit(None in days))) if days else None
         if held is not None:
             new.join(held.select("event_key"), "event_key", "left_anti").write.mode("append").partitionBy("day").parquet(path)
 
