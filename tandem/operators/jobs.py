@@ -120,3 +120,27 @@ def increases(counts: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """How far a counter has risen since the snapshot before; the first snapshot and falls count 0."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
     return counts.withColumn("increase", F.greatest(F.lit(0), F.coalesce(F.col(value) - before, F.lit(0))))
+
+
+def deletes_carried(jobs: DataFrame, approved: DataFrame, links: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, target) once deletions (event_key, source_id, change, status, policy) have been dealt with.
+
+    One that is being worked at goes by its policy: cascade takes its counterpart from the target and is completed, ignore is completed, any other waits for
+    review. One that waits and is approved (event_key) takes its counterpart too and is completed. Without a link there is nothing to take.
+    """
+    asked = approved.select("event_key", F.lit(True).alias("_approved")).distinct()
+    found = jobs.join(asked, "event_key", "left")
+    working = (F.col("change") == "deleted") & (F.col("status") == "processing")
+    waits = (F.col("change") == "deleted") & (F.col("status") == "manual_review") & F.coalesce("_approved", F.lit(False))
+    taken = (working & F.coalesce(F.col("policy") == "cascade", F.lit(False))) | waits
+    gone = found.where(taken).select("source_id").distinct().join(links.select("source_id", "target_id"), "source_id").select(F.col("target_id").alias("id"))
+    status = F.when(taken | (working & F.coalesce(F.col("policy") == "ignore", F.lit(False))), "completed").when(working, "manual_review").otherwise(F.col("status"))
+    return found.withColumn("status", status).drop("_approved"), target.join(gone, "id", "left_anti")
+
+
+def reported(jobs: DataFrame) -> DataFrame:
+    """Jobs as a report shows them: id, the event in one value, times in ISO form, the error left out where there is none."""
+    iso = lambda c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    event = F.struct(F.col("event_id").alias("eventId"), "system", "type", F.col("source_id").alias("sourceId"), F.col("change").alias("changeType"), iso("occurred_at").alias("occurredAt"))
+    row = F.struct(F.col("id"), event.alias("event"), "status", "attempts", iso("next_attempt_at").alias("nextAttemptAt"), F.col("last_error").alias("lastError"), iso("created_at").alias("createdAt"))
+    return jobs.select("id", F.to_json(row).alias("report"))

@@ -130,6 +130,11 @@ def coverage(rules: DataFrame, schemas: DataFrame) -> DataFrame:
     return mapped.groupBy("system").agg(n.alias("fields"), m.alias("mapped"), F.round(100 * m / n).cast("long").alias("percent"), state.alias("state"))
 
 
+def coverage_states(covered: DataFrame) -> DataFrame:
+    """How many objects are in each state of coverage; a state without objects counts 0."""
+    return covered.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("not_started", "review", "complete")])
+
+
 def readiness(issues: DataFrame) -> DataFrame:
     """Errors block, warnings ask for review, otherwise the run is ready."""
     errors, warnings = F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")
@@ -169,10 +174,10 @@ def paired_objects(a: DataFrame, b: DataFrame, registry: DataFrame | None = None
 
 def catalog(objects: DataFrame, registered: DataFrame, rules: DataFrame) -> DataFrame:
     """Objects (name, label) that are no companions of others, with how many fields rules map; registered ones first, then by label."""
-    companion = F.col("name").rlike("(History|Feed|Share|ChangeEvent|Tag)$")
+    companion = F.col("name").rlike("(History|Feed|Share|ChangeEvent|Tag)$") | F.contains(F.col("label"), F.lit("__MISSING LABEL__"))  # fixed values
     mapped = rules.groupBy("name").agg(F.count_distinct("native").alias("mapped_fields"))
     known = registered.select("name").distinct().withColumn("registered", F.lit(True))
-    rows = objects.where(~companion).join(known, "name", "left").join(mapped, "name", "left")
+    rows = objects.where(~F.coalesce(companion, F.lit(False))).join(known, "name", "left").join(mapped, "name", "left")
     return rows.select("name", "label", F.coalesce("registered", F.lit(False)).alias("registered"), F.coalesce("mapped_fields", F.lit(0)).cast("long").alias("mapped_fields")).orderBy(F.desc("registered"), "label")
 
 

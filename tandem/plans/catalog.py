@@ -568,4 +568,4 @@ def stream_event_store(spark: SparkSession, d: str) -> DataFrame:
     return E.store(spark, f"{at}/store", E.event_stream(spark, d, "events", X.change_events)).select("event_key", "change")
 
 
-from tandem.plans import fields, operations, syncing  # noqa: E402, F401  more queries, which register themselves
+from tandem.plans import fields, operations, syncing, upkeep  # noqa: E402, F401  more queries, which register themselves

@@ -51,9 +51,10 @@ def since(df: DataFrame, column: str, moment, inclusive: bool = True) -> DataFra
     return df.where(c >= moment if inclusive else c > moment)
 
 
-def deleted_between(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
-    """Keys of an earlier snapshot that a later one lacks."""
-    return before.select(key).join(after.select(key), key, "left_anti")
+def deleted_between(before: DataFrame, after: DataFrame, key: str = "id", at: Column | None = None) -> DataFrame:
+    """Keys of an earlier snapshot that a later one lacks; with the later one's moment as deleted_at, if it is given."""
+    gone = before.select(key).join(after.select(key), key, "left_anti")
+    return gone if at is None else gone.withColumn("deleted_at", at)
 
 
 def schema_rows(df: DataFrame, table: str) -> DataFrame:
