@@ -213,7 +213,7 @@ def fingerprint(c: Column, digits: int = 12) -> Column:
 
 
 def type_group(native: Column) -> Column:
-    """The logical group of a native type."""
+    """The logical group of a native type; the types of each are fixed values."""
     return (
         F.when(native.isin("int", "integer", "long", "double", "number", "currency"), "number")
         .when(native.isin("date", "datetime", "dateTime"), "date").when(native.isin("bool", "boolean"), "boolean")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.scalars import js_number, kind_of, text
 
-#: Words that a raw predicate may not hold.
+#: Words and signs that a raw predicate may not hold.
 FORBIDDEN = re.compile(r";|--|/\*|\b(insert|update|delete|upsert|union|merge)\b", re.I)
 #: The operators of a condition.
 OPERATORS = ["eq", "ne", "gt", "lt", "contains", "is_null", "is_not_null"]

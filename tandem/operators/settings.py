@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,16 @@ def next_times(expression: str, now: datetime, n: int = 1) -> list[datetime]:
 
 
 def next_due(schedules: DataFrame, now: datetime) -> DataFrame:
-    """Adds when each schedule (type, enabled, cron, interval_minutes) is due next: its cron time, or now and its interval. One row a type, so the cron times are made on the driver."""
-    spark = schedules.sparkSession
-    crons = [r.cron for r in schedules.where("cron is not null").select("cron").distinct().collect()]
-    times = spark.createDataFrame([(c, *(next_times(c, now) or [None])) for c in crons], "cron string, _at timestamp_ntz")
+    """Adds when each schedule (enabled, cron, interval_minutes, ...) is due next: its cron time, or now and its interval. Each distinct cron text is read once, in tasks."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"cron": rows["cron"], "_at": pd.Series([next((t for t in next_times(c, now)), None) for c in rows["cron"]], dtype="datetime64[ns]")})
+
+    times = schedules.where("cron is not null").select("cron").distinct().mapInPandas(read, "cron string, _at timestamp_ntz")
     at = F.lit(now).cast("timestamp_ntz")
     after = F.timestamp_add("MINUTE", clamped_interval(F.col("interval_minutes")), at)
-    return schedules.join(F.broadcast(times), "cron", "left").withColumn("next_due_at", F.coalesce("_at", after)).drop("_at")
+    return schedules.join(times, "cron", "left").withColumn("next_due_at", F.coalesce("_at", after)).drop("_at")
 
 
 def due(schedules: DataFrame, now: datetime) -> DataFrame:

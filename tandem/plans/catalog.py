@@ -557,7 +557,8 @@ def _checkpoint(spark: SparkSession) -> str:
 @_query("WITH " + X.EVENTS + " SELECT system, change, count(*) AS n FROM jobs GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = E.counts_by_change(E.unique_events(E.event_stream(spark, d, "events", X.change_events)))
-    return E.drained(counts, "stream_event_counts", _checkpoint(spark), "complete")
+    at = _checkpoint(spark)
+    return E.drained(counts, f"{at}/counts", f"{at}/log")
 
 
 @_query("WITH " + X.EVENTS + " SELECT event_key, change FROM jobs")

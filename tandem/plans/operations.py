@@ -245,19 +245,30 @@ def rule_positions(spark: SparkSession, d: str) -> DataFrame:
     return T.positioned(stores.read(spark, d, "part", ["p_brand", "p_partkey"]), "p_brand", "p_partkey")
 
 
-_CRONS = [("contact", True, "0 9 * * 1", None), ("company", True, None, 45), ("deal", True, "*/15 8-18 * * mon-fri", 5), ("ticket", True, "not one", None), ("lead", False, None, 1)]
+#: Schedules of customers: daily, weekly or none that can be read, or an interval.
+_SCHEDULES = """
+WITH s AS (SELECT c_custkey AS k, c_custkey % 5 <> 4 AS enabled, TIMESTAMP '2024-01-05 18:02:30' AS now FROM customer),
+n AS (SELECT k, enabled, now, CASE k % 4 WHEN 0 THEN now::DATE + to_hours((k % 24)::INTEGER) + to_minutes((k % 60)::INTEGER) + to_days(CASE WHEN now::DATE + to_hours((k % 24)::INTEGER) + to_minutes((k % 60)::INTEGER) > now THEN 0 ELSE 1 END)
+    WHEN 1 THEN now::DATE + to_hours(9) + to_days(CASE WHEN k % 7 = 5 THEN 7 ELSE ((k % 7 + 2) % 7)::INTEGER END)
+    ELSE now + to_minutes(CASE WHEN k % 3 = 0 THEN 30 ELSE least(43200, greatest(1, k * 29)) END::INTEGER) END AS next_due_at FROM s)
+"""
 
 
-@_query("SELECT * FROM (VALUES ('contact', TIMESTAMP '2024-01-08 09:00:00'), ('company', TIMESTAMP '2024-01-05 18:47:30'), ('deal', TIMESTAMP '2024-01-05 18:15:00'), ('ticket', TIMESTAMP '2024-01-05 18:32:30'), ('lead', TIMESTAMP '2024-01-05 18:03:30')) v(type, next_due_at)")
+def _schedules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    daily, weekly = F.concat_ws(" ", (k % 60).cast("string"), (k % 24).cast("string"), F.lit("* * *")), F.concat(F.lit("0 9 * * "), (k % 7).cast("string"))
+    rows = stores.read(spark, d, "customer", ["c_custkey"]).select(k.alias("k"), (k % 5 != 4).alias("enabled"), F.when(k % 4 == 0, daily).when(k % 4 == 1, weekly).when(k % 4 == 2, "not one").alias("cron"), F.when(k % 3 != 0, k * 29).alias("interval_minutes"))
+    return T.next_due(rows, datetime(2024, 1, 5, 18, 2, 30))
+
+
+@_query(_SCHEDULES + "SELECT k, next_due_at FROM n")
 def schedule_next(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_CRONS, "type string, enabled boolean, cron string, interval_minutes int")
-    return T.next_due(rows, datetime(2024, 1, 5, 18, 2, 30)).select("type", "next_due_at")
+    return _schedules(spark, d).select("k", "next_due_at")
 
 
-@_query("SELECT type FROM (VALUES ('company'), ('deal'), ('ticket')) v(type)")
+@_query(_SCHEDULES + "SELECT k FROM n WHERE enabled AND next_due_at <= TIMESTAMP '2024-01-06 19:00:00'")
 def schedule_due(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_CRONS, "type string, enabled boolean, cron string, interval_minutes int")
-    return T.due(T.next_due(rows, datetime(2024, 1, 5, 18, 2, 30)), datetime(2024, 1, 5, 19, 0)).select("type")
+    return T.due(_schedules(spark, d), datetime(2024, 1, 6, 19, 0)).select("k")
 
 
 @_query("SELECT n_nationkey AS tenant, CASE WHEN n_nationkey % 3 = 0 THEN 'team' ELSE n_name END AS plan, CASE WHEN n_nationkey % 3 = 0 THEN 'active' ELSE 'none' END AS status, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS members FROM nation")
@@ -326,12 +337,15 @@ def hash_differences(spark: SparkSession, d: str) -> DataFrame:
 
 # Sources
 
-_DESCRIBED = [("a", "Email", "string", False, False, True, None), ("a", "Id", "id", False, True, False, None), ("a", "Stage", "picklist", True, False, True, [("new", True), ("old", False), ("won", True)]), ("a", "Created", "datetime", False, True, False, [])]
-
-
-@_query("SELECT * FROM (VALUES ('a', 'Email', 'string', true, false, 0), ('a', 'Id', 'id', false, true, 0), ('a', 'Stage', 'picklist', false, false, 2), ('a', 'Created', 'datetime', false, true, 0)) v(system, native, type, required, read_only, n_options)")
+@_query("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS system, 'N' || p_partkey AS native, p_type AS type, p_size % 3 <> 0 AND p_size % 5 <> 0 AS required, p_size % 7 = 0 AS read_only, CASE WHEN p_size % 4 = 0 THEN (p_partkey % 2 = 0)::INTEGER + 1 ELSE 0 END::INTEGER AS n_options FROM part")
 def schema_discovery(spark: SparkSession, d: str) -> DataFrame:
-    return D.fields(spark.createDataFrame(_DESCRIBED, "system string, native string, type string, nillable boolean, defaulted boolean, updateable boolean, options array<struct<value:string,active:boolean>>"))
+    """Fields as a system describes them, one for each part."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    option = lambda value, active: F.struct(value.alias("value"), active.alias("active"))
+    return D.fields(stores.read(spark, d, "part").select(
+        F.when(k % 2 == 0, "a").otherwise("b").alias("system"), F.concat(F.lit("N"), k.cast("string")).alias("native"), F.col("p_type").alias("type"), (size % 3 == 0).alias("nillable"), (size % 5 == 0).alias("defaulted"), (size % 7 != 0).alias("updateable"),
+        F.when(size % 4 == 0, F.array(option(F.col("p_name"), k % 2 == 0), option(F.col("p_brand"), F.lit(True)), option(F.lit("old"), F.lit(False)))).alias("options"),
+    ))
 
 
 @_query("SELECT column_name AS native, 'events' AS system FROM (DESCRIBE events)")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.sources import versions
+
 
 def event_stream(spark: SparkSession, folder: str, name: str, parse: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:
     """The Parquet files of a table as a stream, parsed into change events."""
@@ -25,11 +27,11 @@ def counts_by_change(changes: DataFrame) -> DataFrame:
     return changes.groupBy("system", "change").agg(F.count("*").alias("n"))
 
 
-def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, into a table in the driver's memory, and returns that. For a few aggregates only."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over all that is there. Each batch publishes the whole result as a new version of the table at path; returns the last one."""
+    publish = lambda batch, number: versions.replace(batch, path, f"{checkpoint}#{number}")
+    df.writeStream.outputMode("complete").foreachBatch(lambda batch, number: publish(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return versions.opened(df.sparkSession, path)
 
 
 def store(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
