@@ -131,10 +131,10 @@ def delete_propagation(spark: SparkSession, d: str) -> DataFrame:
     return R.propagated_deletes(X.contact_a(spark, d).where("k % 5 = 2"), X.links(spark, d))
 
 
-def _refused(spark: SparkSession, d: str) -> DataFrame:
+def _refused(spark: SparkSession, d: str, mail: str = "email", other: str = "phone") -> DataFrame:
     """Writes refused because another record holds a unique value: of the key field, of another one, held by the target itself, or another error."""
     k = F.col("k")
-    field = F.when(k % 4 == 1, "phone_no").when(k % 8 == 4, "Mail").otherwise("mail")
+    field = F.when(k % 4 == 1, other).when(k % 8 == 4, F.lit(mail if mail == "email" else mail.title())).otherwise(mail)
     holder = F.when(k % 4 == 2, F.concat(F.lit("b-"), k.cast("string"))).otherwise(F.concat(F.lit("x-"), k.cast("string")))
     said = F.when(k % 4 == 3, "Some other error").otherwise(F.concat(F.lit("Cannot set PropertyValueCoordinates{portalId=1, propertyName="), field, F.lit(", value=v"), k.cast("string"), F.lit("} on "), k.cast("string"), F.lit(". "), holder, F.lit(" already has that value.")))
     return X.contact_a(spark, d).select(F.col("id").alias("source_id"), F.concat(F.lit("b-"), k.cast("string")).alias("target_id"), F.to_json(F.struct(said.alias("message"))).alias("body"))
@@ -143,7 +143,7 @@ def _refused(spark: SparkSession, d: str) -> DataFrame:
 @_query(X.SQL + "SELECT id AS source_id, CASE WHEN k % 4 = 0 THEN 'x-' || k ELSE 'b-' || k END AS target_id, CASE WHEN k % 4 = 0 THEN 'relinked' ELSE 'error' END AS status FROM a")
 def self_heal_refused(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame([("email", "MAIL"), ("phone", "phone_no")], "canonical string, native string")
-    return R.retargeted(_refused(spark, d), ["email"], rules)
+    return R.retargeted(_refused(spark, d, "mail", "phone_no"), ["email"], rules)
 
 
 @_query(X.SQL + "SELECT id, concat_ws(',', CASE WHEN coalesce(email, '') = '' THEN 'email' END, CASE WHEN coalesce(title, '') = '' THEN 'title' END) AS missing FROM b WHERE coalesce(email, '') = '' OR coalesce(title, '') = ''")
