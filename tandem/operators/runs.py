@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.reconcile import drifted
@@ -126,3 +126,10 @@ def poll_summary(polls: DataFrame) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     each = polls.groupBy("type").agg(total("changed"), total("deleted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
     return each.unionByName(each.agg(F.lit(None).cast("string").alias("type"), *[total(c) for c in ("changed", "deleted", "errors")]))
+
+
+def audited(done: DataFrame, actor: str, action: str, at: Column, kind: str, id_col: str, detail: list[str]) -> DataFrame:
+    """Audit rows (actor, action, resource_type, resource_id, detail, at) of what has been done, to be appended under the run's name; detail is a JSON object of some columns."""
+    return done.select(
+        F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.lit(kind).alias("resource_type"), F.col(id_col).cast("string").alias("resource_id"), F.to_json(F.struct(*detail)).alias("detail"), at.alias("at"),
+    )

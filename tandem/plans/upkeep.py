@@ -12,9 +12,11 @@ from tandem.operators import polls as O
 from tandem.operators import predicates as P
 from tandem.operators import quality as Q
 from tandem.operators import reconcile as R
+from tandem.operators import runs as U
 from tandem.plans import fixtures as X
-from tandem.plans.catalog import _checkpoint, _query
+from tandem.plans.catalog import _checkpoint, _plans, _query
 from tandem.sources import stores
+from tandem.sources import versions as V
 
 # Polls
 
@@ -153,3 +155,14 @@ def preview_by_key(spark: SparkSession, d: str) -> DataFrame:
     links = a.where((k % 10 != 8) & (k % 4 == 1) & F.col("key").isNotNull()).select(text("old-").alias("source_id"), text("b-").alias("target_id"), F.lit(None).cast("string").alias("target_hash"), "key")
     found = R.preview(a.join(links.select("key"), "key", "left_semi"), X.contact_b(spark, d), links, X.FIELDS)
     return found.select("source_id", "action", "target_id")
+
+
+@_query(X.SQL + X.PLANS + """, done AS (SELECT source_id, action FROM p WHERE action IN ('create', 'update'))
+SELECT 'run.' || action AS action, source_id AS resource_id, '{"source_id":"' || source_id || '","action":"' || action || '"}' AS detail FROM done""")
+def audit_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of two runs, one of which is done again after a loss; a reader of the log sees each run once."""
+    at, plans = _checkpoint(spark), _plans(spark, d).select("source_id", "action")
+    for run in ("create", "update", "create"):
+        rows = U.audited(plans.where(F.col("action") == run), "operator", f"run.{run}", F.lit("2024-01-01").cast("timestamp"), "contact", "source_id", ["source_id", "action"])
+        V.append(rows, at, run)
+    return V.opened(spark, at).select("action", "resource_id", "detail")

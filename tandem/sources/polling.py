@@ -6,8 +6,9 @@ between the moment at which the last one began and the one at which it begins it
 change made during a poll is met by the next one. The first poll looks back a number of days. Spark's checkpoint keeps the moment, so a restart goes on where
 the last poll ended, and a batch that has to be done again reads the same span.
 
-Files are listed on the driver and read by tasks, one each; a task holds one row group at a time. Files whose statistics show that they hold no change in the
-span are skipped. Tasks open the files themselves, so the folder must be one that they reach by the same path.
+Files are listed on the driver, which opens none of them, and dealt to at most PARTS tasks. A task holds a few batches of one file at a time, and skips row
+groups whose statistics show that nothing in them passes, the span included. Tasks open the files themselves, so the folder must be one that they reach by the
+same path.
 """
 
 from __future__ import annotations
@@ -27,11 +28,20 @@ from pyspark.sql.types import StructType
 _COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
-class _File(InputPartition):
-    """One file and the span of change times that is asked for."""
+#: Most tasks of a poll.
+PARTS = 4096
 
-    def __init__(self, path: str, after: str | None = None, upto: str | None = None):
-        self.path, self.after, self.upto = path, after, upto
+
+class _Files(InputPartition):
+    """Files of one task and the span of change times that is asked for."""
+
+    def __init__(self, paths: list[str], after: str | None = None, upto: str | None = None):
+        self.paths, self.after, self.upto = paths, after, upto
+
+
+def _dealt(paths: list[str], after: str | None = None, upto: str | None = None) -> list[_Files]:
+    n = min(len(paths), PARTS)
+    return [_Files(paths[i::n], after, upto) for i in range(n)]
 
 
 def _dataset(path: str) -> ds.Dataset:
@@ -61,8 +71,11 @@ class _Reading:
     def files(self) -> list[str]:
         return sorted(_dataset(self.options["path"]).files)
 
-    def rows(self, part: _File) -> Iterator[pa.RecordBatch]:
-        data = _dataset(part.path)
+    def rows(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        for path in part.paths:
+            yield from self._rows(_dataset(path), part)
+
+    def _rows(self, data: ds.Dataset, part: _Files) -> Iterator[pa.RecordBatch]:
         kind = data.schema.field(self.column).type
         wanted = pc.scalar(True)
         for compare, column, value in self.conditions:
@@ -92,10 +105,10 @@ class _Reader(_Reading, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_File]:
-        return [_File(path) for path in self.files()]
+    def partitions(self) -> list[_Files]:
+        return _dealt(self.files())
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         yield from self.rows(partition)
 
 
@@ -111,17 +124,10 @@ class _StreamReader(_Reading, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"since": self._now().isoformat()}
 
-    def partitions(self, start: dict, end: dict) -> list[_File]:
-        return [_File(path, start["since"], end["since"]) for path in self.files() if self._touched(path, start["since"], end["since"])]
-
-    def _touched(self, path: str, after: str, upto: str) -> bool:
-        """Whether the statistics of a file leave room for a change in the span."""
-        data = _dataset(path)
-        kind = data.schema.field(self.column).type
-        wanted = (pc.field(self.column) >= _literal(_moment(after), kind)) & (pc.field(self.column) < _literal(_moment(upto), kind))
-        return any(list(f.split_by_row_group(wanted)) for f in data.get_fragments())
+    def partitions(self, start: dict, end: dict) -> list[_Files]:
+        return _dealt(self.files(), start["since"], end["since"])
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         yield from self.rows(partition)
 
     def commit(self, end: dict) -> None:

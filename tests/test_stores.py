@@ -31,15 +31,16 @@ def test_a_poll_reads_what_is_new_since_the_last_one_began(spark, tmp_path):
     assert polled(spark, path, log, out, 12) == ["r11", "r3", "r4", "r5", "r6", "r7", "r8"]
 
 
-def test_files_without_changes_in_the_span_are_skipped(spark, tmp_path):
+def test_files_are_dealt_to_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "table")
-    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")  # the old form has no statistics
     for d in (1, 5, 9):
         changes(spark, path, [d])
-    spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    monkeypatch.setattr(polling, "PARTS", 2)
     reader = polling.Polled({"path": path, "changed": "at"}).streamReader(spark.read.parquet(path).schema)
     span = [{"since": (DAY + datetime.timedelta(days=d)).isoformat()} for d in (4, 9)]
-    assert len(reader.partitions(*span)) == 1
+    parts = reader.partitions(*span)
+    assert sorted(len(p.paths) for p in parts) == [1, 2]
+    assert [x for p in parts for b in reader.read(p) for x in b.column("id").to_pylist()] == ["r5"]
 
 
 def test_comparisons_are_applied_by_the_source(spark, tmp_path):
