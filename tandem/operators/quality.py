@@ -135,6 +135,11 @@ def coverage_states(covered: DataFrame) -> DataFrame:
     return covered.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("not_started", "review", "complete")])
 
 
+def checked(issues: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The summary of a check: readiness, and how many fields were looked at."""
+    return readiness(issues).crossJoin(schemas.agg(F.count("*").alias("fields_checked")))  # one row each
+
+
 def readiness(issues: DataFrame) -> DataFrame:
     """Errors block, warnings ask for review, otherwise the run is ready."""
     errors, warnings = F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")

@@ -15,6 +15,7 @@ from tandem.operators import reconcile as R
 from tandem.operators import runs as U
 from tandem.plans import fixtures as X
 from tandem.plans.catalog import _checkpoint, _plans, _query
+from tandem.sources import discovery as D
 from tandem.sources import stores
 from tandem.sources import versions as V
 
@@ -166,3 +167,34 @@ def audit_appended(spark: SparkSession, d: str) -> DataFrame:
         rows = U.audited(plans.where(F.col("action") == run), "operator", f"run.{run}", F.lit("2024-01-01").cast("timestamp"), "contact", "source_id", ["source_id", "action"])
         V.append(rows, at, run)
     return V.opened(spark, at).select("action", "resource_id", "detail")
+
+
+_POSTED = """
+WITH e AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'Contact' WHEN 1 THEN 'Account' WHEN 2 THEN 'Deal' ELSE 'Unknown' END AS object, 'r' || user_id AS record, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'view' THEN 'updated' END AS change,
+    strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at_, user_id, date_trunc('second', ts) AS moment FROM events),
+t AS (SELECT *, CASE object WHEN 'Contact' THEN 'contact' WHEN 'Deal' THEN 'deal' WHEN 'Account' THEN CASE WHEN user_id % 3 = 0 THEN 'company' WHEN user_id % 3 = 1 THEN 'person' END END AS type FROM e)
+SELECT 'a:' || sha256(object || ':' || record || ':' || coalesce(change, '') || ':' || at_) AS event_key, type, record AS source_id, coalesce(change, 'updated') AS change, epoch_ms(moment) AS millis FROM t WHERE type IS NOT NULL
+"""
+
+
+@_query(_POSTED)
+def posted_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events posted a hundred a body; the accounts among them are companies or persons, by what their record is."""
+    e, user = stores.read(spark, d, "events", ["event_id", "user_id", "ts", "event_type"]), F.col("user_id")
+    kind, at = F.col("event_type"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    object_ = F.when(user % 4 == 0, "Contact").when(user % 4 == 1, "Account").when(user % 4 == 2, "Deal").otherwise("Unknown")
+    change = F.when(kind == "signup", "created").when(kind == "error", "deleted").when(kind == "view", "updated")
+    record = F.concat(F.lit("r"), user.cast("string"))
+    event = F.struct(object_.alias("sobject"), record.alias("recordId"), change.alias("changeType"), at.alias("occurredAt"))
+    posts = e.groupBy(F.floor(F.col("event_id") / 100)).agg(F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("body"))
+    types = spark.createDataFrame([("Contact", "contact"), ("Account", "company"), ("Account", "person"), ("Deal", "deal")], "object_id string, type string")
+    now = e.where(user % 4 == 1).select(F.lit("Account").alias("object_id"), record.alias("source_id"), F.when(user % 3 == 0, "company").when(user % 3 == 1, "person").alias("type")).distinct()
+    found = D.posted_changes(posts, types, "a", now)
+    return found.select("event_key", "type", "source_id", "change", F.unix_millis("occurred_at").alias("millis"))
+
+
+@_query("SELECT count(*) FILTER (p_size % 10 = 0) AS errors, count(*) FILTER (p_size % 10 = 1) AS warnings, count(*) FILTER (p_size % 10 = 0) = 0 AS ok, CASE WHEN count(*) FILTER (p_size % 10 = 0) > 0 THEN 'blocked' WHEN count(*) FILTER (p_size % 10 = 1) > 0 THEN 'review_required' ELSE 'ready' END AS readiness, count(*) AS fields_checked FROM part")
+def fields_checked(spark: SparkSession, d: str) -> DataFrame:
+    parts = stores.read(spark, d, "part", ["p_partkey", "p_size"])
+    issues = parts.where("p_size % 10 < 2").select(F.when(F.col("p_size") % 10 == 0, "error").otherwise("warning").alias("severity"))
+    return Q.checked(issues, parts)

@@ -42,6 +42,27 @@ def posted_events(posts: DataFrame, types: DataFrame, system: str) -> DataFrame:
     return found.select(F.concat(F.lit(f"{system}:"), F.sha2(identity, 256)).alias("event_key"), "type", F.col("objectId").cast("string").alias("source_id"), change.alias("change"), F.coalesce(F.timestamp_millis("occurredAt"), F.current_timestamp()).alias("occurred_at"))
 
 
+def posted_changes(posts: DataFrame, types: DataFrame, system: str, resolved: DataFrame | None = None) -> DataFrame:
+    """Change events of posted bodies (column body): JSON objects with a list of events, each naming its object, record, change and time.
+
+    types: (object_id, type). An object of several types is told apart by resolved (object_id, source_id, type), what its record is now; without that, or without a
+    type, the event goes. One that names no change is an update, one without a time has happened now; an event is known by a hash of what it says.
+    """
+    schema = "events array<struct<sobject:string,recordId:string,changeType:string,occurredAt:string>>"
+    rows = posts.select(F.inline(F.from_json("body", schema)["events"])).where(F.col("recordId").isNotNull())
+    said = [F.coalesce(F.col(c), F.lit("")) for c in ("sobject", "recordId", "changeType", "occurredAt")]
+    each = types.groupBy("object_id").agg(F.count_distinct("type").alias("_n"), F.min("type").alias("_only"))
+    found = rows.join(each, rows["sobject"] == each["object_id"])
+    if resolved is None:
+        found = found.withColumn("type", F.when(F.col("_n") == 1, F.col("_only")))
+    else:
+        now = resolved.select(F.col("object_id").alias("sobject"), F.col("source_id").alias("recordId"), F.col("type").alias("_now"))
+        found = found.join(now, ["sobject", "recordId"], "left").withColumn("type", F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_now")))
+    key = F.concat(F.lit(f"{system}:"), F.sha2(F.concat_ws(":", *said), 256))
+    moment = F.coalesce(F.col("occurredAt").try_cast("timestamp"), F.current_timestamp())
+    return found.where("type IS NOT NULL").select(key.alias("event_key"), "type", F.col("recordId").alias("source_id"), F.coalesce("changeType", F.lit("updated")).alias("change"), moment.alias("occurred_at"))
+
+
 def polled_changes(rows: DataFrame, system: str, type_: str, id_col: str, changed: str, deleted: bool = False) -> DataFrame:
     """Change events of rows that a poll has found changed, or deleted: known by what and when, so that what two polls meet is one event."""
     iso = F.date_format(F.to_utc_timestamp(changed, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

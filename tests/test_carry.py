@@ -137,3 +137,14 @@ def test_nothing_and_unknown_strategies(spark):
     assert C.reconciled(a, b, links, FIELDS).collect() == []
     with pytest.raises(ValueError):
         C.reconciled(a, b, links, FIELDS, "coin-toss")
+
+
+def test_a_key_with_very_many_records(spark):
+    """All of one key: the first finds the only target, each later one what the one before has left."""
+    rng = random.Random(9)
+    source = [dict(id=f"a{i:05}", key="p", email=rng.choice(["x", "y", None]), phone="1", modified=datetime.datetime(2024, 1, 1)) for i in range(3000)]
+    target = [dict(id="b1", key="p", email="z", phone="9", modified=datetime.datetime(2024, 2, 1))]
+    done = C.reconciled(*frames(spark, source, target, []), FIELDS, required=["email"], at=F.lit(AT)).collect()
+    want = loop(source, target, [], "last-write-wins", "a", {}, ["email"])
+    assert {r.source_id: r.status for r in done} == {i: w[0] for i, w in want.items()}
+    assert {r.source_id: (r.target_hash, r.link_id) for r in done if r.status == "written"} == {i: w[-2:] for i, w in want.items() if w[0] == "written"}
