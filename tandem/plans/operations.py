@@ -17,7 +17,7 @@ from tandem.operators import reconcile as R
 from tandem.operators import runs as U
 from tandem.operators import settings as T
 from tandem.plans import fixtures as X
-from tandem.plans.catalog import _META, _checkpoint, _plans, _query, _rules, _values
+from tandem.plans.catalog import _META, _checkpoint, _plans, _query
 from tandem.sources import discovery as D
 from tandem.sources import stores
 from tandem.streaming import events as E
