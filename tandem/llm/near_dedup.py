@@ -11,8 +11,9 @@ only name components, so rows that share an id but not a set are apart.
    set sizes; what is far below the threshold goes, the rest is verified on full sets. Links give components.
 3. Buckets that still hold several components may hide links between vertices that were not paired. All their vertices
    go through an exact prefix-filter join: two sets of similarity t share one of their (1 - t) rarest shingles, and the
-   first that they share leaves enough behind it in both. Pairs between components are verified, and components
-   taken again.
+   first that they share leaves enough behind it in both. Of a shingle with many holders, those outside its main component are
+   first compared with that component in blocks, which write links only, and components are taken again; then the pairs between
+   other components are verified, and components taken once more.
 
 With 4 registers in each of 32 bands, two sets of similarity 0.8 meet in no bucket with a chance of 4 in 10**8.
 
@@ -41,6 +42,8 @@ WIDTH, BANDS = 4, 32
 REGISTERS = WIDTH * BANDS
 #: Holders of a rare shingle that one task compares with all of them.
 PART = 256
+#: Holders above which a shingle's main component is compared in blocks; shingles of either side of a block; passes over them.
+HOT, BLOCK, PASSES = 64, 2**16, 4
 #: How far below the threshold an estimate may lie: five standard deviations of it at 0.8.
 SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 
@@ -150,8 +153,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return map_arrow(both.select("a", "b", "ta", "tb"), run, f"a {kind}, b {kind}")
 
 
-def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of different components among labels (id, component) that share one of their rarest shingles: all that can be linked."""
+def rare_prefixes(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component, n, s, at): the rarest shingles s of the sets in labels (id, component), by their place, where several components share one."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +174,64 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
     shared = rows.groupBy("id").agg(F.count("*").alias("all")).join(counted.groupBy("id").agg(F.count("*").alias("known")), "id").select("id", (F.col("all") - F.col("known")).alias("alone"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = counted.join(shared, "id").withColumn("at", F.col("place") + F.col("alone")).where(F.col("at") <= prefix).select("id", "component", "n", "s", "at")
-    mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / PART).alias("parts")).where("x <> y").select("s", "parts")
-    kept = save(kept.join(mixed, "s"), "rare-prefixes")
+    mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    return save(kept.join(mixed, "s"), "rare-prefixes")
+
+
+def main_components(kept: DataFrame) -> DataFrame:
+    """(s, parts, main) of the shingles that several components hold: main is the one with the most holders, if s has more than HOT of them."""
+    held = kept.groupBy("s", "component").agg(F.count("*").alias("held"))
+    most = held.groupBy("s").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("all"), F.count("*").alias("mixed")).where("mixed > 1")
+    return most.select("s", F.ceil(F.col("all") / PART).alias("parts"), F.when(F.col("all") > HOT, F.col("most.component")).alias("main"))
+
+
+def links_to_main(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the holders of a frequent shingle and its main component, at most one for each a and block of the component.
+
+    The members of the component and the others meet in blocks of bounded size, where their sets are compared; no pair is written
+    unless it is a link.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    hot = save(kept.join(main_components(kept).where(F.col("main").isNotNull()), "s").select("id", "component", "n", "main").distinct(), "near-frequent")
+    inside = F.col("component") == F.col("main")
+    counts = hot.groupBy("main").agg(F.ceil(F.sum(F.when(inside, F.col("n"))) / BLOCK).alias("parts"), F.ceil(F.sum(F.when(~inside, F.col("n"))) / BLOCK).alias("turns"))
+    hot = hot.join(counts, "main")
+    own = lambda c: F.pmod(F.xxhash64("id"), c)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = hot.where(inside).select("id", "main", own("parts").alias("part"), every("turns").alias("turn")).join(texts, "id")
+    others = hot.where(~inside).select("id", "main", own("turns").alias("turn"), every("parts").alias("part")).join(texts, "id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["id"].to_pylist()
+        sets = shingle_sets(left["text"].cast(pa.binary()).to_pylist(), k)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        values, owners = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        a, b = [], []
+        for id_, text in zip(right["b"].to_pylist(), right["text_b"].cast(pa.binary()).to_pylist()):
+            found = shingle_sets([text], k)[0]
+            low, high = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+            runs = high - low
+            at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            common = np.bincount(owners[at], minlength=len(sets))
+            good = np.flatnonzero(100 * common >= percent * (sizes + len(found) - common)) if len(sets) else []
+            if len(good):
+                a.append(id_)
+                b.append(ids[good[0]])
+        return pa.table([pa.array(a, left.schema.field("id").type), pa.array(b, left.schema.field("id").type)], names=["a", "b"])
+
+    left = members.select("main", "part", "turn", "id", "text").groupBy("main", "part", "turn")
+    right = others.select("main", "part", "turn", "id", "text").toDF("main_b", "part_b", "turn_b", "b", "text_b").groupBy("main_b", "part_b", "turn_b")
+    return left.cogroup(right).applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def rare_pairs(kept: DataFrame, percent: int, compared: bool) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles: all that can be linked, without those that
+    links_to_main has compared."""
+    kept = kept.join(main_components(kept), "s")
+    if compared:
+        kept = kept.where(F.col("main").isNull() | (F.col("main") != F.col("component")))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at")]
     one = kept.select("s", F.pmod(F.xxhash64("id"), "parts").alias("part"), *side("a"))
     two = kept.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *side("b"))
@@ -183,6 +242,28 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, k: int, percent: int) -> Dat
     return one.join(two, ["s", "part"]).where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (id, component, ...) with the components of labels (id, component)."""
+    others = [c for c in rows.columns if c not in ("id", "component")]
+    return rows.withColumnRenamed("component", "_old").join(labels, "id", "left").select("id", F.coalesce("component", "_old").alias("component"), *others)
+
+
+def rest_of_links(links: DataFrame, labels: DataFrame, open_: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component) by links and by all links between components of the open vertices (id, component)."""
+    kept = rare_prefixes(texts, open_, k, percent)
+    compared = False
+    for _ in range(PASSES):
+        found = save(links_to_main(kept, texts, k, percent), "near-links")
+        compared = found.isEmpty()
+        if compared:
+            break
+        links = save(links.union(found), "near-links")
+        labels = save(components(links), "near-labels")
+        kept = save(relabelled(kept, labels), "rare-prefixes")
+    more = save(verified(likely(rare_pairs(kept, percent, compared), nodes, percent / 100), texts, k, percent), "near-links")
+    return labels if more.isEmpty() else save(components(links.union(more)), "near-labels")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: (_id, n_shingles, component_id, kept), linked at 100 x intersection >= percent x union; component_id is the smallest id reachable, null if that is null."""
     lowest = lowest_id(docs, id_col)
@@ -203,8 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = buckets.select("bucket", F.col("b").alias("id")).join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_ = save(named.join(mixed, "bucket").select("id", "component").distinct(), "near-open")
-    more = verified(likely(rare_pairs(texts, open_, k, percent), nodes, percent / 100), texts, k, percent)
-    labels = save(components(links.union(more)), "near-labels")
+    labels = rest_of_links(links, labels, open_, texts, nodes, k, percent)
     linked = labels.join(nodes.select("id", "_id"), "id")
     names = linked.groupBy("component").agg(F.min("_id").alias("name"))
     named = linked.join(names, "component").select("id", "name")

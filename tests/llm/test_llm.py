@@ -148,7 +148,11 @@ def test_near_duplicates_are_those_of_brute_force(spark, docs):
     assert found == brute_components([(r.doc_id, r.text) for r in docs.collect()], 4)
 
 
-def test_near_copies_that_do_not_all_link(spark):
+@pytest.mark.parametrize("hot, block, passes", [(64, 2**16, 4), (3, 700, 4), (3, 2000, 1)])
+def test_near_copies_that_do_not_all_link(spark, monkeypatch, hot, block, passes):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PASSES", passes)
     rng = np.random.default_rng(2)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -162,6 +166,28 @@ def test_near_copies_that_do_not_all_link(spark):
     assert found == brute_components(rows, 4)
 
 
+def test_frequent_shingles_give_links_without_pairs(spark, monkeypatch):
+    """Of 400 near copies, those outside the largest component write few pairs: the count does not follow its size."""
+    pairs, find = [], near_dedup.rare_pairs
+
+    def counted(kept, *more):
+        pairs.append((find(kept, *more).count(), find(kept, more[0], False).count()))
+        return find(kept, *more)
+
+    monkeypatch.setattr(near_dedup, "rare_pairs", counted)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        words = [f"b{j}" for j in range(120)]
+        for p in rng.choice(120, rng.choice([1, 2, 3, 4, 5, 7]), replace=False):
+            words[p] = f"e{rng.integers(40)}"
+        rows.append((i, " ".join(words)))
+    found = {r["_id"]: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert found == brute_components(rows, 4)
+    few, all_ = pairs[0]
+    assert few < 400 and few <= all_
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = near_dedup.keep_first(odd)
     assert found.columns == odd.columns
