@@ -18,7 +18,7 @@ Null, empty and text-free pages give an empty text. Repeated rows are extracted
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -69,13 +69,22 @@ class Element:
     kind: int
     hidden: bool
     number: int
+    #: Of this element and those around it: how many have a kind, names of content, tags and names of boilerplate, headers.
+    walls: int = 0
+    within: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    #: What they tell together, see placed(); the place on the stack of the innermost block element.
+    told: tuple[float, float, float, float, float, float] = (0.0,) * 6
+    block: int = -1
 
 
 @dataclass
 class Block:
     """A stretch of text between block boundaries."""
 
-    path: tuple[Element, ...]
+    path: tuple[Element, ...]  # the innermost three
+    depth: int = 0
+    shared: int = 0  # elements around both this block and the one before, and how many of them have a kind
+    shared_walls: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -92,7 +101,9 @@ def _element(tag: str, attributes: str, number: int) -> Element:
     hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
     bad_names = COMMENT_NAMES if tag in GOOD_TAGS or role in ("main", "article") else BAD_NAMES
     if tag in BAD_TAGS or role in BAD_ROLES or bad_names.search(label) and tag not in ("html", "body"):
-        kind = -1 if tag in BAD_TAGS or role in BAD_ROLES else -2
+        # A name of content of its own beside one of boilerplate ("post share") says nothing either way: the text inside decides.
+        torn = not COMMENT_NAMES.search(label) and any(GOOD_NAMES.search(x) and not BAD_NAMES.search(x) for x in label.split())
+        kind = -1 if tag in BAD_TAGS or role in BAD_ROLES else 0 if torn else -2
     elif tag in GOOD_TAGS or role in ("main", "article") or named.get("itemprop") == "articleBody":
         kind = 2
     else:
@@ -100,21 +111,50 @@ def _element(tag: str, attributes: str, number: int) -> Element:
     return Element(tag, kind, hidden, number)
 
 
+def placed(e: Element, stack: list[Element]) -> Element:
+    """e with what it and the elements around it tell: (bad tag, bad name, header, good tag, good name, something bad outside a good tag)."""
+    around = stack[-1] if stack else Element("", 0, False, 0)
+    e.hidden, e.walls = e.hidden or around.hidden, around.walls + (e.kind != 0)
+    e.block = len(stack) if e.tag in BLOCKS else around.block
+    name, bad_tag, bad_name, header = around.within
+    head = e.kind < 0 and e.tag == "header"
+    if head:
+        e.told = (*around.told[:2], 1.0, *around.told[3:])
+    elif e.kind < 0:
+        e.told = (max(bad_tag, float(e.kind == -1)), max(bad_name, float(e.kind == -2)), header, 0.0, 0.0, 0.0)
+    elif e.kind == 2:
+        e.told = (0.0, 0.0, 0.0, 1.0, name, max(bad_tag, bad_name, header))
+    else:
+        e.told = (*around.told[:4], 1.0, around.told[5]) if e.kind == 1 else around.told
+    bad = e.kind < 0 and not head
+    e.within = (max(name, float(e.kind == 1)), max(bad_tag, float(bad and e.kind == -1)), max(bad_name, float(bad and e.kind == -2)), max(header, float(head)))
+    return e
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that hold text."""
     stack: list[Element] = []
     out: list[Block] = []
     now: Block | None = None
     at, number, links = 0, 0, 0
+    low = 0  # the least depth of the stack since the last block began
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        nonlocal low
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+        low = min(low, i)
 
     def text(raw: str) -> None:
-        nonlocal now
+        nonlocal now, low
         if not raw:
             return
         if now is None:
             if raw.isspace():
                 return
-            now = Block(tuple(stack))
+            now = Block(tuple(stack[-3:]), len(stack), low, stack[low - 1].walls if low else 0)
+            low = len(stack)
             out.append(now)
         decoded = unescape(raw) if "&" in raw else raw
         now.parts.append(decoded)
@@ -137,62 +177,56 @@ def blocks(html: str) -> list[Block]:
                 now = None
             if tag == "a":
                 links = max(links - 1, 0)
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break  # the end of an inline element does not close a block
             continue
         if tag in BLOCKS:
             now = None
-            if stack and tag not in ("html", "body"):
-                _close_implied(stack, tag)
+            if stack and tag not in ("html", "body") and (i := _ended(stack, tag)) >= 0:
+                close(i)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+            at = end.end() if end else len(html)
         elif tag == "br":
             text(" ")
         elif tag not in EMPTY:
             number += 1
             if tag in BLOCKS or tag in BAD_TAGS or "=" in (m["attributes"] or m["attributes2"] or ""):
-                stack.append(_element(tag, m["attributes"] or m["attributes2"] or "", number))
+                stack.append(placed(_element(tag, m["attributes"] or m["attributes2"] or "", number), stack))
             else:
-                stack.append(Element(tag, 0, False, number))
+                stack.append(placed(Element(tag, 0, False, number), stack))
+            opened[tag] += 1
             links += tag == "a"
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text and not any(e.hidden for e in b.path)]
+    kept: list[Block] = []
+    shared = None  # with the last block kept, over those left out
+    for b in out:
+        shared = (b.shared, b.shared_walls) if shared is None else min(shared, (b.shared, b.shared_walls))
+        if b.text and not (b.path and b.path[-1].hidden):
+            b.shared, b.shared_walls = shared
+            kept.append(b)
+            shared = None
+    return kept
 
 
-def _close_implied(stack: list[Element], tag: str) -> None:
-    """Ends a paragraph, item, row or cell that the start of a block ends."""
+def _ended(stack: list[Element], tag: str) -> int:
+    """The place of the paragraph, item, row or cell that the start of a block ends, or -1."""
     ended = {"p"} | ({tag} if tag in ("li", "tr", "option") else {"td", "th"} if tag in ("td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else set())
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].tag in ended:
-            del stack[i:]
-            return
-        if stack[i].tag in BLOCKS and stack[i].tag not in ended:
-            return
+    i = stack[-1].block
+    return i if i >= 0 and stack[i].tag in ended else -1
 
 
 def _own(b: Block) -> list[float]:
     """Features of a block by itself."""
     words = b.text.count(" ") + 1
     density = min(b.linked / max(len(b.text) - words + 1, 1), 1.0)
-    tags = {e.tag for e in b.path[-3:]}
-    bad_tag = bad_name = header = good_tag = good_name = outer = 0.0
-    for e in reversed(b.path):
-        if e.kind < 0 and good_tag:
-            outer = 1.0
-        elif e.kind < 0 and e.tag == "header":
-            header = 1.0
-        elif e.kind < 0:
-            bad_tag, bad_name = max(bad_tag, float(e.kind == -1)), max(bad_name, float(e.kind == -2))
-        elif e.kind == 2:
-            good_tag = float(not (bad_tag or bad_name))
-        elif e.kind == 1 and not (bad_tag or bad_name):
-            good_name = 1.0
+    tags = {e.tag for e in b.path}
+    bad_tag, bad_name, header, good_tag, good_name, outer = b.path[-1].told if b.path else (0.0,) * 6
     sentence = float(words >= 8 and b.text[-1] in ".!?…。！？")
     return [
         float(np.log1p(words)) / 3, sentence, density, float(density > 0.9), float(bool(tags & HEADINGS)), float("p" in tags), float("li" in tags), float(bool(tags & CELLS)),
@@ -239,14 +273,9 @@ def costs(found: list[Block], weights: np.ndarray) -> list[float]:
 
 
 def proximity(a: Block, b: Block) -> float:
-    """The smoothness between two blocks: by how far up the tree their paths meet, and whether a wall stands between."""
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x is not y:
-            break
-        shared += 1
-    up = max(len(a.path), len(b.path)) - shared
-    wall = any(e.kind for e in a.path[shared:]) or any(e.kind for e in b.path[shared:])
+    """The smoothness between a block and the next: by how far up the tree their paths meet, and whether a wall stands between."""
+    up = max(a.depth, b.depth) - b.shared
+    wall = any(x.path and x.path[-1].walls > b.shared_walls for x in (a, b))
     return PROXIMITY[min(max(up - 1, 0), len(PROXIMITY) - 1)] * (WALL if wall else 1.0)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -365,6 +366,21 @@ def test_names_that_tell_what_a_page_has():
     assert html_text.main_text(page) == "Title of it\nA paragraph of the article, with words enough to count."
 
 
+def test_names_of_content_and_boilerplate_on_one_element():
+    text = "A long text of the article, which has words enough to stand for itself and is not a menu at all."
+    page = f"<body><nav><a href=x>Home</a></nav><div class='post share'><h1>Title</h1><p>{text}</p><p>{text}</p></div><div class=post-share><a href=x>Share</a></div><div class='post comments'><p>{text} Said a reader.</p></div></body>"
+    assert html_text.main_text(page) == f"Title\n{text}\n{text}"
+
+
+def test_deep_pages_take_time_in_proportion():
+    """50,000 blocks, each inside all before it: what a block keeps does not grow with its depth."""
+    html = "<article>" + "".join(f"<div>Paragraph {i} of a page whose containers are never closed.</section>" for i in range(50_000)) + "</article>"
+    start = time.time()
+    found = html_text.blocks(html)
+    assert len(found) == 50_000 and found[-1].depth == 50_001 and all(len(b.path) <= 3 for b in found)
+    assert html_text.main_text(html).count("\n") == 49_999 and time.time() - start < 60
+
+
 def test_long_and_repeated_pages(spark):
     body = "".join(f"<p>Paragraph {i} of a very long page, which is kept whole.</p>" for i in range(20_000))
     html = f"<body><nav><a href=x>Home</a></nav><article>{body}</article><footer>us</footer></body>"
