@@ -494,8 +494,10 @@ def _signals(events: DataFrame) -> DataFrame:
 def stream_job_states(spark: SparkSession, d: str) -> DataFrame:
     at = _checkpoint(spark)
     states = JS.job_states(E.event_stream(spark, d, "events", _signals))
-    states.writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{at}/states")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    last = F.max_by(F.struct("status", "attempts"), "seq").alias("l")  # the newest row of a job is its state
+    with JS.on_disk(spark):
+        numbered = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/states")
+        states.writeStream.outputMode("update").foreachBatch(numbered).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    last = F.max_by(F.struct("status", "attempts"), "batch").alias("l")  # the newest row of a job is its state
     return spark.read.parquet(f"{at}/states").groupBy("event_key").agg(last).select("event_key", "l.*")
 
 

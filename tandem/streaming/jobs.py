@@ -15,10 +15,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "status string, attempts int, next_attempt_at long, locked_at long, deletion boolean"
@@ -77,22 +79,31 @@ def deadline(job: Job, lease: int = LEASE) -> int | None:
 
 
 def job_states(signals: DataFrame, delete_policy: str = "manual-review", max_attempts: int = 8) -> DataFrame:
-    """(event_key, seq, status, attempts, next_attempt_at): the state of each job after the last of its signals in a batch.
+    """(event_key, seq, status, attempts, next_attempt_at): the state of each job after the last of its signals so far, for the jobs that a batch names.
 
-    signals: a stream of (event_key, seq, signal, at), at in milliseconds; seq orders the signals of a job.
+    signals: a stream of (event_key, seq, signal, at), at in milliseconds; seq orders the signals of a job, in whatever batches they come. The state holds the
+    signals of each job, each once however often it is delivered; they are gathered by an aggregation that needs no call per job, and read as columns.
+    Best with a state store on disk (see on_disk).
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = Job(*state.get) if state.exists else Job()
-        rows = pd.concat(list(batches)).sort_values("seq")  # the signals of one job in one batch
-        for signal, at in zip(rows["signal"], rows["at"]):
-            now = moved(now, signal, int(at), delete_policy, max_attempts)
-        if now.status is not None:
-            state.update(tuple(now))
-            yield pd.DataFrame({"event_key": [key[0]], "seq": [int(rows["seq"].iloc[-1])], "status": [now.status], "attempts": [now.attempts], "next_attempt_at": pd.array([now.due], dtype="Int64")})
-
-    out = "event_key string, seq long, status string, attempts int, next_attempt_at long"
-    return signals.groupBy("event_key").applyInPandasWithState(run, out, STATE, "update", GroupStateTimeout.NoTimeout)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column("signals")
+            signs, ends = given.flatten(), np.cumsum(pc.list_value_length(given).to_numpy(zero_copy_only=False)).tolist()
+            seqs, names, ats = (signs.field(c).to_pylist() for c in ("seq", "signal", "at"))
+            done, begin = [], 0
+            for key, end in zip(batch.column("event_key").to_pylist(), ends):
+                now = Job()
+                for i in range(begin, end):
+                    now = moved(now, names[i], ats[i], delete_policy, max_attempts)
+                if now.status is not None:
+                    done.append((key, seqs[end - 1], now.status, now.attempts, now.due))
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["event_key", "seq", "status", "attempts", "next_attempt_at"])
+
+    told = F.struct(F.col("seq").cast("long").alias("seq"), "signal", F.col("at").cast("long").alias("at"))
+    known = signals.groupBy(F.col("event_key").cast("string").alias("event_key")).agg(F.sort_array(F.collect_set(told)).alias("signals"))
+    return known.mapInArrow(run, "event_key string, seq long, status string, attempts int, next_attempt_at long")
 
 
 class _Timed(StatefulProcessor):
@@ -144,12 +155,22 @@ def timed_states(signals: DataFrame, delete_policy: str = "manual-review", max_a
 
 
 @contextmanager
-def timers(spark: SparkSession):
-    """Streams started in here keep their state in RocksDB, which timers need."""
-    name, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
+def on_disk(spark: SparkSession):
+    """Streams started in here keep their state in RocksDB, within a bound of memory for each executor; each batch saves what has changed."""
+    store = "spark.sql.streaming.stateStore"
+    new = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.boundedMemoryUsage": "true",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+#: Timers need such a store.
+timers = on_disk
