@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -107,7 +107,10 @@ def job_states(signals: DataFrame, delete_policy: str = "manual-review", max_att
 
 
 class _Timed(StatefulProcessor):
-    """Keeps a job and one timer for its deadline. What time has done is worked out to the moment of a signal, or to the watermark, whichever timer fires late."""
+    """Keeps a job and one timer for its deadline. What time has done is worked out to the moment of a signal, or to the watermark, whichever timer fires late.
+
+    A job is asked for once and written once in a call, and its timer is told from it, since each question to the state is a round trip.
+    """
 
     def __init__(self, delete_policy: str, max_attempts: int, lease: int):
         self.delete_policy, self.max_attempts, self.lease = delete_policy, max_attempts, lease
@@ -116,28 +119,31 @@ class _Timed(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", STATE)
 
-    def _kept(self, key: tuple, job: Job, cause: str, seq: int, at: int) -> pd.DataFrame:
-        for old in list(self.handle.listTimers()):
+    def _kept(self, key: tuple, before: Job, job: Job, cause: str, seq: int | None, at: int) -> Row:
+        old, due = deadline(before, self.lease), deadline(job, self.lease)
+        if old is not None and old != due:
             self.handle.deleteTimer(old)
-        if job.status is not None:
+        if due is not None and old != due:
+            self.handle.registerTimer(due)
+        if job != before:
             self.job.update(tuple(job))
-            if (due := deadline(job, self.lease)) is not None:
-                self.handle.registerTimer(due)
-        ints = lambda v: pd.array([v], dtype="Int64")
-        return pd.DataFrame({"event_key": [key[0]], "seq": ints(seq), "at": ints(at), "cause": [cause], "status": [job.status], "attempts": ints(job.attempts), "next_attempt_at": ints(job.due), "locked_at": ints(job.locked)})
+        return Row(event_key=key[0], seq=seq, at=at, cause=cause, status=job.status, attempts=job.attempts, next_attempt_at=job.due, locked_at=job.locked)
 
     def handleInputRows(self, key, rows, timerValues):
-        job = Job(*self.job.get()) if self.job.exists() else Job()
-        signals = pd.concat(list(rows)).sort_values(["at", "seq"])  # the signals of one job in one batch
-        for signal, at in zip(signals["signal"], signals["at"]):
-            job = moved(elapsed(job, int(at), self.lease), signal, int(at), self.delete_policy, self.max_attempts)
-        yield self._kept(key, job, "signal", int(signals["seq"].iloc[-1]), int(signals["at"].iloc[-1]))
+        before = job = Job(*(self.job.get() or ()))
+        signals = sorted(((r.at, r.seq, r.signal) for r in rows), key=itemgetter(0, 1))  # the signals of one job in one batch
+        for at, _, signal in signals:
+            job = moved(elapsed(job, at, self.lease), signal, at, self.delete_policy, self.max_attempts)
+        yield self._kept(key, before, job, "signal", signals[-1][1], signals[-1][0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         before = Job(*self.job.get())
-        if elapsed(before, now, self.lease) != before:
-            yield self._kept(key, elapsed(before, now, self.lease), "timer", None, now)
+        job = elapsed(before, now, self.lease)
+        if job != before:
+            yield self._kept(key, before, job, "timer", None, now)
+        elif (due := deadline(job, self.lease)) is not None:
+            self.handle.registerTimer(due)  # the lease has been changed since
 
     def close(self) -> None:
         pass
@@ -151,7 +157,7 @@ def timed_states(signals: DataFrame, delete_policy: str = "manual-review", max_a
     """
     moments = signals.withColumn("moment", F.timestamp_millis("at")).withWatermark("moment", delay)
     out = "event_key string, seq long, at long, cause string, status string, attempts int, next_attempt_at long, locked_at long"
-    return moments.groupBy("event_key").transformWithStateInPandas(_Timed(delete_policy, max_attempts, lease), out, "append", "eventTime")
+    return moments.groupBy("event_key").transformWithState(_Timed(delete_policy, max_attempts, lease), out, "append", "eventTime")
 
 
 @contextmanager

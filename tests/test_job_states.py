@@ -1,5 +1,6 @@
 """Jobs moved by signals over several batches."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tandem.streaming import jobs as JS
@@ -40,3 +41,46 @@ def test_no_call_for_each_job(spark, tmp_path):
     spark.createDataFrame([], SIGNAL).write.parquet(str(tmp_path / "signals"))
     plan = JS.job_states(spark.readStream.schema(SIGNAL).parquet(str(tmp_path / "signals")))._jdf.queryExecution().analyzed().toString()
     assert "MapInArrow" in plan and "WithState" not in plan
+
+
+class Asked:
+    """A state and its timers, which count what they are asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def answer(*args):
+            self.asked.append(name)
+            return {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name](*args)
+
+        return answer
+
+
+class Watermark:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_a_timed_job_asks_its_state_little():
+    state = Asked()
+    told = lambda lease, *signals: list(JS._Timed.handleInputRows(processor(lease), ("j",), (Row(event_key="j", seq=n, signal=s, at=at) for n, s, at in signals), None))
+
+    def processor(lease):
+        timed = JS._Timed("manual-review", 8, lease)
+        timed.init(state)
+        return timed
+
+    (row,) = told(100, (1, "fail", 20), (0, "enqueue", 10))
+    assert (row.seq, row.status, row.attempts, row.next_attempt_at) == (1, "retry", 1, 520) and state.timers == {520}
+    assert state.asked == ["get", "registerTimer", "update"]
+    told(100, (2, "claim", 30))  # too early: nothing changes, nothing is written
+    assert state.asked[3:] == ["get"] and state.timers == {520}
+    (row,) = told(100, (3, "claim", 530))
+    assert (row.status, row.locked_at) == ("processing", 520) and state.timers == {620}
+    assert list(processor(1000).handleExpiredTimer(("j",), Watermark(700), None)) == [] and 1520 in state.timers  # a longer lease since the timer was set
+    (row,) = processor(1000).handleExpiredTimer(("j",), Watermark(1600), None)
+    assert (row.attempts, row.locked_at, row.cause) == (3, 1520, "timer") and 2520 in state.timers
