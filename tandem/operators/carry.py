@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -147,6 +149,22 @@ class _Known:
         self.by_key |= dict.fromkeys(link["keys"], link["link_id"])
 
 
+def _plain(column: pa.Array) -> list:
+    """The same as to_pylist, column by column instead of value by value."""
+    if pa.types.is_struct(column.type):
+        names, there = [f.name for f in column.type], column.is_valid().to_pylist()
+        if not names:
+            return column.to_pylist()
+        return [dict(zip(names, row)) if ok else None for ok, row in zip(there, zip(*map(_plain, column.flatten())))]
+    if pa.types.is_list(column.type):
+        values, out, begin = _plain(column.flatten()), [], 0
+        for n in pc.list_value_length(column).to_pylist():
+            out.append(None if n is None else values[begin : begin + n])
+            begin += n or 0
+        return out
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
 def _hash(values: dict, names: list[str]) -> str:
     return hashlib.sha256("|".join(f"{f}={values[f]['x']}" for f in names).encode()).hexdigest()[:16]
 
@@ -200,7 +218,7 @@ def _settled_in_turn(found: DataFrame, target: DataFrame, fields: list[str], str
         group, known = None, _Known()
         for batch in batches:
             done = []
-            for row in batch.to_pylist():
+            for row in map(dict, map(zip, repeat(batch.schema.names), zip(*map(_plain, batch.columns)))):
                 if row["group"] != group:
                     group, known = row["group"], _Known()
                 done.append(outcome(row, known))
