@@ -170,10 +170,10 @@ def rare_prefixes(texts: DataFrame, labels: DataFrame, k: int, percent: int) ->
     rows = save(rows, "rare-shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
     # A set's prefix is its n - ceil(t n) + 1 rarest shingles; those that no other set has stand first and need no row.
-    counted = rows.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "s")))
-    shared = rows.groupBy("id").agg(F.count("*").alias("all")).join(counted.groupBy("id").agg(F.count("*").alias("known")), "id").select("id", (F.col("all") - F.col("known")).alias("alone"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = counted.join(shared, "id").withColumn("at", F.col("place") + F.col("alone")).where(F.col("at") <= prefix).select("id", "component", "n", "s", "at")
+    own = Window.partitionBy("id")
+    counted = rows.join(often, "s").withColumn("place", F.row_number().over(own.orderBy("often", "s"))).withColumn("known", F.count("*").over(own))
+    kept = counted.withColumn("at", F.col("place") + F.col("n") - F.col("known")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    kept = save(kept.select("id", "component", "n", "s", "at"), "rare-kept")  # read twice below, so that sets are not ranked twice
     mixed = kept.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
     return save(kept.join(mixed, "s"), "rare-prefixes")
 
